@@ -2,7 +2,7 @@
 
 DataFrame functions only. Every document of a source should be copied target / source_size times; the whole part is
 certain and the fractional part is settled by duels: two units meet, probability mass moves from one to the other until
-one of them is integral, the other goes on. A fold settles each group of about `fan_in` units and leaves one
+one of them is integral, the other goes on (at the first level a unit meets the smaller ones of its group as one). A fold settles each group of about `fan_in` units and leaves one
 fractional unit at most, which goes up to the next level of the tree; the last level is the source as a whole.
 """
 
@@ -94,6 +94,30 @@ def _duel(seed: int) -> Column:
     return F.aggregate(F.array_sort("units"), start, settle)
 
 
+def _pool(seed: int) -> Column:
+    """The first level, where all units of a group have one p: each unit, from the largest down, meets all smaller ones
+    at once, which keep a common p. So a large unit is settled in one meeting and the one left over is small."""
+    unit = T._parse_datatype_string(UNIT)
+    nothing = F.lit(None).cast(unit)
+    total = F.aggregate("units", F.lit(0).cast("long"), lambda a, x: a + x["size"])
+    start = F.struct(F.array().cast(T.ArrayType(unit)).alias("out"), nothing.alias("last"), F.get("units", F.lit(0))["p"].alias("p"), total.alias("rest"))
+
+    def settle(acc: Column, x: Column) -> Column:
+        p, rest = acc["p"], acc["rest"] - x["size"]
+        up = F.least((1 - p) * x["size"], p * rest)
+        down = F.least(p * x["size"], (1 - p) * rest)
+        moved = F.when(uniform(seed, x["key"]) * (up + down) < down, up).otherwise(-down)
+        own = p + moved / x["size"]
+        others = F.when(rest > 0, p - moved / F.nullif(rest, F.lit(0))).otherwise(p)
+        own, others = (F.when(v <= EPS, 0.0).when(v >= 1 - EPS, 1.0).otherwise(v) for v in (own, others))
+        y = x.withField("p", own)
+        whole = (own == 0) | (own == 1)
+        return F.struct(F.when(whole, F.concat(acc["out"], F.array(y))).otherwise(acc["out"]).alias("out"), F.when(whole, acc["last"]).otherwise(y).alias("last"), others.alias("p"), rest.alias("rest"))
+
+    done = F.aggregate(F.array_sort("units"), start, settle)
+    return F.struct(done["out"].alias("out"), done["last"].alias("last"))
+
+
 def pivotal_copies(units: DataFrame, most: int, *, seed: int = 1, fan_in: int = 256) -> DataFrame:
     """units: source and FIELDS, most: the rows of the largest source. Adds copies = whole + 0 or 1.
 
@@ -107,7 +131,7 @@ def pivotal_copies(units: DataFrame, most: int, *, seed: int = 1, fan_in: int =
         # groups of about fan_in units, by a salt; a source of fewer rows is one group
         salt = F.pmod(F.xxhash64(F.lit(seed + 17 + level), "key"), F.ceil(F.col("rows") / group))
         folded = left.withColumn("salt", salt).groupBy("source", "salt").agg(F.collect_list(F.struct(*FIELDS)).alias("units"))
-        folded = checkpointed(folded.select("source", _duel(seed + level).alias("d")))
+        folded = checkpointed(folded.select("source", (_duel(seed + level) if level else _pool(seed)).alias("d")))
         parts.append(folded.select("source", F.explode("d.out").alias("u")).select("source", "u.*"))
         left = folded.where("d.last is not null").select("source", "d.last.*")
         if group >= most:
