@@ -16,10 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, shuffle_partitions
+from .common import shuffle_partitions
 
-#: request(table of a block) -> keys (sorted, distinct uint64), shares (a uint8 row per key), whole texts or None
-Request = Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]
 ASK = "part int, block int, keys binary, shares binary"
 
 
@@ -34,16 +32,16 @@ def parts_of(keys: np.ndarray, n: int) -> np.ndarray:
     return (keys % np.uint64(n)).astype(np.int64)
 
 
-def split(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def split(keys: np.ndarray, n: int, part_of: Callable = parts_of) -> tuple[np.ndarray, np.ndarray]:
     """Order of the keys by part (ascending keys within), and where each part begins."""
-    part = parts_of(keys, n)
+    part = part_of(keys, n)
     order = np.argsort(part.astype(np.uint16) if n <= 1 << 16 else part, kind="stable")
     return order, np.searchsorted(part[order], np.arange(n + 1))
 
 
-def ask(block: int, keys: np.ndarray, shares: np.ndarray, n: int) -> pa.Table:
+def ask(block: int, keys: np.ndarray, shares: np.ndarray, n: int, part_of: Callable = parts_of) -> pa.Table:
     """Rows of ASK for a block: one for each part that owns one of its keys."""
-    order, at = split(keys, n)
+    order, at = split(keys, n, part_of)
     keys, shares = keys[order].astype("<u8"), np.ascontiguousarray(shares[order])
     has = np.flatnonzero(np.diff(at))
     return pa.table({
@@ -75,9 +73,9 @@ def replies(part: int, owners: list[int], values: np.ndarray, at: np.ndarray) ->
 REPLY = "block int, part int, answer binary"
 
 
-def answers(keys: np.ndarray, n: int, table: pa.Table, dtype) -> np.ndarray:
+def answers(keys: np.ndarray, n: int, table: pa.Table, dtype, part_of: Callable = parts_of) -> np.ndarray:
     """The value of each of a block's keys, put back into their order."""
-    order, at = split(keys, n)
+    order, at = split(keys, n, part_of)
     out = np.zeros(len(keys), dtype)
     if len(keys):
         table = table.combine_chunks()
@@ -98,13 +96,13 @@ def together(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return k[new], inverse
 
 
-def lookup(blk: DataFrame, request: Callable, answer: Callable, apply: Callable, schema: str, *, width: int, dtype) -> DataFrame:
+def lookup(blk: DataFrame, request: Callable, answer: Callable, apply: Callable, schema: str, *, width: int, dtype, part_of: Callable = parts_of) -> DataFrame:
     """request(table) -> keys, shares of a block; answer(keys, index of distinct keys, inverse, shares) -> a value for each
     key that came; apply(table, values) -> a block's result. blk has a column block (see blocks)."""
     n = shuffle_partitions(blk.sparkSession)
 
     def step1(table: pa.Table) -> pa.Table:
-        return ask(table["block"][0].as_py(), *request(table), n)
+        return ask(table["block"][0].as_py(), *request(table), n, part_of)
 
     def step2(table: pa.Table) -> pa.Table:
         owners, keys, shares, at = gathered(table, width)
@@ -113,12 +111,9 @@ def lookup(blk: DataFrame, request: Callable, answer: Callable, apply: Callable,
 
     def step3(table: pa.Table, got: pa.Table) -> pa.Table:
         keys, _ = request(table) if table.num_rows else (np.zeros(0, np.uint64), None)
-        return apply(table, keys, answers(keys, n, got, dtype))
+        return apply(table, keys, answers(keys, n, got, dtype, part_of))
 
     asked = blk.groupBy("block").applyInArrow(step1, ASK)
     replied = asked.repartition(n, "part").groupBy("part").applyInArrow(step2, REPLY)
     return blk.groupBy("block").cogroup(replied.repartition(n, "block").groupBy("block")).applyInArrow(step3, schema)
 
-
-def salted(x: np.ndarray, salt: int) -> np.ndarray:
-    return mix(x + np.uint64(salt * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
