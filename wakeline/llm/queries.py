@@ -6,7 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import crc_rest, read
+from ..shipping import ship
+from .common import crc_rest
+from .common import read as _read
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
+    return _read(spark, sf_dir, table)
 
 
 def op1_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
