@@ -39,6 +39,17 @@ def split(keys: np.ndarray, n: int, part_of: Callable = parts_of) -> tuple[np.nd
     return order, np.searchsorted(part[order], np.arange(n + 1))
 
 
+def packed(rows: np.ndarray) -> bytes:
+    """Bytes of an array by place: first bytes of all, then second ones. Sorted keys and small counts then compress well."""
+    raw = np.ascontiguousarray(rows)
+    return np.ascontiguousarray(raw.view(np.uint8).reshape(len(raw), -1).T).tobytes() if len(raw) else b""
+
+
+def unpacked(data: bytes, width: int) -> np.ndarray:
+    """Rows of `width` bytes."""
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T)
+
+
 def ask(block: int, keys: np.ndarray, shares: np.ndarray, n: int, part_of: Callable = parts_of) -> pa.Table:
     """Rows of ASK for a block: one for each part that owns one of its keys."""
     order, at = split(keys, n, part_of)
@@ -46,8 +57,8 @@ def ask(block: int, keys: np.ndarray, shares: np.ndarray, n: int, part_of: Calla
     has = np.flatnonzero(np.diff(at))
     return pa.table({
         "part": pa.array(has, pa.int32()), "block": pa.array(np.full(len(has), block), pa.int32()),
-        "keys": pa.array([keys[at[k] : at[k + 1]].tobytes() for k in has], pa.binary()),
-        "shares": pa.array([shares[at[k] : at[k + 1]].tobytes() for k in has], pa.binary()),
+        "keys": pa.array([packed(keys[at[k] : at[k + 1]]) for k in has], pa.binary()),
+        "shares": pa.array([packed(shares[at[k] : at[k + 1]]) for k in has], pa.binary()),
     })
 
 
@@ -55,8 +66,8 @@ def gathered(table: pa.Table, width: int) -> tuple[list[int], np.ndarray, np.nda
     """What came to a part: its blocks, all keys, all shares, and where each block's begin."""
     table = table.combine_chunks()
     owners = table["block"].to_pylist()
-    keys = [np.frombuffer(x.as_py(), "<u8") for x in table["keys"]]
-    shares = [np.frombuffer(x.as_py(), np.uint8).reshape(-1, width) if width else np.zeros((len(k), 0), np.uint8) for x, k in zip(table["shares"], keys, strict=True)]
+    keys = [unpacked(x.as_py(), 8).view("<u8")[:, 0] for x in table["keys"]]
+    shares = [unpacked(x.as_py(), width) for x in table["shares"]]
     at = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
     return owners, np.concatenate(keys) if keys else np.zeros(0, np.uint64), np.concatenate(shares) if shares else np.zeros((0, width), np.uint8), at
 
@@ -66,7 +77,7 @@ def replies(part: int, owners: list[int], values: np.ndarray, at: np.ndarray) ->
     values = np.ascontiguousarray(values)
     return pa.table({
         "block": pa.array(owners, pa.int32()), "part": pa.array([part] * len(owners), pa.int32()),
-        "answer": pa.array([values[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()),
+        "answer": pa.array([packed(values[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()),
     })
 
 
@@ -81,7 +92,7 @@ def answers(keys: np.ndarray, n: int, table: pa.Table, dtype, part_of: Callable
         table = table.combine_chunks()
         got = np.zeros(len(keys), dtype)
         for part, x in zip(table["part"].to_pylist(), table["answer"], strict=True):
-            got[at[part] : at[part + 1]] = np.frombuffer(x.as_py(), dtype)
+            got[at[part] : at[part + 1]] = unpacked(x.as_py(), got.itemsize).view(dtype)[:, 0]
         out[order] = got
     return out
 
