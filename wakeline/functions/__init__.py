@@ -1,0 +1 @@
+"""Scalar, statistical and rank expressions."""

@@ -1,0 +1 @@
+"""Operators on position reports, transitions and scores."""
