@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -276,7 +277,7 @@ def decoded(df: DataFrame, *, ids: str = "piece_ids", into: str = "text", model:
         for batch in batches:
             col = batch.column(batch.schema.get_field_index(ids))
             flat = np.asarray(col.flatten(), np.int64)
-            n = np.asarray([0 if x is None else len(x) for x in col], np.int64)
+            n = np.asarray(pc.fill_null(pc.list_value_length(col), 0), np.int64)
             data, at = tool.decode(flat, np.concatenate([[0], np.cumsum(n)]))
             texts = [None if not v.is_valid else data[a:b].tobytes().decode("utf-8", "replace") for v, a, b in zip(col, at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, into])

@@ -192,7 +192,7 @@ PATTERN = re.compile(
     r"|(?<![A-Za-z0-9])(?P<iban>[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
     r"|(?<![\w+.-])(?P<phone>(?:\+?1[ .-]?)?(?:\(\d{3}\)[ ]?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+[1-9]\d{7,14}|\+[2-9]\d{0,2}(?:[ .-]?\(?\d{1,4}\)?){2,5})(?![\w-])"
 )
-NEEDS = re.compile(r"[0-9@]|(?i:secret|token|passw|pwd|key)")
+NEEDS = re.compile(r"[0-9@]|AKIA|ASIA|gh[pousr]_|sk-|xox|(?i:secret|token|passw|pwd|api_?key)")
 
 
 class Pseudonyms:
