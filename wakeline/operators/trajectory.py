@@ -12,6 +12,8 @@ from ..functions import scalars as S
 
 #: Columns of the sequence model, in order.
 SEQ_FEATURES = ("sog", "cog_sin", "cog_cos", "heading_sin", "heading_cos", "delta_lat", "delta_lon", "log_delta_t")
+#: Added before rounding to 6 places: exact ties go up, whatever the last bit of the double.
+TIE = 1e-9
 #: What each error group sums, by place in SEQ_FEATURES.
 ERR_GROUPS = {"speed": (0,), "course": (1, 2), "heading": (3, 4), "position_jump": (5, 6), "time_gap": (7,)}
 ERR_REASONS = {k: f"largest next-step error in {v}" for k, v in (("speed", "speed"), ("course", "course over ground"), ("heading", "heading"), ("position_jump", "position"), ("time_gap", "time between reports"))}
@@ -45,7 +47,7 @@ def with_derived(df: DataFrame) -> DataFrame:
         if c in have:
             df = df.withColumn(f"abs_{c}", F.abs(F.col(c).cast("double")))
     if {"dist_m", "delta_t_s"} <= have:
-        df = df.withColumn("implied_mps", F.round(S.implied_mps("dist_m", "delta_t_s"), 6)).withColumn("implied_kts", F.round(S.implied_knots("dist_m", "delta_t_s"), 6))
+        df = df.withColumn("implied_mps", F.round(S.implied_mps("dist_m", "delta_t_s") + TIE, 6)).withColumn("implied_kts", F.round(S.implied_knots("dist_m", "delta_t_s") + TIE, 6))
     return df
 
 

@@ -80,8 +80,8 @@ SQL_PAIRS = f"""{SQL_POINTS}, lagged as (select *, lag(t_s) over w as p_t, lag(l
   from points window w as (partition by mmsi order by t_s, event_id)),
  raw as (select event_id, mmsi, vessel_type, p_t as t_prev, t_s as t_curr, (t_s - p_t)::double as delta_t_s, (t_s - p_t)::double / 60 as delta_t_min, round({sql_distance("p_lat", "p_lon", "lat", "lon")}, 3) as dist_m,
   round(sog - p_sog, 6) as dsog, round({sql_wrap("p_cog", "cog")}, 6) as dcog, round({sql_wrap("p_heading", "heading")}, 6) as dheading, sog as sog_curr, cog as cog_curr from lagged where p_t is not null),
- pairs as (select *, abs(dsog) as abs_dsog, abs(dcog) as abs_dcog, abs(dheading) as abs_dheading, case when delta_t_s <> 0 then round(dist_m / delta_t_s, 6) end as implied_mps,
-  case when delta_t_s <> 0 then round(dist_m / delta_t_s * 1.943844e0, 6) end as implied_kts from raw)"""
+ pairs as (select *, abs(dsog) as abs_dsog, abs(dcog) as abs_dcog, abs(dheading) as abs_dheading, case when delta_t_s <> 0 then round(dist_m / delta_t_s + 1e-9, 6) end as implied_mps,
+  case when delta_t_s <> 0 then round(dist_m / delta_t_s * 1.943844e0 + 1e-9, 6) end as implied_kts from raw)"""
 PAIR_COLUMNS = "event_id, mmsi, vessel_type, t_prev, t_curr, delta_t_s, delta_t_min, dist_m, dsog, dcog, dheading, sog_curr, cog_curr, abs_dsog, abs_dcog, abs_dheading, implied_mps, implied_kts"
 SQL_FLEET = " union all ".join(f"select '{c}' as feature, round(quantile_cont({c}, 0.5), 6) as p50, round(quantile_cont({c}, 0.95), 6) as p95, round(quantile_cont({c}, 0.99), 6) as p99, round(quantile_cont({c}, 0.999), 6) as p999, round(max({c}), 6) as max from pairs" for c in FLEET)
 
