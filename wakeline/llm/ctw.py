@@ -201,15 +201,27 @@ def scored(docs: DataFrame) -> DataFrame:
                 data, at = text_buffer(batch.column(batch.schema.get_field_index("text")))
                 yield batch, data, at, np.asarray(batch.column(batch.schema.get_field_index("held_out")).to_numpy(zero_copy_only=False), bool)
 
-    def request(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        keys, counts = [], []
-        for _, data, at, out in chunks(table):
+    def request(table: pa.Table, again: bool) -> tuple[np.ndarray, np.ndarray, list]:
+        """Keys and training counts; again: keys alone, with each chunk's distinct keys and their places."""
+        keys, counts, kept = [], [], []
+        for batch, data, at, out in chunks(table):
+            own = []
             for text, k in (grams(data, at), tokens(data, at)):
-                k, i = np.unique(k, return_inverse=True)
-                keys.append(k)
-                counts.append(np.bincount(i, ~out[text], len(k)).astype(np.int64))
+                if again:
+                    k, i = np.unique(k, return_inverse=True)
+                    own.append((text.astype(np.int32), k, i.astype(np.int32)))
+                    keys.append(k)
+                else:
+                    held = out[text]
+                    for part, weight in ((k[~held], 1), (k[held], 0)):
+                        part, n = np.unique(part, return_counts=True)
+                        keys.append(part)
+                        counts.append(n * weight)
+            kept.append((batch, at, out, own))
+        if again:
+            return np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64), None, kept
         k, n = _merged(keys, counts)
-        return k, n.astype("<i8").view(np.uint8).reshape(-1, 8)
+        return k, n.astype("<i8").view(np.uint8).reshape(-1, 8), kept
 
     def answer(keys: np.ndarray, inverse: np.ndarray, shares: np.ndarray) -> np.ndarray:
         n = np.bincount(inverse, shares.copy().view("<i8")[:, 0], len(keys))
@@ -221,17 +233,15 @@ def scored(docs: DataFrame) -> DataFrame:
             value[gram] = log10_of(keys[gram], levels).astype(np.float32)  # half the bytes to send
         return value[inverse]
 
-    def apply(table: pa.Table, keys: np.ndarray, values: np.ndarray) -> pa.Table:
+    def apply(keys: np.ndarray, values: np.ndarray, kept: list) -> pa.Table:
         done = []
-        for batch, data, at, out in chunks(table):
+        for batch, at, out, ((text, k, i), (word_text, word, j)) in kept:
             n = len(at) - 1
-            text, k = grams(data, at)
-            score = np.bincount(text, values[np.searchsorted(keys, k)], n)
-            text, k = tokens(data, at)
-            c = values[np.searchsorted(keys, k)]
+            score = np.bincount(text, values[np.searchsorted(keys, k)][i], n)
+            c = values[np.searchsorted(keys, word)]
             done.append(pa.table({
-                "doc_id": batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()), "held_out": pa.array(out), "n_tokens": np.bincount(text, minlength=n).astype(np.int64),
-                "n_known": np.bincount(text, c > 0, n).astype(np.int64), "logs": np.bincount(text, np.log10(c + 1), n), "score": score, "n_bytes": np.diff(at),
+                "doc_id": batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()), "held_out": pa.array(out), "n_tokens": np.bincount(word_text, minlength=n).astype(np.int64),
+                "n_known": np.bincount(word_text, (c > 0)[j], n).astype(np.int64), "logs": np.bincount(word_text, np.log10(c + 1)[j], n), "score": score, "n_bytes": np.diff(at),
             }))
         return pa.concat_tables(done) if done else empty
 

@@ -108,12 +108,14 @@ def together(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def lookup(blk: DataFrame, request: Callable, answer: Callable, apply: Callable, schema: str, *, width: int, dtype, part_of: Callable = parts_of) -> DataFrame:
-    """request(table) -> keys, shares of a block; answer(keys, index of distinct keys, inverse, shares) -> a value for each
-    key that came; apply(table, values) -> a block's result. blk has a column block (see blocks)."""
+    """request(table, again) -> keys, shares of a block, and what apply can use (only when asked again, for apply);
+    answer(distinct keys, inverse, shares) -> a value for each key that came; apply(keys, values, kept) -> a block's
+    result. blk has a column block (see blocks)."""
     n = shuffle_partitions(blk.sparkSession)
 
     def step1(table: pa.Table) -> pa.Table:
-        return ask(table["block"][0].as_py(), *request(table), n, part_of)
+        keys, shares, _ = request(table, False)
+        return ask(table["block"][0].as_py(), keys, shares, n, part_of)
 
     def step2(table: pa.Table) -> pa.Table:
         owners, keys, shares, at = gathered(table, width)
@@ -121,8 +123,8 @@ def lookup(blk: DataFrame, request: Callable, answer: Callable, apply: Callable,
         return replies(table["part"][0].as_py(), owners, answer(distinct, inverse, shares).astype(dtype), at)
 
     def step3(table: pa.Table, got: pa.Table) -> pa.Table:
-        keys, _ = request(table) if table.num_rows else (np.zeros(0, np.uint64), None)
-        return apply(table, keys, answers(keys, n, got, dtype, part_of))
+        keys, _, kept = request(table, True) if table.num_rows else (np.zeros(0, np.uint64), None, [])
+        return apply(keys, answers(keys, n, got, dtype, part_of), kept)
 
     asked = blk.groupBy("block").applyInArrow(step1, ASK)
     replied = asked.repartition(n, "part").groupBy("part").applyInArrow(step2, REPLY)
