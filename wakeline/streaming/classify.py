@@ -30,7 +30,8 @@ def _pairs(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iter
         at = (int(last["t_s"].iloc[0]), int(last["event_id"].iloc[0]))
         rows = rows[[(int(t), int(e)) > at for t, e in zip(rows["t_s"], rows["event_id"], strict=True)]]
         rows = pd.concat([last, rows]) if len(rows) else last
-    state.update(tuple(x.item() if isinstance(x, np.generic) else x for x in rows.iloc[-1][COLUMNS].astype(object)))
+    end = rows.iloc[-1]
+    state.update((int(rows["t_s"].iloc[-1]), int(rows["event_id"].iloc[-1]), *(None if pd.isna(end[c]) else float(end[c]) for c in COLUMNS[2:])))
     a, b = rows.iloc[:-1], rows.iloc[1:]
     yield pd.DataFrame({
         "mmsi": key[0], "event_id": b["event_id"].to_numpy(np.int64), "t_prev": a["t_s"].to_numpy(np.int64), "t_curr": b["t_s"].to_numpy(np.int64),
