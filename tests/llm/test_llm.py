@@ -241,6 +241,11 @@ def test_suffixes(spark, docs, rows, awkward):
     want = brute_suffixes(hard)
     for r in suffixes.deduped(spark.createDataFrame(hard, "doc_id long, text string")).collect():
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[r["doc_id"]][:4]
+    line = "a common line of sixty bytes or so that very many documents have"
+    odd = [(i, "".join(rng.choice(list("abcdefgh "), 90)) + line + "".join(rng.choice(list("abcdefgh "), 90)) + (line if i % 3 else "")) for i in range(40)]
+    want = brute_suffixes(odd)
+    for r in suffixes.deduped(spark.createDataFrame(odd, "doc_id long, text string"), hot=5).collect():
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[r["doc_id"]][:4]
     got = suffixes.deduped(awkward).collect()
     assert len(got) == len(AWKWARD) and {r["doc_id"]: r["n_removed"] for r in got}[6] > 0
     assert suffixes.deduped(awkward.limit(0)).count() == 0

@@ -5,6 +5,9 @@ their minimizer (the least hash of their K-byte parts): equal strings have the s
 in one part, and a run of strings with one minimizer travels as one stretch of text. Minimizers that only one document
 has are left out before (a keyed lookup); they can't repeat.
 
+A minimizer that many different stretches have (a common phrase in ever other surroundings) is dealt further, by the least
+of the string's other parts, which equal strings share too.
+
 A part puts the stretches of each minimizer together. Where they all read the same there is nothing to merge. The others are
 dealt into shards; each shard's suffixes are sorted once and give its transform. The shards are merged without
 sorting suffixes again: the interleave (which shard the next suffix is from) starts shard by shard, and each round
@@ -27,6 +30,8 @@ from .common import BASE, CHUNK_BYTES, mix, pieces, powers, shuffle_partitions,
 from .exchange import REPLY, answers, ask, blocks, gathered, replies, split, together
 
 LENGTH, K = 50, 16
+#: A minimizer with more different stretches than this is dealt further.
+HOT = 2000
 #: Bytes of a shard.
 SHARD = 1 << 18
 LAST = np.iinfo(np.int64).max
@@ -55,29 +60,43 @@ class Prefix:
         return mix((self.sums[stop] - self.sums[start]) * _back[start])
 
 
-def stretches(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Runs of strings with one minimizer: first string's start, number of strings, minimizer, text, hash of the bytes."""
+def _least(h: np.ndarray) -> np.ndarray:
+    """The least of every LENGTH - K + 1 numbers in a row."""
+    width, have = LENGTH - K + 1, 1
+    while have * 2 <= width:
+        h = np.minimum(h[:-have], h[have:])
+        have *= 2
+    return np.minimum(h[: len(h) - (width - have)], h[width - have :])
+
+
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x if len(known) else np.zeros(len(x), bool)
+
+
+def stretches(data: np.ndarray, at: np.ndarray, hot: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Runs of strings with one minimizer: first string's start, number of strings, minimizer, text, hash of the bytes, and
+    the key they are dealt by (other than the minimizer where it is among the hot ones)."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < LENGTH:
-        return none, none, none.astype(np.uint64), none, none.astype(np.uint64)
+        return none, none, none.astype(np.uint64), none, none.astype(np.uint64), none.astype(np.uint64)
     hashed = Prefix(data)
     start = np.arange(n - K + 1)
-    m = hashed(start, start + K)
-    width, have = LENGTH - K + 1, 1
-    while have * 2 <= width:
-        m = np.minimum(m[:-have], m[have:])
-        have *= 2
-    m = np.minimum(m[: len(m) - (width - have)], m[width - have :])
+    h = hashed(start, start + K)
+    m = _least(h)
+    key = m
+    if hot is not None and len(hot) and (split_ := _among(m, hot)).any():
+        other = _least(np.where(_among(h, hot), np.uint64(0xFFFFFFFFFFFFFFFF), h))
+        key = np.where(split_, mix(m * np.uint64(31) + other), m)
     text = np.repeat(np.arange(len(at) - 1), np.diff(at))[: len(m)]
     valid = np.arange(len(m)) + LENGTH <= at[text + 1]
     new = np.ones(len(m), bool)
-    new[1:] = (m[1:] != m[:-1]) | (text[1:] != text[:-1]) | ~valid[:-1]
+    new[1:] = (m[1:] != m[:-1]) | (key[1:] != key[:-1]) | (text[1:] != text[:-1]) | ~valid[:-1]
     first = np.flatnonzero(new & valid)
     # a run ends where the next one begins, or with its text's last string
     bound = np.flatnonzero(new | ~valid)
     after = np.append(bound, len(m))[np.searchsorted(bound, first, side="right")]
-    return first, after - first, m[first], text[first], hashed(first, after + LENGTH - 1)
+    return first, after - first, m[first], text[first], hashed(first, after + LENGTH - 1), key[first]
 
 
 def _suffixes(symbols: np.ndarray, left: np.ndarray) -> np.ndarray:
@@ -158,66 +177,73 @@ def _chunks(table: pa.Table) -> Iterator[tuple]:
 
 
 def _minimizers(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """A block's minimizers, and whether more than one of its documents has it."""
-    keys, low, high = [], [], []
+    """A block's minimizers; whether more than one of its documents has it, and how many stretches."""
+    keys, low, high, many = [], [], [], []
     for _, data, at, ids in _chunks(table):
-        _, _, m, text, _ = stretches(data, at)
+        _, _, m, text, h, _ = stretches(data, at)
         k, i = np.unique(m, return_inverse=True)
         lo, hi = np.full(len(k), LAST), np.full(len(k), np.iinfo(np.int64).min)
         np.minimum.at(lo, i, ids[text])
         np.maximum.at(hi, i, ids[text])
+        _, one = np.unique(h, return_index=True)
         keys.append(k)
         low.append(lo)
         high.append(hi)
-    keys, low, high = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (keys, low, high))
+        many.append(np.bincount(i[one], minlength=len(k)))
+    keys, low, high, many = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (keys, low, high, many))
     k, i = together(keys)
     lo, hi = np.full(len(k), LAST), np.full(len(k), np.iinfo(np.int64).min)
     np.minimum.at(lo, i, low.astype(np.int64))
     np.maximum.at(hi, i, high.astype(np.int64))
-    return k, (lo != hi).astype(np.uint8)[:, None]
+    n = np.minimum(np.bincount(i, many, len(k)), 0xFFFF).astype("<u2").view(np.uint8).reshape(-1, 2)
+    return k, np.concatenate([(lo != hi).astype(np.uint8)[:, None], n], axis=1)
 
 
-STRETCH = "part int, block int, minimizer binary, hash binary, size binary, owner binary, pool binary"
+FIELDS = ("minimizer", "hash", "size", "owner", "pool", "hot")
+STRETCH = "part int, block int, " + ", ".join(f"{x} binary" for x in FIELDS)
 
 
 def _distinct(table: pa.Table, keys: np.ndarray, shared: np.ndarray, n_parts: int) -> pa.Table:
     """A block's distinct stretches of shared minimizers, with the least id that has each, for the parts."""
-    m_, h_, size_, owner_, pool_ = [], [], [], [], []
+    hot = keys[shared == 2]
+    m_, h_, size_, owner_, pool_, hot_ = [], [], [], [], [], []
     for _, data, at, ids in _chunks(table):
-        first, many, m, text, h = stretches(data, at)
+        first, many, m, text, h, key = stretches(data, at, hot)
         keep = shared[np.searchsorted(keys, m)] > 0
-        first, many, m, text, h = (x[keep] for x in (first, many, m, text, h))
+        first, many, m, text, h, key = (x[keep] for x in (first, many, m, text, h, key))
         if not len(first):
             continue
         order = np.lexsort((ids[text], h))
         one = order[np.concatenate([[True], h[order][1:] != h[order][:-1]])]
         size = many[one] + LENGTH - 1
         at_ = np.cumsum(size) - size
-        m_.append(m[one])
+        m_.append(key[one])
+        hot_.append(np.where(key[one] != m[one], m[one], np.uint64(0)))
         h_.append(h[one])
         size_.append(size)
         owner_.append(ids[text[one]])
         pool_.append(data[np.repeat(first[one] - at_, size) + np.arange(size.sum())])
     if not m_:
-        return pa.schema([("part", pa.int32()), ("block", pa.int32()), *((x, pa.binary()) for x in ("minimizer", "hash", "size", "owner", "pool"))]).empty_table()
-    m, h, size, owner, pool = (np.concatenate(x) for x in (m_, h_, size_, owner_, pool_))
+        return pa.schema([("part", pa.int32()), ("block", pa.int32()), *((x, pa.binary()) for x in FIELDS)]).empty_table()
+    m, h, size, owner, pool, hot = (np.concatenate(x) for x in (m_, h_, size_, owner_, pool_, hot_))
     begin = np.cumsum(size) - size
     order, cut = split(m, n_parts)
     has = np.flatnonzero(np.diff(cut))
-    rows = {x: [] for x in ("minimizer", "hash", "size", "owner", "pool")}
+    rows = {x: [] for x in FIELDS}
     for k in has:
         own = order[cut[k] : cut[k + 1]]
         own = own[np.argsort(m[own], kind="stable")]
         w = size[own]
         rows["minimizer"].append(m[own].tobytes())
         rows["hash"].append(h[own].tobytes())
+        rows["hot"].append(np.unique(hot[own][hot[own] > 0]).tobytes())  # told back to the block with the answers
         rows["size"].append(w.astype("<i4").tobytes())
         rows["owner"].append(owner[own].tobytes())
         rows["pool"].append(pool[np.repeat(begin[own] - (np.cumsum(w) - w), w) + np.arange(w.sum())].tobytes())
     return pa.table({"part": pa.array(has, pa.int32()), "block": pa.array(np.full(len(has), table["block"][0].as_py()), pa.int32()), **{k: pa.array(v, pa.binary()) for k, v in rows.items()}})
 
 
-LEAST = "block int, hash binary, runs binary, length binary, value binary"
+LEAST = "block int, hash binary, runs binary, length binary, value binary, hot binary"
 
 
 def _intervals(table: pa.Table) -> pa.Table:
@@ -273,7 +299,7 @@ def _intervals(table: pa.Table) -> pa.Table:
         out["runs"].append(r.astype("<i4").tobytes())
         out["length"].append(length[flat].astype("<i4").tobytes())
         out["value"].append(value[flat].tobytes())
-    return pa.table({"block": pa.array(owners, pa.int32()), **{k: pa.array(out[k], pa.binary()) for k in ("hash", "runs", "length", "value")}})
+    return pa.table({"block": pa.array(owners, pa.int32()), **{k: pa.array(out[k], pa.binary()) for k in ("hash", "runs", "length", "value")}, "hot": table["hot"]})
 
 
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.binary())])
@@ -287,9 +313,10 @@ def _apply(with_text: bool):
         run_at = np.cumsum(runs) - runs
         order = np.argsort(h, kind="stable")
         known = h[order]
+        hot = np.unique(column("hot", np.uint64))
         done = []
         for batch, data, at, ids in _chunks(table):
-            first, _, _, text, mine = stretches(data, at)
+            first, _, _, text, mine, _ = stretches(data, at, hot)
             edge = np.zeros(len(data) + 1, np.int64)
             if len(known) and len(first):
                 i = np.minimum(np.searchsorted(known, mine), len(known) - 1)
@@ -320,7 +347,7 @@ def _apply(with_text: bool):
     return run
 
 
-def deduped(docs: DataFrame, *, with_text: bool = False) -> DataFrame:
+def deduped(docs: DataFrame, *, with_text: bool = False, hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text (the remaining bytes, if asked for).
 
     A null text is an empty one. Rows of one id don't remove each other's bytes; rows without an id come after all
@@ -333,10 +360,12 @@ def deduped(docs: DataFrame, *, with_text: bool = False) -> DataFrame:
         return ask(table["block"][0].as_py(), *_minimizers(table), n)
 
     def shared(table: pa.Table) -> pa.Table:
-        owners, keys, several, at = gathered(table, 1)
+        """0: one document has it; 1: several; 2: several, in many different stretches."""
+        owners, keys, share, at = gathered(table, 3)
         k, i = together(keys)
-        both = (np.bincount(i, minlength=len(k)) > 1) | (np.bincount(i, several[:, 0], len(k)) > 0)
-        return replies(table["part"][0].as_py(), owners, both[i].astype(np.uint8), at)
+        both = (np.bincount(i, minlength=len(k)) > 1) | (np.bincount(i, share[:, 0], len(k)) > 0)
+        many = np.bincount(i, share[:, 1:].copy().view("<u2")[:, 0], len(k)) > hot
+        return replies(table["part"][0].as_py(), owners, (both.astype(np.uint8) + (both & many))[i], at)
 
     def send(table: pa.Table, got: pa.Table) -> pa.Table:
         if not table.num_rows:
