@@ -154,7 +154,7 @@ def _count_kernel(n_parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = [], []
         for whole in batches:
-            for batch in pieces(whole, "text", CHUNK_BYTES):
+            for batch in pieces(whole, "text", CHUNK_BYTES // 2):
                 data, at = text_buffer(batch.column(0))
                 for _, k in (grams(data, at), tokens(data, at)):
                     k, n = np.unique(k, return_counts=True)
@@ -197,7 +197,7 @@ def scored(docs: DataFrame) -> DataFrame:
 
     def chunks(table: pa.Table) -> Iterator[tuple]:
         for whole in table.combine_chunks().to_batches():
-            for batch in pieces(whole, "text", CHUNK_BYTES):
+            for batch in pieces(whole, "text", CHUNK_BYTES // 2):
                 data, at = text_buffer(batch.column(batch.schema.get_field_index("text")))
                 yield batch, data, at, np.asarray(batch.column(batch.schema.get_field_index("held_out")).to_numpy(zero_copy_only=False), bool)
 

@@ -89,4 +89,20 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_llr, op2_piece_sampling, op3_mix_sources, op4_embedding_near_dedup, op5_token_counts, op6_suffix_dedup, op7_pii_pseudonyms, op8_minhash_near_dedup, op9_language_id, op10_context_tree, pipeline)
 }
-ORACLES: dict[str, str] = {}
+#: SQL where it can express an operator; the others are held against brute force in tests/llm.
+ORACLES: dict[str, str] = {
+    "op4_embedding_near_dedup": """with recursive v as (select vec_id, embedding::double[] as e from embeddings where embedding is not null and len(embedding) > 0
+  and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ links as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.9),
+ reach(a, b) as (select vec_id, vec_id from embeddings union select r.a, l.b from reach r join links l on l.a = r.b),
+ comp as (select a as vec_id, min(b) as component_id from reach group by a), n as (select a as vec_id, count(*) as n_links from links group by a)
+ select e.vec_id, coalesce(n_links, 0)::bigint as n_links, component_id, component_id = e.vec_id as kept from embeddings e join comp using (vec_id) left join n using (vec_id)""",
+    "op6_suffix_dedup": """with d as (select doc_id, encode(coalesce(text, '')) as b, octet_length(encode(coalesce(text, '')))::bigint as n_bytes from documents),
+ p as (select doc_id, b, n_bytes, unnest(range(n_bytes)) as i from d), w as (select doc_id, i, case when i + 50 <= n_bytes then array_slice(b, i + 1, i + 50) end as m, hex(array_slice(b, i + 1, i + 1)) as byte from p),
+ least as (select m, min(doc_id) as first from w where m is not null group by m),
+ hit as (select w.doc_id, i, byte, coalesce(first < w.doc_id, false) as starts from w left join least on w.m = least.m),
+ gone as (select doc_id, i, byte, max(starts::int) over (partition by doc_id order by i rows between 49 preceding and current row) as r from hit),
+ edge as (select *, lag(r, 1, 0) over (partition by doc_id order by i) as before from gone),
+ g as (select doc_id, sum(r)::bigint as n_removed, sum((r = 1 and before = 0)::int)::bigint as n_spans, coalesce(string_agg(byte, '' order by i) filter (where r = 0), '') as kept from edge group by doc_id)
+ select d.doc_id, n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256 from d left join g using (doc_id)""",
+}
