@@ -102,15 +102,12 @@ def stretches(data: np.ndarray, at: np.ndarray, hot: np.ndarray | None = None) -
 def _suffixes(symbols: np.ndarray, left: np.ndarray) -> np.ndarray:
     """Order of a shard's suffixes by their first LENGTH symbols. left: symbols up to the end sign of the string."""
     n = len(symbols)
-    room = np.zeros(n + LENGTH + 16, np.uint64)
+    room = np.zeros(n + LENGTH, np.uint8)
     room[:n] = symbols
-    words = []
-    for j in range(0, LENGTH, 8):
-        word = np.zeros(n, np.uint64)
-        for k in range(8):
-            word = (word << np.uint64(8)) | np.where(left > j + k, room[j + k : j + k + n], 0)
-        words.append(word)
-    return np.lexsort(words[::-1])
+    heads = np.lib.stride_tricks.sliding_window_view(room, LENGTH)[:n].copy()
+    cut = np.flatnonzero(left < LENGTH)
+    heads[cut] *= np.arange(LENGTH) < left[cut, None]
+    return np.argsort(heads.view(f"S{LENGTH}")[:, 0], kind="stable")
 
 
 def merged_least(pool: np.ndarray, size: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -132,9 +129,10 @@ def merged_least(pool: np.ndarray, size: np.ndarray, owner: np.ndarray) -> np.nd
     string = np.repeat(np.arange(strings), size + 1)
     left = ends[string] - 1 - np.arange(total)
     shard_of = (np.cumsum(size + 1) - 1) // SHARD
-    shard_of = np.unique(shard_of, return_inverse=True)[1].astype(np.uint16 if strings < 1 << 16 else np.int64)
+    shard_of = np.unique(shard_of, return_inverse=True)[1]
     cut = np.append(np.searchsorted(shard_of, np.arange(shard_of[-1] + 1)), strings)
     suffix, transform = np.empty(total, np.int64), np.empty(total, np.uint8)
+    before_of = np.empty(total, np.int32 if total < 1 << 31 else np.int64)
     for a, b in zip(cut[:-1], cut[1:], strict=True):
         lo, hi = begin[a], ends[b - 1]
         order = _suffixes(symbols[lo:hi], left[lo:hi]) + lo
@@ -144,22 +142,23 @@ def merged_least(pool: np.ndarray, size: np.ndarray, owner: np.ndarray) -> np.nd
         before = symbols[np.maximum(order - 1, 0)]
         before[begin[string[order]] == order] = 0
         transform[lo:hi] = before
-    source = np.repeat(np.arange(shard_of[-1] + 1), [ends[b - 1] - begin[a] for a, b in zip(cut[:-1], cut[1:], strict=True)]).astype(shard_of.dtype)
-    interval = np.zeros(total, np.int64)
-    tail_source = shard_of
+        # the k-th of a symbol in the transform precedes the suffix that is the k-th to begin with it
+        moved = np.argsort(before, kind="stable")
+        before_of[lo + moved] = np.arange(lo, hi)
+    # the interleave as places in the shards' transforms (those of one shard always in rising order): shard by shard at first
+    kind = np.int32 if total < 1 << 31 else np.int64
+    inter, interval = np.arange(total, dtype=kind), np.zeros(total, kind)
+    tail = np.concatenate([np.arange(begin[a], begin[a] + b - a) for a, b in zip(cut[:-1], cut[1:], strict=True)]).astype(kind)
+    every = np.arange(strings, dtype=kind)
     for _ in range(LENGTH):
-        place = np.argsort(source, kind="stable")
-        s = np.empty(total, np.uint8)
-        s[place] = transform
-        live = np.flatnonzero(s)
-        order = live[np.argsort(s[live], kind="stable")]
-        sign, old = s[order], interval[order]
+        s = transform.take(inter)
+        order = np.argsort(s, kind="stable")[strings:]  # a string's first suffix has no symbol before it
+        sign, old = s.take(order), interval.take(order)
         new = np.ones(len(order), bool)
         new[1:] = (sign[1:] != sign[:-1]) | (old[1:] != old[:-1])
-        source = np.concatenate([tail_source, source[order]])
-        interval = np.concatenate([np.arange(strings), strings - 1 + np.cumsum(new)])
-    where = np.empty(total, np.int64)
-    where[np.argsort(source, kind="stable")] = suffix
+        inter[strings:], inter[:strings] = before_of.take(inter.take(order)), tail
+        interval[strings:], interval[:strings] = strings - 1 + np.cumsum(new, dtype=kind), every
+    where = suffix[inter]
     own = np.where(left[where] >= LENGTH, owner[string[where]], LAST)
     first = np.flatnonzero(np.concatenate([[True], interval[1:] != interval[:-1]]))
     least = np.repeat(np.minimum.reduceat(own, first), np.diff(np.append(first, total)))
@@ -203,12 +202,13 @@ FIELDS = ("minimizer", "hash", "size", "owner", "pool", "hot")
 STRETCH = "part int, block int, " + ", ".join(f"{x} binary" for x in FIELDS)
 
 
-def _distinct(table: pa.Table, keys: np.ndarray, shared: np.ndarray, n_parts: int) -> pa.Table:
-    """A block's distinct stretches of shared minimizers, with the least id that has each, for the parts."""
+def _distinct(table: pa.Table, found: list, keys: np.ndarray, shared: np.ndarray, n_parts: int) -> pa.Table:
+    """A block's distinct stretches of shared minimizers, with the least id that has each, for the parts. found: its chunks
+    and their stretches."""
     hot = keys[shared == 2]
     m_, h_, size_, owner_, pool_, hot_ = [], [], [], [], [], []
-    for _, data, at, ids in _chunks(table):
-        first, many, m, text, h, key = stretches(data, at, hot)
+    for data, at, ids, runs in found:
+        first, many, m, text, h, key = stretches(data, at, hot) if _among(runs[2], hot).any() else runs
         keep = shared[np.searchsorted(keys, m)] > 0
         first, many, m, text, h, key = (x[keep] for x in (first, many, m, text, h, key))
         if not len(first):
@@ -368,10 +368,9 @@ def deduped(docs: DataFrame, *, with_text: bool = False, hot: int = HOT) -> Data
         return replies(table["part"][0].as_py(), owners, (both.astype(np.uint8) + (both & many))[i], at)
 
     def send(table: pa.Table, got: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return _distinct(table.slice(0, 0), np.zeros(0, np.uint64), np.zeros(0, np.uint8), n)
-        keys, _ = _minimizers(table)
-        return _distinct(table, keys, answers(keys, n, got, np.uint8), n)
+        found = [(data, at, ids, stretches(data, at)) for _, data, at, ids in _chunks(table)]
+        keys = np.unique(np.concatenate([r[2] for *_, r in found])) if found else np.zeros(0, np.uint64)
+        return _distinct(table, found, keys, answers(keys, n, got, np.uint8), n)
 
     asked = blk.groupBy("block").applyInArrow(minimizers, "part int, block int, keys binary, shares binary")
     told = asked.repartition(n, "part").groupBy("part").applyInArrow(shared, REPLY)
