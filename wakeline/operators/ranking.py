@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import checkpointed
+
 #: Up to so many rows a top list is kept by Spark's heap; beyond, rows are ranked over range partitions.
 HEAP_ROWS = 1_000_000
 
@@ -20,13 +22,7 @@ def top_size(n: int, fraction: float, rule: str) -> int:
 
 def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """A global row number without one task that sees all rows: range partitions, their counts, and places within."""
-    from pyspark.errors import PySparkException
-
-    parts = df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id())
-    try:
-        parts = parts.checkpoint()
-    except PySparkException as e:
-        raise RuntimeError("set spark.checkpoint.dir: a global rank keeps its sorted rows there") from e
+    parts = checkpointed(df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id()))
     part = F.shiftrightunsigned("__id", 33)
     sizes = sorted((r["p"], r["n"]) for r in parts.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())  # a row per partition
     before, total = [], 0
