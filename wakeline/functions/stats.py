@@ -35,9 +35,21 @@ def order_statistic(df: DataFrame, column: str, k: int, n: int, in_one_task: int
     raise ValueError("no such value")
 
 
+#: Below this size, as Spark estimates it from the files, rows need not be counted first.
+SURELY_FEW_BYTES = 16 << 20
+
+
+def surely_few(df: DataFrame) -> bool:
+    """Whether Spark's own estimate of the table's size rules out many rows (False where there is no estimate)."""
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) < SURELY_FEW_BYTES
+    except AttributeError:  # a session without a JVM at hand
+        return False
+
+
 def percentiles(df: DataFrame, columns: Sequence[str], qs: Sequence[float], in_one_task: int = IN_ONE_TASK) -> DataFrame:
     """One row per column: feature, and p0 .. pn for the quantiles, exact with linear interpolation, nulls left out."""
-    if df.count() <= in_one_task:
+    if (in_one_task >= IN_ONE_TASK and surely_few(df)) or df.count() <= in_one_task:
         array = F.array(*map(F.lit, qs))
         aggs = [F.percentile(c, array).alias(c) for c in columns]
         wide = df.agg(*aggs)
