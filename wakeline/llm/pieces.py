@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, segment_hash, text_buffer
+from .common import CHUNK_BYTES, mix, segment_hash, text_buffer
 from .common import pieces as slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -234,7 +234,7 @@ def _encode_kernel(vocabulary_of, theta: float, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = lattice(vocabulary_of, theta)
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", CHUNK_BYTES // 4):
                 data, at = text_buffer(batch.column(batch.schema.get_field_index("text")))
                 key = np.asarray(batch.column(batch.schema.get_field_index("__key")), np.int64).view(np.uint64)
                 ids, offsets = tool.encode(data, at, key)
