@@ -27,11 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BASE, CHUNK_BYTES, mix, pieces, powers, shuffle_partitions, text_buffer
-from .exchange import REPLY, answers, ask, blocks, gathered, replies, split, together
+from .exchange import REPLY, answers, ask, blocks, gathered, packed, replies, split, together, unpacked
 
 LENGTH, K = 50, 16
 #: A minimizer with more different stretches than this is dealt further.
 HOT = 2000
+#: Strings are merged in batches of about so many bytes, whole minimizers each.
+BATCH = 1 << 20
+CODEC = pa.Codec("zstd")
 #: Bytes of a shard.
 SHARD = 1 << 18
 LAST = np.iinfo(np.int64).max
@@ -198,7 +201,7 @@ def _minimizers(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return k, np.concatenate([(lo != hi).astype(np.uint8)[:, None], n], axis=1)
 
 
-FIELDS = ("minimizer", "hash", "size", "owner", "pool", "hot")
+FIELDS = ("minimizer", "size", "owner", "pool", "hot")
 STRETCH = "part int, block int, " + ", ".join(f"{x} binary" for x in FIELDS)
 
 
@@ -206,7 +209,7 @@ def _distinct(table: pa.Table, found: list, keys: np.ndarray, shared: np.ndarray
     """A block's distinct stretches of shared minimizers, with the least id that has each, for the parts. found: its chunks
     and their stretches."""
     hot = keys[shared == 2]
-    m_, h_, size_, owner_, pool_, hot_ = [], [], [], [], [], []
+    m_, size_, owner_, pool_, hot_ = [], [], [], [], []
     for data, at, ids, runs in found:
         first, many, m, text, h, key = stretches(data, at, hot) if _among(runs[2], hot).any() else runs
         keep = shared[np.searchsorted(keys, m)] > 0
@@ -219,13 +222,12 @@ def _distinct(table: pa.Table, found: list, keys: np.ndarray, shared: np.ndarray
         at_ = np.cumsum(size) - size
         m_.append(key[one])
         hot_.append(np.where(key[one] != m[one], m[one], np.uint64(0)))
-        h_.append(h[one])
         size_.append(size)
         owner_.append(ids[text[one]])
         pool_.append(data[np.repeat(first[one] - at_, size) + np.arange(size.sum())])
     if not m_:
         return pa.schema([("part", pa.int32()), ("block", pa.int32()), *((x, pa.binary()) for x in FIELDS)]).empty_table()
-    m, h, size, owner, pool, hot = (np.concatenate(x) for x in (m_, h_, size_, owner_, pool_, hot_))
+    m, size, owner, pool, hot = (np.concatenate(x) for x in (m_, size_, owner_, pool_, hot_))
     begin = np.cumsum(size) - size
     order, cut = split(m, n_parts)
     has = np.flatnonzero(np.diff(cut))
@@ -234,26 +236,70 @@ def _distinct(table: pa.Table, found: list, keys: np.ndarray, shared: np.ndarray
         own = order[cut[k] : cut[k + 1]]
         own = own[np.argsort(m[own], kind="stable")]
         w = size[own]
-        rows["minimizer"].append(m[own].tobytes())
-        rows["hash"].append(h[own].tobytes())
-        rows["hot"].append(np.unique(hot[own][hot[own] > 0]).tobytes())  # told back to the block with the answers
-        rows["size"].append(w.astype("<i4").tobytes())
-        rows["owner"].append(owner[own].tobytes())
-        rows["pool"].append(pool[np.repeat(begin[own] - (np.cumsum(w) - w), w) + np.arange(w.sum())].tobytes())
+        rows["minimizer"].append(packed(m[own]))
+        rows["hot"].append(packed(np.unique(hot[own][hot[own] > 0])))  # told back to the block with the answers
+        rows["size"].append(packed(w.astype("<i4")))
+        rows["owner"].append(packed(owner[own]))
+        rows["pool"].append(CODEC.compress(pool[np.repeat(begin[own] - (np.cumsum(w) - w), w) + np.arange(w.sum())].tobytes(), asbytes=True))
     return pa.table({"part": pa.array(has, pa.int32()), "block": pa.array(np.full(len(has), table["block"][0].as_py()), pa.int32()), **{k: pa.array(v, pa.binary()) for k, v in rows.items()}})
 
 
 LEAST = "block int, hash binary, runs binary, length binary, value binary, hot binary"
 
 
+def _batches(size: np.ndarray, group: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of whole groups of about BATCH bytes."""
+    heads = np.flatnonzero(np.diff(group, prepend=-1))
+    upto = np.concatenate([[0], np.cumsum(size)])[np.append(heads, len(size))]
+    out, a = [], 0
+    while a < len(heads):
+        b = max(a + 1, int(np.searchsorted(upto, upto[a] + BATCH)))
+        b = min(b, len(heads))
+        out.append((int(heads[a]), int(heads[b]) if b < len(heads) else len(size)))
+        a = b
+    return out
+
+
+def _gather(pool: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return pool[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+
+
+def _names(pool: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The hash of each stretch, as its block has it."""
+    out, begin = np.empty(len(size), np.uint64), np.cumsum(size) - size
+    for a, b in _batches(size, np.arange(len(size))):
+        own = Prefix(pool[begin[a] : begin[b - 1] + size[b - 1]])
+        start = begin[a:b] - begin[a]
+        out[a:b] = own(start, start + size[a:b])
+    return out
+
+
+def _runs(strings: np.ndarray, w: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of merged strings: number of runs of equal least ids in each, the runs' lengths and ids."""
+    at = np.cumsum(w) - w
+    least = merged_least(strings, w, owner)
+    begins = np.arange(len(least)) - np.repeat(at, w) <= np.repeat(w, w) - LENGTH
+    change = np.ones(len(least), bool)
+    change[1:] = least[1:] != least[:-1]
+    change[at] = True
+    head = np.flatnonzero(change & begins)
+    which = np.searchsorted(at, head, side="right") - 1
+    stop = np.append(head[1:], len(least))
+    last = np.append(which[1:] != which[:-1], True)
+    stop[last] = (at + w - LENGTH + 1)[which[last]]
+    return np.bincount(which, minlength=len(w)), stop - head, least[head]
+
+
 def _intervals(table: pa.Table) -> pa.Table:
     """A part: each stretch's strings with the least id that has them, as runs of equal ids, for the blocks that asked."""
     table = table.combine_chunks()
     owners = table["block"].to_pylist()
-    column = lambda name, kind: [np.frombuffer(x.as_py(), kind) for x in table[name]]
-    counts = [len(x) for x in column("hash", np.uint64)]
-    m, h, size, owner, pool = (np.concatenate(column(*x)) for x in (("minimizer", np.uint64), ("hash", np.uint64), ("size", "<i4"), ("owner", np.int64), ("pool", np.uint8)))
-    size = size.astype(np.int64)
+    column = lambda name, kind: [unpacked(x.as_py(), np.dtype(kind).itemsize).view(kind)[:, 0] for x in table[name]]
+    m_, size_ = column("minimizer", "<u8"), column("size", "<i4")
+    counts = [len(x) for x in m_]
+    m, size, owner = np.concatenate(m_), np.concatenate(size_).astype(np.int64), np.concatenate(column("owner", "<i8"))
+    pool = np.concatenate([np.frombuffer(CODEC.decompress(x.as_py(), decompressed_size=int(n.sum()), asbytes=True), np.uint8) for x, n in zip(table["pool"], size_, strict=True)])
+    h = _names(pool, size)
     begin = np.cumsum(size) - size
     order = np.lexsort((owner, h, m))
     new = np.ones(len(order), bool)
@@ -268,37 +314,23 @@ def _intervals(table: pa.Table) -> pa.Table:
     runs, length, value = np.ones(len(one), np.int64), size[one] - LENGTH + 1, owner[one].copy()
     if several.any():
         mine = one[several]
-        w = size[mine]
-        at = np.cumsum(w) - w
-        least = merged_least(pool[np.repeat(begin[mine] - at, w) + np.arange(w.sum())], w, owner[mine])
-        start = np.zeros(len(least), bool)
-        start[at] = True
-        begins = np.arange(len(least)) - np.repeat(at, w) <= np.repeat(w, w) - LENGTH
-        change = np.ones(len(least), bool)
-        change[1:] = least[1:] != least[:-1]
-        head = np.flatnonzero((change | start) & begins)
-        which = np.searchsorted(at, head, side="right") - 1
-        n = np.bincount(which, minlength=len(mine))
-        stop = np.append(head[1:], len(least))
-        last = np.append(which[1:] != which[:-1], True)
-        stop[last] = (at + w - LENGTH + 1)[which[last]]
-        runs[several] = n
+        done = [_runs(_gather(pool, begin[mine[a:b]], size[mine[a:b]]), size[mine[a:b]], owner[mine[a:b]]) for a, b in _batches(size[mine], group[several])]
+        runs[several] = np.concatenate([x[0] for x in done])
         every = np.repeat(several, runs)
         flat_length, flat_value = np.empty(runs.sum(), np.int64), np.empty(runs.sum(), np.int64)
-        flat_length[every], flat_value[every] = stop - head, least[head]
+        flat_length[every], flat_value[every] = np.concatenate([x[1] for x in done]), np.concatenate([x[2] for x in done])
         flat_length[~every], flat_value[~every] = length[~several], value[~several]
         length, value = flat_length, flat_value
     run_at = np.cumsum(runs) - runs
     cut = np.concatenate([[0], np.cumsum(counts)])
     out = {"runs": [], "length": [], "value": [], "hash": []}
     for a, b in zip(cut[:-1], cut[1:], strict=True):
-        own = inverse[a:b]
-        r = runs[own]
-        flat = np.repeat(run_at[own] - (np.cumsum(r) - r), r) + np.arange(r.sum())
-        out["hash"].append(h[a:b].tobytes())
-        out["runs"].append(r.astype("<i4").tobytes())
-        out["length"].append(length[flat].astype("<i4").tobytes())
-        out["value"].append(value[flat].tobytes())
+        r = runs[inverse[a:b]]
+        flat = np.repeat(run_at[inverse[a:b]] - (np.cumsum(r) - r), r) + np.arange(r.sum())
+        out["hash"].append(packed(h[a:b]))
+        out["runs"].append(packed(r.astype("<i4")))
+        out["length"].append(packed(length[flat].astype("<i4")))
+        out["value"].append(packed(value[flat]))
     return pa.table({"block": pa.array(owners, pa.int32()), **{k: pa.array(out[k], pa.binary()) for k in ("hash", "runs", "length", "value")}, "hot": table["hot"]})
 
 
@@ -308,12 +340,12 @@ RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed
 def _apply(with_text: bool):
     def run(table: pa.Table, got: pa.Table) -> pa.Table:
         got = got.combine_chunks()
-        column = lambda name, kind: np.concatenate([np.frombuffer(x.as_py(), kind) for x in got[name]]) if got.num_rows else np.zeros(0, kind)
-        h, runs, length, value = column("hash", np.uint64), column("runs", "<i4").astype(np.int64), column("length", "<i4").astype(np.int64), column("value", np.int64)
+        column = lambda name, kind: np.concatenate([unpacked(x.as_py(), np.dtype(kind).itemsize).view(kind)[:, 0] for x in got[name]]) if got.num_rows else np.zeros(0, kind)
+        h, runs, length, value = column("hash", "<u8"), column("runs", "<i4").astype(np.int64), column("length", "<i4").astype(np.int64), column("value", "<i8")
         run_at = np.cumsum(runs) - runs
         order = np.argsort(h, kind="stable")
         known = h[order]
-        hot = np.unique(column("hot", np.uint64))
+        hot = np.unique(column("hot", "<u8"))
         done = []
         for batch, data, at, ids in _chunks(table):
             first, _, _, text, mine, _ = stretches(data, at, hot)
