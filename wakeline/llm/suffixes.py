@@ -32,11 +32,11 @@ from .exchange import REPLY, answers, ask, blocks, gathered, packed, replies, sp
 LENGTH, K = 50, 16
 #: A minimizer with more different stretches than this is dealt further.
 HOT = 2000
-#: Strings are merged in batches of about so many bytes, whole minimizers each.
-BATCH = 1 << 20
+#: Strings are merged in batches of about so many bytes (what a cache holds), whole minimizers each.
+BATCH = 1 << 16
 CODEC = pa.Codec("zstd")
 #: Bytes of a shard.
-SHARD = 1 << 18
+SHARD = 1 << 14
 LAST = np.iinfo(np.int64).max
 
 
