@@ -218,6 +218,27 @@ def test_pivots(spark):
     assert pivots.linked(df.limit(0)).count() == 0
 
 
+def test_pivot_components(spark):
+    """Chains of links, whose middle ones are no one's least neighbour, against brute force."""
+    angle = math.acos(0.9) * 0.9
+    turns = {1: 0, 3: 1, 4: 2, 2: 3}  # links 1-3, 3-4, 4-2 only
+    rows = [(i, [math.cos(k * angle), math.sin(k * angle), 0.0, 0.0]) for i, k in turns.items()]
+    rng = np.random.default_rng(11)
+    for c in range(20):  # chains of eight vectors in planes of their own, ids in any order
+        a, b = np.linalg.qr(rng.normal(size=(4, 2)))[0].T
+        ids = 100 + 10 * c + rng.permutation(8)
+        rows += [(int(i), (math.cos(k * angle) * a + math.sin(k * angle) * b).tolist()) for k, i in enumerate(ids)]
+    got = {r["vec_id"]: r for r in pivots.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    x = np.array([v for _, v in rows])
+    near = x @ x.T >= 0.9
+    reach = np.linalg.matrix_power(near.astype(float), 256) > 0
+    ids = np.array([i for i, _ in rows])
+    for k, i in enumerate(ids):
+        assert got[i]["n_links"] == near[k].sum() - 1
+        want = ids[reach[k]].min()
+        assert got[i]["component_id"] == want and got[i]["kept"] == (want == i)
+
+
 def brute_suffixes(rows):
     first, out = {}, {}
     for i, text in sorted(rows, key=lambda r: r[0]):

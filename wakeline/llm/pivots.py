@@ -114,6 +114,19 @@ def _posting_kernel(pivots_of, rank_of, splits_of):
     return run
 
 
+def join_pairs(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Joins the sets of x and y, pair by pair; root names a member of each one's set, itself its own root."""
+    while True:
+        a, b = root[x], root[y]
+        apart = a != b
+        if not apart.any():
+            return
+        x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := root[root], root):
+            root[:] = up
+
+
 def _list_kernel(threshold: float):
     def run(table: pa.Table) -> pa.Table:
         own = table["list"][0].as_py()
@@ -127,7 +140,7 @@ def _list_kernel(threshold: float):
         here, column = np.unique(ranks, return_inverse=True)
         marks = np.zeros((len(cid), len(here)), np.float32)
         np.put_along_axis(marks, column.reshape(ranks.shape), 1, 1)
-        links, parent = np.zeros(len(cid), np.int64), cid.copy()
+        links, root = np.zeros(len(cid), np.int64), np.arange(len(cid))
         within = max(1, ranks.shape[1] - SHARED + 1)
         need = min(SHARED, ranks.shape[1])
         for a in range(0, len(left), 512):
@@ -146,10 +159,10 @@ def _list_kernel(threshold: float):
                 x, y = x[lead], y[lead]
                 np.add.at(links, x, copies[y])
                 np.add.at(links, y, copies[x])
-                np.minimum.at(parent, x, cid[y])
-                np.minimum.at(parent, y, cid[x])
+                join_pairs(root, x, y)
         hit = np.flatnonzero(links)
-        return pa.table({"cid": cid[hit], "links": links[hit], "other": parent[hit]})
+        # one row per vector, with the root of its set: every link of the list stays reachable
+        return pa.table({"cid": cid[hit], "links": links[hit], "other": cid[root[hit]]})
 
     return run
 
