@@ -349,6 +349,28 @@ def test_minhash(spark, docs, rows, awkward):
     assert minhash.near_duplicates(awkward.limit(0)).count() == 0
 
 
+def test_minhash_template_crowd(spark, monkeypatch):
+    """Pairs of similar texts in a crowd that shares a template, in one block and in many, against brute force."""
+    rng = np.random.default_rng(8)
+    template = [f"t{k}" for k in range(260)]
+    made = []
+    for k in range(150):
+        page = template[:220] + [f"p{k}_{j}" for j in range(40)]
+        for e in range(2):  # two that differ by a run of words: similar enough to each other only
+            c = list(page)
+            at = int(rng.integers(222, 250))
+            c[at : at + 4] = [f"e{k}_{e}_{j}" for j in range(4)]
+            made.append((int(k + 1000 * e), " ".join(c)))
+    sets = {i: shingle_set(t) for i, t in made}
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert max(like(0, k) for k in range(1, 150)) < 0.8 < min(like(k, 1000 + k) for k in range(150))
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    for block in (512, 40):
+        monkeypatch.setattr(minhash, "BLOCK", block, raising=False)
+        got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df).collect()}
+        assert got == {i: i % 1000 for i in got}
+
+
 def test_consistent_samples():
     """Two sets of weights agree in a sample about as often as their weighted Jaccard similarity."""
     rng = np.random.default_rng(5)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import CHUNK_BYTES, Words, mix, text_buffer, windows, written
 from .exchange import blocks, lookup
-from .graph import components
+from .graph import components, join_pairs
 
 BANDS, ROWS = 10, 3
 #: In so many documents at most a shingle has the full idf.
@@ -28,6 +28,8 @@ TABLE = 1 << 14
 PASS = 1 << 17
 #: Document frequencies are counted by 48 bits of a shingle's hash; a chance meeting adds a document to the count.
 KEY = np.uint64((1 << 48) - 1)
+#: A bucket of more texts, or with more shingles, is cut into blocks, which meet in pairs.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 18
 #: Hash places by which texts that are no candidates are left out before the exact join; a bound on what is broadcast.
 PLACES = 1 << 18
 
@@ -191,12 +193,77 @@ def verified(edges: DataFrame, docs: DataFrame, codes: DataFrame, n_docs: int, s
     return pairs.select("a", "b", "text_a", "text_b", "codes_a", "codes_b").mapInArrow(kernel, "a long, b long, ok boolean")
 
 
+def unresolved(members: DataFrame, linked: DataFrame) -> DataFrame:
+    """key, rep, part, lo, hi, first: members of the buckets (without their leaders) that still hold texts of different parts
+    (components so far), dealt into blocks; two blocks of a bucket meet once, `first` tells the one from the other."""
+    named = members.join(linked, F.col("rep") == F.col("node"), "left").select("key", "rep", "width", F.coalesce("component", "rep").alias("part"))
+    mixed = named.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("width") / BLOCK_SHINGLES)).cast("int").alias("splits")).where("p < q").select("key", "splits")
+    dealt = named.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64(F.lit(14), "rep"), F.col("splits")).cast("int"))
+    met = dealt.select("key", "rep", "part", "own", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("other"))
+    return met.select("key", "rep", "part", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") <= F.col("other")).alias("first"))
+
+
+def _block_kernel(n_docs: int, shingle: int, spread: float, threshold: float):
+    def run(table: pa.Table) -> pa.Table:
+        rep, part = np.asarray(table["rep"], np.int64), np.asarray(table["part"], np.int64)
+        n, same = len(rep), table["lo"][0].as_py() == table["hi"][0].as_py()
+        side = np.asarray(table["first"].to_numpy(), bool)
+        root = np.unique(part, return_inverse=True)[1]
+        root = np.unique(root, return_index=True)[1][root]  # a member of each part
+        if root.max() == root.min():
+            return table.select(["rep", "part"]).slice(0, 0).rename_columns(["a", "b"])
+        bands = np.asarray(table["bands"].combine_chunks().flatten(), np.int64).reshape(n, -1)
+        band = int(np.flatnonzero((bands == table["key"][0].as_py()).all(0))[0])
+        data, at = text_buffer(table["text"])
+        h, tf, of = counted(*shingles(data, at, shingle), n)
+        code = np.frombuffer(b"".join(x.as_py() for x in table["codes"]), np.uint8)
+        w = weights(tf, code, n_docs, spread)
+        names, column = np.unique(h, return_inverse=True)
+        total = np.add.reduceat(w, of[:-1])
+        dense, size, start = np.zeros(len(names)), np.diff(of), root.copy()
+        for x in np.flatnonzero(side):
+            near = root != root[x]
+            near[: x + 1] &= not same
+            near &= ~side | same
+            near &= np.minimum(total, total[x]) >= (threshold - 1e-9) * np.maximum(total, total[x])
+            y = np.flatnonzero(near)
+            y = y[~(bands[y, :band] == bands[x, :band]).any(1)]  # a pair is compared in the first of its buckets
+            if not len(y):
+                continue
+            own = slice(of[x], of[x + 1])
+            dense[column[own]] = w[own]
+            for k in range(0, len(y), 256):
+                z = y[k : k + 256]
+                begin = np.cumsum(size[z]) - size[z]
+                flat = np.repeat(of[z] - begin, size[z]) + np.arange(size[z].sum())
+                both = np.add.reduceat(np.minimum(dense[column[flat]], w[flat]), begin)
+                z = z[both / (total[x] + total[z] - both) >= threshold - 1e-9]
+                if len(z):
+                    join_pairs(root, np.full(len(z), x), z)
+            dense[column[own]] = 0
+        hit = np.flatnonzero((start == np.arange(n)) & (root != start))
+        return pa.table({"a": rep[root[hit]], "b": rep[hit]})
+
+    return run
+
+
+def compared(left: DataFrame, reps: DataFrame, docs: DataFrame, codes: DataFrame, n_docs: int, shingle: int, spread: float, threshold: float) -> DataFrame:
+    """Links (a, b) between parts that similar pairs within the blocks connect: a block gives fewer than it has parts."""
+    left = written(left)
+    ids = left.select(F.col("rep").alias("id")).distinct()
+    texts = docs.join(ids, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
+    own = codes.join(ids, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("cid"), "codes")
+    known = reps.select(F.col("rep").alias("bid"), "bands")
+    full = written(texts.join(own, F.col("doc_id") == F.col("cid")).join(known, F.col("doc_id") == F.col("bid")).select("doc_id", "text", "codes", "bands"))
+    return left.join(full, F.col("rep") == F.col("doc_id")).drop("doc_id").groupBy("key", "lo", "hi").applyInArrow(_block_kernel(n_docs, shingle, spread, threshold), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8, spread: float = 0.25) -> DataFrame:
     """One row per document: doc_id, rep_id (least id with the same text), component_id (least id that links of a weighted
     similarity of `threshold` or more reach), kept (the document whose id is its component's).
 
-    Candidates share a band of samples. In a bucket every text is held against the least one; those it fails are held
-    against three more, picked by hashes: a bucket costs a few edges per text, never all pairs. Null texts and texts
+    Candidates share a band of samples. In a bucket every text is held against the least one; then all pairs of the others
+    that no links connect so far are compared, in blocks that meet in pairs. Null texts and texts
     without words are alone. Documents are known by doc_id: rows that share one are one document, rows without one
     are alone (component null, kept). Extra columns are ignored; an empty table gives no rows.
     """
@@ -204,22 +271,16 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8
     n_docs = docs.count()
     sig = written(signatures(docs, n_docs, shingle, spread))
     shingled = sig.where("bands is not null and doc_id is not null")
-    reps = written(shingled.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
-    posted = reps.select("rep", F.explode("bands").alias("key"))
-    order = [F.xxhash64(F.lit(s), "rep") for s in (11, 12, 13)]
-    heads = posted.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("lead"), *(F.min(F.struct(o.alias("h"), "rep")).alias(f"l{k}") for k, o in enumerate(order)))
-    heads = written(heads.where("n > 1").select("key", "lead", *(F.col(f"l{k}.rep").alias(f"l{k}") for k in range(3))))
-    members = written(posted.join(heads, "key"))
+    reps = written(shingled.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.min_by(F.length("codes"), "doc_id").alias("width")))
+    posted = reps.select("rep", "width", F.explode("bands").alias("key"))
+    heads = written(posted.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("lead")).where("n > 1").select("key", "lead"))
+    members = written(posted.join(heads, "key").where("rep <> lead"))
     codes = shingled.select("doc_id", "codes")
-
-    def checked(edges: DataFrame) -> DataFrame:
-        edges = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return written(verified(written(edges), docs, codes, n_docs, shingle, spread, threshold))
-
-    first = checked(members.select(F.col("lead").alias("a"), F.col("rep").alias("b")))
-    failed = members.join(first.where("not ok"), (F.col("lead") == F.col("a")) & (F.col("rep") == F.col("b")), "left_semi")
-    more = checked(failed.select(F.explode(F.array("l0", "l1", "l2")).alias("a"), F.col("rep").alias("b")))
-    linked = components(first.where("ok").unionByName(more.where("ok")).select("a", "b"))
+    edges = written(members.select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct())
+    first = written(verified(edges, docs, codes, n_docs, shingle, spread, threshold)).where("ok").select("a", "b")
+    left = unresolved(members, components(first))
+    more = written(compared(left, reps, docs, codes, n_docs, shingle, spread, threshold))
+    linked = components(first.unionByName(more))
     named = sig.select("doc_id", "h1", "h2", F.col("bands").isNotNull().alias("shingled"))
     same = reps.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "rep")
     out = named.join(same, F.col("shingled") & (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left")

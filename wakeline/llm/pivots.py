@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix, written
-from .graph import components
+from .graph import components, join_pairs
 
 DEPTH, SHARED = 10, 3
 #: Vectors per pivot aimed at, and bounds of the number of pivots (what is broadcast: MOST_PIVOTS vectors at most).
@@ -114,19 +114,6 @@ def _posting_kernel(pivots_of, rank_of, splits_of):
     return run
 
 
-def join_pairs(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
-    """Joins the sets of x and y, pair by pair; root names a member of each one's set, itself its own root."""
-    while True:
-        a, b = root[x], root[y]
-        apart = a != b
-        if not apart.any():
-            return
-        x, y, a, b = x[apart], y[apart], a[apart], b[apart]
-        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-        while not np.array_equal(up := root[root], root):
-            root[:] = up
-
-
 def _list_kernel(threshold: float):
     def run(table: pa.Table) -> pa.Table:
         own = table["list"][0].as_py()
