@@ -310,6 +310,21 @@ def test_pii(awkward):
     assert pii.pseudonymised(awkward.limit(0)).count() == 0
 
 
+def test_pii_planted():
+    """Phones of any area code and addresses of any octets up to 255 are replaced, different ones by different ones."""
+    w = pii.Pseudonyms(b"key")
+    phones = ["+1 (017) 555-7713", "+1 (117) 555-7713", "(000) 555-0000", "017-555-7714", "1 917 555 7713"]
+    addresses = ["233.254.104.120", "248.40.198.62", "0.1.2.3", "127.0.0.1", "255.255.255.255", "10.020.3.4"]
+    for kind, values in (("phone", phones), ("ip", addresses)):
+        new = []
+        for value in values:
+            text, n = w.text(f"at {value} now")
+            assert n == {kind: 1} and value not in text and w.text(text)[1] == {kind: 1}
+            new.append(text)
+        assert len({re.sub(r"\D", "", x) for x in new}) == len(values)
+    assert w.text("at 256.1.1.1 now") == ("at 256.1.1.1 now", {})
+
+
 def shingle_set(text):
     w = words(text)
     return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)]) if w else frozenset()

@@ -87,11 +87,9 @@ def _phone(text: str, key: bytes) -> str | None:
         n = len(d) - 2  # an international number: its first two digits stay
         return _refill(text, d[:2] + str(permute(int(d[2:]), 10**n, key, f"phone{d[:2]}{n}")).zfill(n))
     head, d = d[:-10], d[-10:]
-    if head not in ("", "1") or len(d) != 10 or d[0] in "01":
+    if head not in ("", "1") or len(d) != 10:
         return None
-    x = (int(d[0]) - 2) * 10**9 + int(d[1:])
-    x = permute(x, 8 * 10**9, key, "phone")
-    return _refill(text, head + str(x // 10**9 + 2) + str(x % 10**9).zfill(9))
+    return _refill(text, head + str(permute(int(d), 10**10, key, "phone")).zfill(10))
 
 
 def _ssn_ok(x: int) -> bool:
@@ -104,16 +102,11 @@ def _ssn(text: str, key: bytes) -> str | None:
     return _refill(text, str(permute_within(x, 10**9, _ssn_ok, key, "ssn")).zfill(9)) if _ssn_ok(x) else None
 
 
-def _ip_ok(x: int) -> bool:
-    return 1 <= x >> 24 <= 223 and x >> 24 != 127
-
-
 def _ip(text: str, key: bytes) -> str | None:
-    parts = text.split(".")
-    if any(int(p) > 255 or (len(p) > 1 and p[0] == "0") for p in parts):
+    parts = [int(p) for p in text.split(".")]
+    if max(parts) > 255:
         return None
-    x = int(ipaddress.IPv4Address(text))
-    return str(ipaddress.IPv4Address(permute_within(x, 1 << 32, _ip_ok, key, "ip"))) if _ip_ok(x) else None
+    return str(ipaddress.IPv4Address(permute(int.from_bytes(bytes(parts), "big"), 1 << 32, key, "ip")))
 
 
 def _date(text: str, key: bytes) -> str | None:
@@ -237,7 +230,7 @@ def pseudonymised(df: DataFrame, *, key: bytes = b"wakeline") -> DataFrame:
     """df with its column text rewritten, and n_<kind> counts added (an own column of that name is replaced).
 
     A null text stays null, an empty one empty; texts of any length are taken whole; repeated rows are rewritten alike.
-    Numbers that fail their check (Luhn, mod 97, octets, calendar, number plan) are left as they are.
+    Numbers that fail their check (Luhn, mod 97, octets, calendar, social security areas) are left as they are.
     """
     added = [f"n_{k}" for k in KINDS]
     df = df.drop(*added)
