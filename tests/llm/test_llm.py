@@ -272,6 +272,25 @@ def test_suffixes(spark, docs, rows, awkward):
     assert suffixes.deduped(awkward.limit(0)).count() == 0
 
 
+def test_hot_keys_of_blocks():
+    """Equal strings are dealt alike whatever other hot minimizers their blocks have."""
+    rng = np.random.default_rng(4)
+    data = rng.choice(list(b"abcdefgh "), 600).astype(np.uint8)
+    at = np.array([0, len(data)])
+    m = np.unique(suffixes.stretches(data, at)[2])
+    start = np.arange(len(data) - suffixes.K + 1)
+    parts = np.unique(suffixes.Prefix(data)(start, start + suffixes.K))
+
+    def keys(hot):
+        first, many, _, _, _, key = suffixes.stretches(data, at, np.sort(hot))
+        return np.repeat(key, many)
+
+    alone = keys(m)
+    assert len(np.unique(alone)) > len(m)
+    # hot elsewhere too: parts that are never the least of a string here
+    assert np.array_equal(alone, keys(np.union1d(m, rng.permutation(parts)[: len(parts) // 2])))
+
+
 def test_merged_intervals():
     """Merging by interleave refinement, many shards, against a table of all strings."""
     rng = np.random.default_rng(1)

@@ -6,7 +6,7 @@ in one part, and a run of strings with one minimizer travels as one stretch of t
 has are left out before (a keyed lookup); they can't repeat.
 
 A minimizer that many different stretches have (a common phrase in ever other surroundings) is dealt further, by the least
-of the string's other parts, which equal strings share too.
+of the string's parts under another hash, which equal strings share too.
 
 A part puts the stretches of each minimizer together. Where they all read the same there is nothing to merge. The others are
 dealt into shards; each shard's suffixes are sorted once and give its transform. The shards are merged without
@@ -89,7 +89,7 @@ def stretches(data: np.ndarray, at: np.ndarray, hot: np.ndarray | None = None) -
     m = _least(h)
     key = m
     if hot is not None and len(hot) and (split_ := _among(m, hot)).any():
-        other = _least(np.where(_among(h, hot), np.uint64(0xFFFFFFFFFFFFFFFF), h))
+        other = _least(mix(h ^ BASE))  # of the string alone, so that every block has the same one
         key = np.where(split_, mix(m * np.uint64(31) + other), m)
     text = np.repeat(np.arange(len(at) - 1), np.diff(at))[: len(m)]
     valid = np.arange(len(m)) + LENGTH <= at[text + 1]
