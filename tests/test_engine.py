@@ -95,6 +95,7 @@ def test_explain(spark):
     top = spark.createDataFrame([(None, 1, 2, 0.9), (5, 1, 2, 0.8)], "mmsi long, t_prev long, t_curr long, anomaly_score double")
     feats = spark.createDataFrame([(None, 1, 2, 10.0, 5.0), (5, 1, 2, 3.0, 0.0), (5, 1, 2, 4.0, 2.0)], "mmsi long, t_prev long, t_curr long, dist_m double, delta_t_s double")
     out = explain.explain_table(top, feats, [F.desc("anomaly_score"), F.col("dist_m")]).collect()
+    assert list(out[0].asDict())[:6] == ["mmsi", "t_prev", "t_curr", "anomaly_score", "anomaly_rank", "anomaly_rank_pct"]
     assert [r["anomaly_rank"] for r in out] == [1, 2, 3] and out[0]["dist_m"] == 10.0 and out[1]["implied_mps"] is None
     with pytest.raises(ValueError):
         explain.explain_join(top.drop("mmsi"), feats)
@@ -110,6 +111,22 @@ def test_rules(spark):
     assert zero == pytest.approx(1e10)
 
 
+def test_fixed_tables():
+    assert rules.RULES == {"speed": ("sog_curr", "abs_dsog"), "turn": ("abs_dcog",), "timegap": ("delta_t_s",), "distance": ("dist_m", "implied_kts")}
+    assert T.ERR_GROUPS == {"speed": (0,), "course": (1, 2), "heading": (3, 4), "position_jump": (5, 6), "time_gap": (7,)}
+    assert explain.FRONT[:7] == ["mmsi", "t_prev", "t_curr", "anomaly_score", "decision_function", "anomaly_rank", "anomaly_rank_pct"] and explain.FRONT[-1] == "vessel_type"
+
+
+def test_rule_speed(spark):
+    """An implied speed alone is a distance, never a speed."""
+    df = spark.createDataFrame([(1.0, 0.0, 99.0)], "sog_curr double, abs_dsog double, implied_kts double")
+    limits = {"sog_curr": 10.0, "abs_dsog": 10.0, "implied_kts": 20.0}
+    assert rules.classify(df, limits).first()["categories"] == "distance"
+    rows = {r["category"]: r for r in rules.summary_table(rules.classify(df, limits), limits, "p99").collect()}
+    assert rows["distance"]["thresholds"] == "dist_m > inf, implied_kts > 20.00" and rows["distance"]["n_anomalies"] == 1 and rows["unclassified"]["thresholds"] == "-"
+    assert rows["speed"]["threshold_level"] == "p99" and rows["speed"]["rule_description"].endswith("fleet p99)")
+
+
 def test_events(spark):
     p = reports(spark, {1: [(i * 60, 5) for i in range(5)]})
     ev = spark.createDataFrame([(7, 1, 60, 120, "top", 1.0), (8, 9, 60, 120, "top", 0.5)], "key long, mmsi long, t_prev long, t_curr long, sample_kind string, score double")

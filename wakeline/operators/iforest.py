@@ -1,7 +1,4 @@
-"""Isolation Forest: trees from hash-chosen samples, built in parallel; scores by walking them in vectorised batches.
-
-A small forest can be rendered to a native expression or to SQL, which gives its scores an exact oracle.
-"""
+"""Isolation Forest: trees from hash-chosen samples, built in parallel; scores by walking them in vectorised batches."""
 
 from __future__ import annotations
 
@@ -10,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 EULER = 0.5772156649
@@ -140,23 +137,3 @@ def score(df: DataFrame, nodes: DataFrame, meta: dict) -> DataFrame:
 
     out = df.withColumn("anomaly_score", run(*(F.col(c).cast("double") for c in features)))
     return out.withColumn("decision_function", -F.col("anomaly_score") - meta.get("offset", -0.5))
-
-
-def as_column(nodes: list[tuple], features: list[str], psi: int) -> Column:
-    """A small forest as a native expression."""
-    return F.expr(as_sql(nodes, features, psi))
-
-
-def as_sql(nodes: list[tuple], features: list[str], psi: int) -> str:
-    """A small forest as SQL that engines share."""
-    by = {(r[0], r[1]): r for r in nodes}
-
-    def walk(tree: int, node: int) -> str:
-        _, _, f, cut, left, right, size, depth = by[tree, node]
-        if f < 0:
-            return f"{depth + mean_path(size):.12f}e0"
-        return f"(case when {features[f]} <= {cut!r}e0 then {walk(tree, left)} else {walk(tree, right)} end)"
-
-    trees = sorted({r[0] for r in nodes})
-    total = " + ".join(walk(t, 0) for t in trees)
-    return f"power(2.0e0, -({total}) / {len(trees) * (mean_path(psi) or 1.0):.12f}e0)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rules import DESCRIPTIONS, RULES, category_summary, multi_category_count, rule_text
+from .rules import RULES, category_summary, multi_category_count, rule_text
 from .trajectory import ERR_GROUPS
 
 
@@ -24,7 +24,7 @@ def forest_report(meta: dict, summary: DataFrame, n_top: int) -> str:
 
 
 def category_report(classified: DataFrame, limits: dict[str, float | None]) -> str:
-    lines = ["Categories", *(f"{n}: {DESCRIPTIONS[n]} ({t})" for n, t in rule_text(limits).items())]
+    lines = ["Categories", *(f"{n}: {t}" for n, t in rule_text(limits).items())]
     lines += [f"{r['category']}: {r['n']} ({r['pct']} %)" for r in category_summary(classified, RULES).collect()]
     return "\n".join([*lines, f"more than one: {multi_category_count(classified).first()[0]}"])
 

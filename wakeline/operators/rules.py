@@ -11,9 +11,16 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions.stats import average_tie_percent_rank
 
-#: Category -> features, in order of the labels.
-RULES = {"speed": ("sog_curr", "abs_dsog", "implied_kts"), "turn": ("abs_dcog",), "timegap": ("delta_t_s",), "distance": ("dist_m", "implied_kts")}
-DESCRIPTIONS = {"speed": "unusual speed or change of speed", "turn": "sharp change of course", "timegap": "long silence between reports", "distance": "large jump between reports"}
+# The categories with their features, in order of the labels, and texts that appear in output tables.
+RULES = {"speed": ("sog_curr", "abs_dsog"), "turn": ("abs_dcog",), "timegap": ("delta_t_s",), "distance": ("dist_m", "implied_kts")}
+DESCRIPTIONS = {
+    "speed": "high reported SOG or sudden speed change (sog_curr or |dsog| > fleet {pct})",
+    "turn": "large course change (|dcog| > fleet {pct})",
+    "timegap": "long gap between pings (delta_t_s > fleet {pct})",
+    "distance": "large position jump (dist_m or implied_kts > fleet {pct})",
+}
+NO_RULE = "no single feature exceeds fleet threshold"
+ASSIGNMENT = "multi-label (OR)"
 FALLBACK = "unclassified"
 PERCENTILES = ("p50", "p95", "p99", "p999")
 
@@ -66,5 +73,15 @@ def multi_category_count(classified: DataFrame) -> DataFrame:
     return classified.agg(F.coalesce(F.sum((F.col("n_categories") > 1).cast("long")), F.lit(0)).alias("n_multi"))
 
 
-def rule_text(limits: dict[str, float | None], rules: dict[str, tuple[str, ...]] = RULES) -> dict[str, str]:
-    return {n: " OR ".join(f"{f} > {limits[f]:.4f}" for f in fs if limits.get(f) is not None) for n, fs in rules.items()}
+def rule_text(limits: dict[str, float | None], rules: dict[str, tuple[str, ...]] = RULES, between: str = " OR ") -> dict[str, str]:
+    """Each category's rule with its thresholds to 2 places; a feature without one never exceeds it (inf)."""
+    return {n: between.join(f"{f} > {float('inf') if limits.get(f) is None else limits[f]:.2f}" for f in fs) for n, fs in rules.items()}
+
+
+def summary_table(classified: DataFrame, limits: dict[str, float | None], level: str, rules: dict[str, tuple[str, ...]] = RULES) -> DataFrame:
+    """The summary as it is published: counts and shares with the thresholds and rules that led to them."""
+    texts = rule_text(limits, rules, ", ")
+    rows = [(n, level, texts[n], DESCRIPTIONS.get(n, n).format(pct=level), ASSIGNMENT) for n in rules] + [(FALLBACK, level, "-", NO_RULE, "-")]
+    told = F.explode(F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(("name", "threshold_level", "thresholds", "rule_description", "assignment"), row, strict=True))) for row in rows)))
+    summary = category_summary(classified, rules).select(F.col("category"), F.col("n").alias("n_anomalies"), F.col("pct").alias("pct_of_if_total"), told.alias("x"))
+    return summary.where("category = x.name").select("category", "n_anomalies", "pct_of_if_total", "x.threshold_level", "x.thresholds", "x.rule_description", "x.assignment")

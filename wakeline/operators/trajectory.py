@@ -10,13 +10,19 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 
-#: Columns of the sequence model, in order.
+# Columns of the sequence model, in order.
 SEQ_FEATURES = ("sog", "cog_sin", "cog_cos", "heading_sin", "heading_cos", "delta_lat", "delta_lon", "log_delta_t")
 #: Added before rounding to 6 places: exact ties go up, whatever the last bit of the double.
 TIE = 1e-9
-#: What each error group sums, by place in SEQ_FEATURES.
+# What each error group sums, by place in SEQ_FEATURES, and its text in output tables.
 ERR_GROUPS = {"speed": (0,), "course": (1, 2), "heading": (3, 4), "position_jump": (5, 6), "time_gap": (7,)}
-ERR_REASONS = {k: f"largest next-step error in {v}" for k, v in (("speed", "speed"), ("course", "course over ground"), ("heading", "heading"), ("position_jump", "position"), ("time_gap", "time between reports"))}
+ERR_REASONS = {
+    "speed": "unexpected speed change",
+    "course": "unexpected course change",
+    "heading": "unexpected heading change",
+    "position_jump": "unexpected position jump",
+    "time_gap": "unexpected time gap pattern",
+}
 
 
 def by_vessel(*extra: str) -> WindowSpec:

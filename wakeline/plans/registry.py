@@ -90,15 +90,14 @@ def sql_limit(feature: str) -> str:
     return f"(select p95 from fleet where feature = '{feature}')"
 
 
-def _sql_classified() -> str:
-    cats = ", ".join("(" + " or ".join(f"coalesce({f}, 0) > {sql_limit(f)}" for f in fs) + f") as cat_{n}" for n, fs in rules.RULES.items())
-    scores = ", ".join(f"round_even(greatest(0e0, {', '.join(f'coalesce({f}, 0) / greatest({sql_limit(f)}, 1e-9)' for f in fs)}), 4) as cat_score_{n}" for n, fs in rules.RULES.items())
-    names = ", ".join(f"case when cat_{n} then '{n}' end" for n in rules.RULES)
-    count = " + ".join(f"cat_{n}::int" for n in rules.RULES)
-    return f"{SQL_PAIRS}, fleet as ({SQL_FLEET}), marked as (select *, {cats}, {scores} from pairs), classified as (select *, coalesce(nullif(concat_ws(',', {names}), ''), 'unclassified') as categories, {count} as n_categories from marked)"
-
-
-SQL_CLASSIFIED = _sql_classified()
+# Written out by hand, so that it tests the table of rules.
+SQL_CLASSIFIED = f"""{SQL_PAIRS}, fleet as ({SQL_FLEET}), p95 as (select {sql_limit("sog_curr")} as sog, {sql_limit("abs_dsog")} as p95_dsog, {sql_limit("abs_dcog")} as p95_dcog, {sql_limit("delta_t_s")} as gap, {sql_limit("dist_m")} as dist, {sql_limit("implied_kts")} as kts),
+ zeroed as (select pairs.*, p95.*, coalesce(sog_curr, 0) as z_sog, coalesce(abs_dsog, 0) as z_dsog, coalesce(abs_dcog, 0) as z_dcog, coalesce(delta_t_s, 0) as z_gap, coalesce(dist_m, 0) as z_dist, coalesce(implied_kts, 0) as z_kts from pairs, p95),
+ marked as (select *, z_sog > sog or z_dsog > p95_dsog as cat_speed, z_dcog > p95_dcog as cat_turn, z_gap > gap as cat_timegap, z_dist > dist or z_kts > kts as cat_distance,
+  round_even(greatest(0e0, z_sog / greatest(sog, 1e-9), z_dsog / greatest(p95_dsog, 1e-9)), 4) as cat_score_speed, round_even(greatest(0e0, z_dcog / greatest(p95_dcog, 1e-9)), 4) as cat_score_turn,
+  round_even(greatest(0e0, z_gap / greatest(gap, 1e-9)), 4) as cat_score_timegap, round_even(greatest(0e0, z_dist / greatest(dist, 1e-9), z_kts / greatest(kts, 1e-9)), 4) as cat_score_distance from zeroed),
+ classified as (select *, coalesce(nullif(concat_ws(',', case when cat_speed then 'speed' end, case when cat_turn then 'turn' end, case when cat_timegap then 'timegap' end, case when cat_distance then 'distance' end), ''), 'unclassified') as categories,
+  cat_speed::int + cat_turn::int + cat_timegap::int + cat_distance::int as n_categories from marked)"""
 
 
 @query("ais_points", f"with {SQL_POINTS} select * from points")
@@ -197,23 +196,23 @@ def explain_join(spark, d):
     return out.withColumn("anomaly_rank_pct", F.round("anomaly_rank_pct", 6)).select(*EXPLAINED.split(", "))
 
 
-@query("explain_null_keys", f"""with {SQL_PAIRS}, a as (select case when event_id % 40 = 0 then null else mmsi end as mmsi, t_curr, event_id as top_id from pairs where event_id % 20 = 0),
+@query("explain_null_keys", f"""with {SQL_PAIRS}, a as (select case when event_id % 40 = 0 then null else mmsi end as mmsi, t_curr, event_id as top_id from pairs),
  b as (select case when event_id % 40 = 0 then null else mmsi end as mmsi, t_curr, dist_m from pairs) select a.mmsi, a.t_curr, top_id, dist_m, b.t_curr is not null as matched from a left join b on a.mmsi is not distinct from b.mmsi and a.t_curr is not distinct from b.t_curr""")
 def explain_null_keys(spark, d):
     df = pairs(spark, d).withColumn("mmsi", F.when(F.col("event_id") % 40 == 0, None).otherwise(F.col("mmsi")))
-    top = df.where("event_id % 20 = 0").select("mmsi", "t_curr", F.col("event_id").alias("top_id"))
+    top = df.select("mmsi", "t_curr", F.col("event_id").alias("top_id"))
     return explain.explain_join(top, df.select("mmsi", "t_curr", "dist_m"), ("mmsi", "t_curr")).select("mmsi", "t_curr", "top_id", "dist_m", "matched")
 
 
-@query("explain_unmatched", f"with {SQL_PAIRS}, a as (select mmsi, t_curr + (event_id % 2) * 100000000 as t_curr from pairs where event_id % 20 < 2) select count(*) - sum((exists (select 1 from pairs b where b.mmsi = a.mmsi and b.t_curr = a.t_curr))::int) as n_unmatched from a")
+@query("explain_unmatched", f"with {SQL_PAIRS}, a as (select mmsi, t_curr + (event_id % 2) * 100000000 as t_curr from pairs) select count(*) - sum((exists (select 1 from pairs b where b.mmsi = a.mmsi and b.t_curr = a.t_curr))::int) as n_unmatched from a")
 def explain_unmatched(spark, d):
     df = pairs(spark, d)
-    top = df.where("event_id % 20 < 2").select("mmsi", (F.col("t_curr") + (F.col("event_id") % 2) * 100000000).alias("t_curr"))
+    top = df.select("mmsi", (F.col("t_curr") + (F.col("event_id") % 2) * 100000000).alias("t_curr"))
     return explain.unmatched_count(explain.explain_join(top, df.select("mmsi", "t_curr").distinct(), ("mmsi", "t_curr")))
 
 
-CATS = ", ".join(f"cat_{n}" for n in rules.RULES)
-SCORES = ", ".join(f"cat_score_{n}" for n in rules.RULES)
+CATEGORIES = ("speed", "turn", "timegap", "distance")
+CATS = "cat_speed, cat_turn, cat_timegap, cat_distance"
 
 
 @query("classify_labels", f"with {SQL_CLASSIFIED} select event_id, {CATS}, categories, n_categories from classified")
@@ -221,16 +220,33 @@ def classify_labels(spark, d):
     return classified(spark, d).select("event_id", *CATS.split(", "), "categories", "n_categories")
 
 
-@query("classify_scores", f"with {SQL_CLASSIFIED}, x as (" + " union all ".join(f"select event_id, '{n}' as category, cat_score_{n} as category_score from classified where cat_{n}" for n in rules.RULES) + ") select *, round_even(100 * (rank() over (partition by category order by category_score) + (count(*) over (partition by category, category_score) - 1) / 2e0) / count(*) over (partition by category), 2) as percentile_rank from x")
+@query("classify_scores", f"with {SQL_CLASSIFIED}, x as (" + " union all ".join(f"select event_id, '{n}' as category, cat_score_{n} as category_score from classified where cat_{n}" for n in CATEGORIES) + ") select *, round_even(100 * (rank() over (partition by category order by category_score) + (count(*) over (partition by category, category_score) - 1) / 2e0) / count(*) over (partition by category), 2) as percentile_rank from x")
 def classify_scores(spark, d):
     return rules.category_rows(classified(spark, d)).select("event_id", "category", "category_score", "percentile_rank")
 
 
-@query("classify_summary", f"with {SQL_CLASSIFIED} " + " union all ".join(f"select '{n}' as category, coalesce(sum(({c})::int), 0)::bigint as n, round_even(100 * coalesce(sum(({c})::int), 0)::double / greatest(count(*), 1), 2) as pct from classified" for n, c in [*((n, f"cat_{n}") for n in rules.RULES), ("unclassified", "n_categories = 0")]))
+@query("classify_summary", f"with {SQL_CLASSIFIED} " + " union all ".join(f"select '{n}' as category, coalesce(sum(({c})::int), 0)::bigint as n, round_even(100 * coalesce(sum(({c})::int), 0)::double / greatest(count(*), 1), 2) as pct from classified" for n, c in [*((n, f"cat_{n}") for n in CATEGORIES), ("unclassified", "n_categories = 0")]))
 def classify_summary(spark, d):
     return rules.category_summary(classified(spark, d))
 
 
+SQL_TWO = "(select printf('%.2f', p95) from fleet where feature = '{}')"
+SQL_RULE_ROWS = [
+    ("speed", "cat_speed", f"'sog_curr > ' || {SQL_TWO.format('sog_curr')} || ', abs_dsog > ' || {SQL_TWO.format('abs_dsog')}", "high reported SOG or sudden speed change (sog_curr or |dsog| > fleet p95)", "multi-label (OR)"),
+    ("turn", "cat_turn", f"'abs_dcog > ' || {SQL_TWO.format('abs_dcog')}", "large course change (|dcog| > fleet p95)", "multi-label (OR)"),
+    ("timegap", "cat_timegap", f"'delta_t_s > ' || {SQL_TWO.format('delta_t_s')}", "long gap between pings (delta_t_s > fleet p95)", "multi-label (OR)"),
+    ("distance", "cat_distance", f"'dist_m > ' || {SQL_TWO.format('dist_m')} || ', implied_kts > ' || {SQL_TWO.format('implied_kts')}", "large position jump (dist_m or implied_kts > fleet p95)", "multi-label (OR)"),
+    ("unclassified", "n_categories = 0", "'-'", "no single feature exceeds fleet threshold", "-"),
+]
+
+
+@query("classify_summary_table", f"with {SQL_CLASSIFIED} " + " union all ".join(f"select '{n}' as category, coalesce(sum(({c})::int), 0)::bigint as n_anomalies, round_even(100 * coalesce(sum(({c})::int), 0)::double / greatest(count(*), 1), 2) as pct_of_if_total, 'p95' as threshold_level, {t} as thresholds, '{text}' as rule_description, '{how}' as assignment from classified" for n, c, t, text, how in SQL_RULE_ROWS))
+def classify_summary_table(spark, d):
+    df = pairs(spark, d)
+    limits = rules.thresholds(fleet(df), "p95")
+    return rules.summary_table(rules.classify(df, limits), limits, "p95")
+
+
 @query("multi_category_count", f"with {SQL_CLASSIFIED} select coalesce(sum((n_categories > 1)::int), 0)::bigint as n_multi from classified")
 def multi_category_count(spark, d):
     return rules.multi_category_count(classified(spark, d))
@@ -355,9 +371,11 @@ def _sql_error(x: str) -> str:
     return f"power(({x} - b_{x}) / (case when s_{x} < 1e-8 then 1 else s_{x} end), 2)"
 
 
-SQL_ERRORS = ", ".join(" + ".join(_sql_error(T.SEQ_FEATURES[k]) for k in places) + f" as err_{n}" for n, places in T.ERR_GROUPS.items())
+# Written out by hand, so that it tests the table of error groups.
+SQL_ERRORS = f"""{_sql_error("sog")} as err_speed, {_sql_error("cog_sin")} + {_sql_error("cog_cos")} as err_course, {_sql_error("heading_sin")} + {_sql_error("heading_cos")} as err_heading,
+ {_sql_error("delta_lat")} + {_sql_error("delta_lon")} as err_position_jump, {_sql_error("log_delta_t")} as err_time_gap"""
 SQL_SCORED = f"{SQL_WINDOWS}, e as (select event_id, mmsi, {SQL_ERRORS}, ({' + '.join(_sql_error(x) for x in T.SEQ_FEATURES)}) / 8 as anomaly_score from w, s where valid)"
-ERRS = [f"err_{n}" for n in T.ERR_GROUPS]
+ERRS = ["err_speed", "err_course", "err_heading", "err_position_jump", "err_time_gap"]
 
 
 def _seq_scores(spark, d) -> DataFrame:
@@ -370,16 +388,17 @@ def seq_persistence_scores(spark, d):
     return _seq_scores(spark, d).select("event_id", "mmsi", *(F.round(x, 4).alias(x) for x in ("anomaly_score", *ERRS)))
 
 
-SQL_LABEL = "case greatest(" + ", ".join(ERRS) + ") " + " ".join(f"when err_{n} then '{n}'" for n in T.ERR_GROUPS) + " end"
+SQL_LABEL = "case greatest(err_speed, err_course, err_heading, err_position_jump, err_time_gap) when err_speed then 'speed' when err_course then 'course' when err_heading then 'heading' when err_position_jump then 'position_jump' when err_time_gap then 'time_gap' end"
+SQL_REASON = "case dominant_error when 'speed' then 'unexpected speed change' when 'course' then 'unexpected course change' when 'heading' then 'unexpected heading change' when 'position_jump' then 'unexpected position jump' when 'time_gap' then 'unexpected time gap pattern' end"
 SQL_SEQ_TOP = f"{SQL_SCORED}, o as (select *, row_number() over (order by anomaly_score desc, mmsi, event_id) as rank, count(*) over () as n from e), t as (select event_id, mmsi, rank, round(anomaly_score, 4) as anomaly_score, round_even(100 * (1 - (rank - 1) / n::double), 4) as percentile_rank, {SQL_LABEL} as dominant_error from o where rank <= greatest(1, floor(n * 0.01)))"
 
 
-@query("seq_top", f"with {SQL_SEQ_TOP} select * from t")
+@query("seq_top", f"with {SQL_SEQ_TOP} select *, {SQL_REASON} as reason_text from t")
 def seq_top(spark, d):
-    return sequence.top(_seq_scores(spark, d)).select("event_id", "mmsi", "rank", F.round("anomaly_score", 4).alias("anomaly_score"), "percentile_rank", "dominant_error")
+    return sequence.top(_seq_scores(spark, d)).select("event_id", "mmsi", "rank", F.round("anomaly_score", 4).alias("anomaly_score"), "percentile_rank", "dominant_error", "reason_text")
 
 
-@query("dominant_error_counts", f"with {SQL_SEQ_TOP}, x as (values " + ", ".join(f"('{n}')" for n in T.ERR_GROUPS) + ") select col0 as dominant_error, count(event_id) as n, round_even(100 * count(event_id) / (select greatest(count(*), 1) from t)::double, 2) as pct from x left join t on dominant_error = col0 group by col0")
+@query("dominant_error_counts", f"with {SQL_SEQ_TOP}, x as (values ('speed'), ('course'), ('heading'), ('position_jump'), ('time_gap')) select col0 as dominant_error, count(event_id) as n, round_even(100 * count(event_id) / (select greatest(count(*), 1) from t)::double, 2) as pct from x left join t on dominant_error = col0 group by col0")
 def dominant_error_counts(spark, d):
     return reports.dominant_counts(sequence.top(_seq_scores(spark, d)))
 
@@ -416,7 +435,19 @@ def pinned_forest() -> list[tuple]:
     return [n for t in range(10) for n in iforest.build_tree(np.round(x, 3), t, 7, 4)]
 
 
-@query("iforest_scores_pinned", f"with {SQL_PAIRS}, z as (select event_id, {iforest.as_sql(pinned_forest(), PINNED_FEATURES, PINNED_SIZE)} as s from pairs) select event_id, round(s, 6) as anomaly_score, round(-s + 0.5e0, 6) + 0e0 as decision_function from z")
+def _sql_walk() -> str:
+    """The forest as a table of nodes, walked by a recursive query: nothing of the engine's own scoring is in it."""
+    rows = ", ".join(f"({t}, {n}, {f}, {cut!r}e0, {left}, {right}, {size}, {depth})" for t, n, f, cut, left, right, size, depth in pinned_forest())
+    x = " ".join(f"when {k} then p.{c}" for k, c in enumerate(PINNED_FEATURES))
+    path = lambda n: f"(case when {n} <= 1 then 0e0 when {n} = 2 then 1e0 else 2 * (ln({n} - 1) + 0.5772156649e0) - 2 * ({n} - 1) / ({n})::double end)"
+    return f"""with recursive {SQL_PAIRS}, nodes(tree, node, feature, cut, l, r, size, depth) as (values {rows}),
+ walk(event_id, tree, node) as (select event_id, tree, 0 from pairs, (select distinct tree from nodes) union all
+  select w.event_id, w.tree, case when (case n.feature {x} end) <= n.cut then n.l else n.r end from walk w join nodes n on n.tree = w.tree and n.node = w.node join pairs p on p.event_id = w.event_id where n.feature >= 0),
+ z as (select event_id, power(2e0, -avg(depth + {path("size")}) / {path(str(PINNED_SIZE))}) as s from walk join nodes using (tree, node) where feature < 0 group by event_id)
+ select event_id, round(s, 6) as anomaly_score, round(-s + 0.5e0, 6) + 0e0 as decision_function from z"""
+
+
+@query("iforest_scores_pinned", _sql_walk())
 def iforest_scores_pinned(spark, d):
     nodes = spark.createDataFrame(pinned_forest(), iforest.NODES)
     ship(spark)
