@@ -105,6 +105,10 @@ def powers(n: int) -> np.ndarray:
     return _powers
 
 
+#: Bytes of a segment that are hashed in one sum; the sum is linear in the bytes, so long ones are put together from mixed parts.
+LINEAR = 512
+
+
 def segment_hash(data: np.ndarray, starts: np.ndarray, inside: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each segment: the bytes from its start that are `inside`, up to the next segment's start."""
     if not len(starts):
@@ -113,9 +117,20 @@ def segment_hash(data: np.ndarray, starts: np.ndarray, inside: np.ndarray) -> np
     at[starts] = starts
     at = np.arange(len(data)) - np.maximum.accumulate(at)
     at[~inside] = 0
-    value = powers(int(at.max()) + 1)[at] * (data.astype(np.uint64) + np.uint64(1))
+    longest = int(at.max())
+    within = at if longest < LINEAR else at % LINEAR
+    value = powers(min(longest, LINEAR) + 1)[within] * (data.astype(np.uint64) + np.uint64(1))
     value[~inside] = 0
-    return mix(np.add.reduceat(value, starts))
+    if longest < LINEAR:
+        return mix(np.add.reduceat(value, starts))
+    more = np.flatnonzero((within == 0) & (at > 0) & inside)
+    part = np.union1d(starts, more)
+    sums = mix(np.add.reduceat(value, part))
+    head = np.searchsorted(part, starts)
+    nth = np.arange(len(part)) - np.repeat(head, np.diff(np.append(head, len(part))))
+    sums[nth > 0] = mix(sums[nth > 0] + nth[nth > 0].astype(np.uint64) * BASE)
+    total = np.add.reduceat(sums, head)
+    return np.where(np.diff(np.append(head, len(part))) > 1, mix(total), sums[head])
 
 
 class Words:

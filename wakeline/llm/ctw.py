@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, LOWER, Words, mix, pieces, shuffle_partitions, text_buffer
-from .exchange import ask, blocks, gathered, lookup
+from .common import CHUNK_BYTES, LOWER, Words, mix, pieces, text_buffer
+from .exchange import ask, blocks, gathered, lookup, partitions_for
 
 DEPTH = 5
 #: Stands before and after a text; no byte of UTF-8.
@@ -184,11 +184,12 @@ def scored(docs: DataFrame) -> DataFrame:
     bits_per_byte.
 
     Learns from the rows that are not held out; with none every bit costs 1. A null text is an empty one: its end is
-    all there is to score. Words are known by 64-bit hashes. Repeated rows count, and are scored, one by one.
+    all there is to score. Words are known by 64-bit hashes; log probabilities of bytes travel in single precision (a
+    text's score is exact to about 7 digits). Repeated rows count, and are scored, one by one.
     """
     spark = docs.sparkSession
-    n_parts = shuffle_partitions(spark)
     docs = docs.select("doc_id", "text", F.coalesce("held_out", F.lit(False)).alias("held_out"))
+    n_parts = partitions_for(docs)
     parts = docs.where(~F.col("held_out")).select("text").mapInArrow(_count_kernel(n_parts), "part int, block int, keys binary, shares binary")
     sums = parts.repartition(n_parts, "part").groupBy("part").applyInArrow(_upper_kernel, "key long, zeros double, ones double, below double")
     rows = [tuple(r) for r in sums.groupBy("key").agg(F.sum("zeros"), F.sum("ones"), F.sum("below")).collect()]  # 256 * 255 + 1 at most
@@ -246,8 +247,8 @@ def scored(docs: DataFrame) -> DataFrame:
         return pa.concat_tables(done) if done else empty
 
     empty = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64())]).empty_table()
-    blk = blocks(docs, F.xxhash64("doc_id", "text"))
-    out = lookup(blk, request, answer, apply, "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, n_bytes long", width=8, dtype=np.float64, part_of=part_of)
+    blk = blocks(docs, F.xxhash64("doc_id", "text"), n_parts)
+    out = lookup(blk, request, answer, apply, "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, n_bytes long", n=n_parts, width=8, dtype=np.float64, part_of=part_of)
     base = F.col("logs") - F.col("n_tokens") * float(np.log10(total + distinct + 1))
     bits = -F.col("score") * float(np.log2(10)) / (F.col("n_bytes") + 1)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score", bits.alias("bits_per_byte"))

@@ -18,13 +18,19 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_partitions
 
+#: Bytes of text for each partition; there are no fewer partitions than the session's setting.
+PARTITION_BYTES = 128 << 20
 ASK = "part int, block int, keys binary, shares binary"
 
 
-def blocks(df: DataFrame, by: Column, per_partition: int = 2) -> DataFrame:
-    """df with a column block, laid out by it. There are `per_partition` blocks for each shuffle partition, a setting that
-    grows with the input."""
-    n = shuffle_partitions(df.sparkSession)
+def partitions_for(df: DataFrame, text: str = "text") -> int:
+    """Partitions, and parts, of an exchange over the texts: by their bytes, so that none grows with the table."""
+    n_bytes = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(shuffle_partitions(df.sparkSession), -(-n_bytes // PARTITION_BYTES))
+
+
+def blocks(df: DataFrame, by: Column, n: int, per_partition: int = 2) -> DataFrame:
+    """df with a column block, laid out by it in n partitions, each of `per_partition` blocks."""
     return df.withColumn("block", F.pmod(by, F.lit(n * per_partition)).cast("int")).repartition(n, "block")
 
 
@@ -107,11 +113,10 @@ def together(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return k[new], inverse
 
 
-def lookup(blk: DataFrame, request: Callable, answer: Callable, apply: Callable, schema: str, *, width: int, dtype, part_of: Callable = parts_of) -> DataFrame:
+def lookup(blk: DataFrame, request: Callable, answer: Callable, apply: Callable, schema: str, *, n: int, width: int, dtype, part_of: Callable = parts_of) -> DataFrame:
     """request(table, again) -> keys, shares of a block, and what apply can use (only when asked again, for apply);
     answer(distinct keys, inverse, shares) -> a value for each key that came; apply(keys, values, kept) -> a block's
-    result. blk has a column block (see blocks)."""
-    n = shuffle_partitions(blk.sparkSession)
+    result. blk has a column block (see blocks); n: the number of parts."""
 
     def step1(table: pa.Table) -> pa.Table:
         keys, shares, _ = request(table, False)

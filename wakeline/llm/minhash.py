@@ -12,11 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import CHUNK_BYTES, Words, mix, text_buffer, windows, written
-from .exchange import blocks, lookup
+from .exchange import blocks, lookup, partitions_for
 from .graph import components, join_pairs
 
 BANDS, ROWS = 10, 3
@@ -30,6 +30,10 @@ PASS = 1 << 17
 KEY = np.uint64((1 << 48) - 1)
 #: A bucket of more texts, or with more shingles, is cut into blocks, which meet in pairs.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 18
+#: Texts that a leader meets at once.
+LEAD = 256
+#: Steps of the distance to a leader.
+CELLS = 20
 #: Hash places by which texts that are no candidates are left out before the exact join; a bound on what is broadcast.
 PLACES = 1 << 18
 
@@ -118,6 +122,11 @@ def band_keys(names: np.ndarray) -> np.ndarray:
     return out
 
 
+def _hashes() -> dict:
+    """Two hashes that stand for a text."""
+    return {"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(2), "text")}
+
+
 def _chunks(table: pa.Table) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
     from .common import pieces
 
@@ -155,63 +164,82 @@ def signatures(docs: DataFrame, n_docs: int, shingle: int, spread: float) -> Dat
         schema = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bands", pa.list_(pa.int64())), ("codes", pa.binary())])
         return pa.concat_tables([t.cast(schema) for t in rows]) if rows else schema.empty_table()
 
-    blk = blocks(docs.select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(2), "text").alias("h2")), F.xxhash64("doc_id", "text"))
-    return lookup(blk, request, answer, apply, "doc_id long, h1 long, h2 long, bands array<long>, codes binary", width=4, dtype=np.uint8)
-
-
-def similarity(texts: tuple[bytes, bytes], codes: tuple[bytes, bytes], n_docs: int, shingle: int, spread: float) -> float:
-    """Weighted Jaccard similarity of two texts."""
-    sides = []
-    for text, code in zip(texts, codes, strict=True):
-        data = np.frombuffer(text, np.uint8)
-        h, tf, _ = counted(*shingles(data, np.array([0, len(data)]), shingle), 1)
-        sides.append((h, weights(tf, np.frombuffer(code, np.uint8), n_docs, spread)))
-    (ha, wa), (hb, wb) = sides
-    _, i, j = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-    both = np.minimum(wa[i], wb[j]).sum()
-    return float(both / (wa.sum() + wb.sum() - both)) if len(ha) and len(hb) else 0.0
-
-
-def verified(edges: DataFrame, docs: DataFrame, codes: DataFrame, n_docs: int, shingle: int, spread: float, threshold: float) -> DataFrame:
-    """The edges (a, b) whose texts are similar enough."""
-    ids = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
-    place = lambda c: F.pmod(F.xxhash64(F.lit(5), c), F.lit(PLACES))
-    near = F.broadcast(ids.select(place("id").cast("int").alias("place")).distinct())  # PLACES integers at most
-    texts = docs.where("doc_id is not null").select("doc_id", "text", place("doc_id").cast("int").alias("place")).join(near, "place", "left_semi").drop("place")
-    texts = texts.join(ids, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
-    own = codes.join(ids, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("cid"), "codes")
-    full = texts.join(own, F.col("doc_id") == F.col("cid")).select("doc_id", "text", "codes")
-    side = lambda s: full.select(F.col("doc_id").alias(s), F.col("text").alias(f"text_{s}"), F.col("codes").alias(f"codes_{s}"))
-    pairs = edges.join(side("b"), "b").join(side("a"), "a")
-
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            ok = [similarity((x.as_buffer().to_pybytes(), y.as_buffer().to_pybytes()), (c.as_py(), d.as_py()), n_docs, shingle, spread) >= threshold - 1e-9 for x, y, c, d in zip(t["text_a"], t["text_b"], t["codes_a"], t["codes_b"], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("a")), batch.column(batch.schema.get_field_index("b")), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
-
-    return pairs.select("a", "b", "text_a", "text_b", "codes_a", "codes_b").mapInArrow(kernel, "a long, b long, ok boolean")
-
-
-def unresolved(members: DataFrame, linked: DataFrame) -> DataFrame:
-    """key, rep, part, lo, hi, first: members of the buckets (without their leaders) that still hold texts of different parts
-    (components so far), dealt into blocks; two blocks of a bucket meet once, `first` tells the one from the other."""
-    named = members.join(linked, F.col("rep") == F.col("node"), "left").select("key", "rep", "width", F.coalesce("component", "rep").alias("part"))
-    mixed = named.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("width") / BLOCK_SHINGLES)).cast("int").alias("splits")).where("p < q").select("key", "splits")
-    dealt = named.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64(F.lit(14), "rep"), F.col("splits")).cast("int"))
-    met = dealt.select("key", "rep", "part", "own", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("other"))
-    return met.select("key", "rep", "part", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") <= F.col("other")).alias("first"))
+    n = partitions_for(docs)
+    blk = blocks(docs.withColumns(_hashes()), F.xxhash64("doc_id", "text"), n)
+    return lookup(blk, request, answer, apply, "doc_id long, h1 long, h2 long, bands array<long>, codes binary", n=n, width=4, dtype=np.uint8)
+
+
+def _lead_kernel(n_docs: int, shingle: int, spread: float):
+    """A leader's text with some texts of its buckets: their weighted Jaccard similarities."""
+
+    def run(table: pa.Table) -> pa.Table:
+        lead, ids = table["lead"][0].as_py(), np.asarray(table["id"], np.int64)
+        k = int(np.flatnonzero(ids == lead)[0])
+        data, at = text_buffer(table["text"])
+        h, tf, of = counted(*shingles(data, at, shingle), len(ids))
+        w = weights(tf, np.frombuffer(b"".join(x.as_py() for x in table["codes"]), np.uint8), n_docs, spread)
+        own, own_w = h[of[k] : of[k + 1]], w[of[k] : of[k + 1]]
+        i = np.minimum(np.searchsorted(own, h), len(own) - 1)
+        both = np.add.reduceat(np.where(own[i] == h, np.minimum(w, own_w[i]), 0.0), of[:-1])
+        total = np.add.reduceat(w, of[:-1])
+        rest = np.flatnonzero(ids != lead)
+        return pa.table({"a": np.full(len(rest), lead), "b": ids[rest], "s": (both / (total + total[k] - both))[rest]})
+
+    return run
+
+
+def candidates(docs: DataFrame, sig: DataFrame, reps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, text, codes, bands of the texts that share a bucket with others."""
+    ids = reps.join(nodes, "node", "left_semi").select("node", F.col("rep").alias("doc_id"), "h1", "h2", "bands")
+    place = lambda c: F.pmod(F.xxhash64(F.lit(5), c), F.lit(PLACES)).cast("int")
+    near = F.broadcast(ids.select(place("doc_id").alias("place")).distinct())  # PLACES integers at most
+    keys = ["doc_id", "h1", "h2"]
+    texts = docs.where("doc_id is not null").withColumn("place", place("doc_id")).join(near, "place", "left_semi").drop("place")
+    texts = texts.withColumns(_hashes()).join(ids, keys).dropDuplicates(keys)
+    codes = sig.where("doc_id is not null").select(*keys, "codes").join(ids.select(*keys), keys, "left_semi").dropDuplicates(keys)
+    return texts.join(codes, keys).select("node", "text", "codes", "bands")
+
+
+def compared_to_leaders(members: DataFrame, full: DataFrame, n_docs: int, shingle: int, spread: float) -> DataFrame:
+    """a (leader), b (member of one of its buckets), s (similarity). A leader of many texts meets them in several groups."""
+    edges = members.select("lead", F.col("node").alias("id"), "width").distinct()
+    many = edges.groupBy("lead").agg(F.greatest(F.ceil(F.count("*") / LEAD), F.ceil(F.sum("width") / BLOCK_SHINGLES)).cast("int").alias("splits"))
+    dealt = edges.join(many, "lead").select("lead", "id", F.pmod(F.xxhash64(F.lit(15), "id"), F.col("splits")).cast("int").alias("salt"))
+    own = many.select("lead", F.col("lead").alias("id"), F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("salt"))
+    rows = dealt.unionByName(own).join(full.select(F.col("node").alias("id"), "text", "codes"), "id")
+    return rows.groupBy("lead", "salt").applyInArrow(_lead_kernel(n_docs, shingle, spread), "a long, b long, s double")
+
+
+def unresolved(members: DataFrame, found: DataFrame, linked: DataFrame, threshold: float) -> DataFrame:
+    """key, node, part, lo, hi, first: members of the buckets (without their leaders) that may have a similar text of another
+    part (component so far), dealt into blocks; two blocks of a bucket meet once, `first` tells the one from the other.
+
+    1 - similarity is a metric, so two similar texts are about equally far from their leader: within 1 - threshold. A text
+    that has none of another part within that is settled.
+    """
+    known = found.select(F.col("a").alias("lead"), F.col("b").alias("node"), F.floor((1 - F.col("s")) * CELLS).cast("int").alias("cell"))
+    parts = linked.select("node", F.col("component").alias("part"))
+    named = members.join(known, ["lead", "node"]).join(parts, "node", "left").select("key", "node", "width", "cell", F.coalesce("part", "node").alias("part"))
+    cells = named.groupBy("key", "cell").agg(F.min("part").alias("p"), F.max("part").alias("q"))
+    reach = int(np.ceil((1 - threshold) * CELLS)) + 1
+    around = Window.partitionBy("key").orderBy("cell").rangeBetween(-reach, reach)  # CELLS + 1 rows of a bucket
+    mixed = cells.select("key", "cell", F.min("p").over(around).alias("p"), F.max("q").over(around).alias("q")).where("p < q")
+    left = named.join(mixed, ["key", "cell"]).select("key", "node", "width", "part")
+    splits = left.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("width") / BLOCK_SHINGLES)).cast("int").alias("splits"))
+    dealt = left.join(splits, "key").withColumn("own", F.pmod(F.xxhash64(F.lit(14), "node"), F.col("splits")).cast("int"))
+    met = dealt.select("key", "node", "part", "own", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("other"))
+    return met.select("key", "node", "part", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") <= F.col("other")).alias("first"))
 
 
 def _block_kernel(n_docs: int, shingle: int, spread: float, threshold: float):
     def run(table: pa.Table) -> pa.Table:
-        rep, part = np.asarray(table["rep"], np.int64), np.asarray(table["part"], np.int64)
-        n, same = len(rep), table["lo"][0].as_py() == table["hi"][0].as_py()
+        node, part = np.asarray(table["node"], np.int64), np.asarray(table["part"], np.int64)
+        n, same = len(node), table["lo"][0].as_py() == table["hi"][0].as_py()
         side = np.asarray(table["first"].to_numpy(), bool)
         root = np.unique(part, return_inverse=True)[1]
         root = np.unique(root, return_index=True)[1][root]  # a member of each part
         if root.max() == root.min():
-            return table.select(["rep", "part"]).slice(0, 0).rename_columns(["a", "b"])
+            return table.select(["node", "part"]).slice(0, 0).rename_columns(["a", "b"])
         bands = np.asarray(table["bands"].combine_chunks().flatten(), np.int64).reshape(n, -1)
         band = int(np.flatnonzero((bands == table["key"][0].as_py()).all(0))[0])
         data, at = text_buffer(table["text"])
@@ -242,49 +270,43 @@ def _block_kernel(n_docs: int, shingle: int, spread: float, threshold: float):
                     join_pairs(root, np.full(len(z), x), z)
             dense[column[own]] = 0
         hit = np.flatnonzero((start == np.arange(n)) & (root != start))
-        return pa.table({"a": rep[root[hit]], "b": rep[hit]})
+        return pa.table({"a": node[root[hit]], "b": node[hit]})
 
     return run
 
 
-def compared(left: DataFrame, reps: DataFrame, docs: DataFrame, codes: DataFrame, n_docs: int, shingle: int, spread: float, threshold: float) -> DataFrame:
-    """Links (a, b) between parts that similar pairs within the blocks connect: a block gives fewer than it has parts."""
-    left = written(left)
-    ids = left.select(F.col("rep").alias("id")).distinct()
-    texts = docs.join(ids, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
-    own = codes.join(ids, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("cid"), "codes")
-    known = reps.select(F.col("rep").alias("bid"), "bands")
-    full = written(texts.join(own, F.col("doc_id") == F.col("cid")).join(known, F.col("doc_id") == F.col("bid")).select("doc_id", "text", "codes", "bands"))
-    return left.join(full, F.col("rep") == F.col("doc_id")).drop("doc_id").groupBy("key", "lo", "hi").applyInArrow(_block_kernel(n_docs, shingle, spread, threshold), "a long, b long")
-
-
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8, spread: float = 0.25) -> DataFrame:
     """One row per document: doc_id, rep_id (least id with the same text), component_id (least id that links of a weighted
     similarity of `threshold` or more reach), kept (the document whose id is its component's).
 
     Candidates share a band of samples. In a bucket every text is held against the least one; then all pairs of the others
-    that no links connect so far are compared, in blocks that meet in pairs. Null texts and texts
-    without words are alone. Documents are known by doc_id: rows that share one are one document, rows without one
-    are alone (component null, kept). Extra columns are ignored; an empty table gives no rows.
+    that no links connect so far and that may be similar are compared, in blocks that meet in pairs. Null texts and texts
+    without words are alone. Rows that share id and text are one document; rows that share the id only are judged each
+    by its text. Rows without an id are alone (component null, kept). Extra columns are ignored; an empty table gives no
+    rows. Equal texts have one answer.
     """
     docs = docs.select("doc_id", "text")
     n_docs = docs.count()
     sig = written(signatures(docs, n_docs, shingle, spread))
     shingled = sig.where("bands is not null and doc_id is not null")
-    reps = written(shingled.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.min_by(F.length("codes"), "doc_id").alias("width")))
-    posted = reps.select("rep", "width", F.explode("bands").alias("key"))
-    heads = written(posted.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("lead")).where("n > 1").select("key", "lead"))
-    members = written(posted.join(heads, "key").where("rep <> lead"))
-    codes = shingled.select("doc_id", "codes")
-    edges = written(members.select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct())
-    first = written(verified(edges, docs, codes, n_docs, shingle, spread, threshold)).where("ok").select("a", "b")
-    left = unresolved(members, components(first))
-    more = written(compared(left, reps, docs, codes, n_docs, shingle, spread, threshold))
+    reps = shingled.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.min_by(F.length("codes"), "doc_id").alias("width"))
+    reps = written(reps.withColumn("node", F.monotonically_increasing_id()))
+    posted = reps.select("node", "width", F.posexplode("bands").alias("band", "key"))
+    heads = posted.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lead"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("all"), F.min("band").alias("band")).where("n > 1")
+    # buckets of the same texts: the one of the first band stands for all
+    heads = heads.groupBy("n", "lead", "all").agg(F.min_by("key", F.struct("band", "key")).alias("key"))
+    members = written(posted.join(heads.select("key", "lead"), "key").where("node <> lead").select("key", "lead", "node", "width"))
+    nodes = members.select("node").unionByName(members.select(F.col("lead").alias("node"))).distinct()
+    full = written(candidates(docs, sig, reps, nodes))
+    found = written(compared_to_leaders(members, full, n_docs, shingle, spread))
+    first = found.where(F.col("s") >= threshold - 1e-9).select("a", "b")
+    left = unresolved(members, found, components(first), threshold).join(full, "node")
+    more = written(left.groupBy("key", "lo", "hi").applyInArrow(_block_kernel(n_docs, shingle, spread, threshold), "a long, b long"))
     linked = components(first.unionByName(more))
-    named = sig.select("doc_id", "h1", "h2", F.col("bands").isNotNull().alias("shingled"))
-    same = reps.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "rep")
-    out = named.join(same, F.col("shingled") & (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left")
-    rep = F.coalesce("rep", "doc_id")
-    out = out.select("doc_id", rep.alias("rep_id")).join(linked, F.col("rep_id") == F.col("node"), "left")
-    component = F.coalesce("component", "rep_id")
-    return out.select("doc_id", "rep_id", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    classes = reps.select("node", "rep", "h1", "h2").join(linked, "node", "left")
+    least = classes.where("component is not null").groupBy("component").agg(F.min("rep").alias("least"))
+    classes = classes.join(least, "component", "left").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "rep", F.coalesce("least", "rep").alias("least"))
+    named = sig.select("doc_id", "h1", "h2", (F.col("bands").isNotNull() & F.col("doc_id").isNotNull()).alias("known"))
+    out = named.join(classes, F.col("known") & (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left")
+    component = F.coalesce("least", "doc_id")
+    return out.select("doc_id", F.coalesce("rep", "doc_id").alias("rep_id"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -5,15 +5,17 @@ their minimizer (the least hash of their K-byte parts): equal strings have the s
 in one part, and a run of strings with one minimizer travels as one stretch of text. Minimizers that only one document
 has are left out before (a keyed lookup); they can't repeat.
 
-A minimizer that many different stretches have (a common phrase in ever other surroundings) is dealt further, by the least
-of the string's parts under another hash, which equal strings share too.
+The strings of a minimizer that many different stretches have (a common phrase in ever other surroundings) are dealt one by
+one, by their own hash: a block sends each of them once, whatever surrounds it, so no part gets more of one than there
+are blocks.
 
 A part puts the stretches of each minimizer together. Where they all read the same there is nothing to merge. The others are
 dealt into shards; each shard's suffixes are sorted once and give its transform. The shards are merged without
 sorting suffixes again: the interleave (which shard the next suffix is from) starts shard by shard, and each round
 passes it through the transforms, as a stable sort by one symbol, so that after h rounds it is in order of the first h
-symbols. A boundary that first shows in round h has a common prefix of h - 1 symbols; the intervals that have
-none after LENGTH rounds are the repeated strings, and each takes the least id of its documents.
+symbols. An interval of round h has a common prefix of h symbols; those of round LENGTH are the repeated strings, and
+each takes the least id of its documents. A round only moves the suffixes from which LENGTH symbols back a string
+begins; all others lead nowhere.
 """
 
 from __future__ import annotations
@@ -26,17 +28,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, CHUNK_BYTES, mix, pieces, powers, shuffle_partitions, text_buffer
-from .exchange import REPLY, answers, ask, blocks, gathered, packed, replies, split, together, unpacked
+from .common import BASE, CHUNK_BYTES, mix, pieces, powers, text_buffer
+from .exchange import REPLY, answers, ask, blocks, gathered, packed, partitions_for, replies, split, together, unpacked
 
-LENGTH, K = 50, 16
-#: A minimizer with more different stretches than this is dealt further.
+LENGTH, K = 50, 20
+#: The strings of a minimizer with more different stretches than this are dealt one by one.
 HOT = 2000
+#: Strings in a stretch at most. Two stretches of one hash would need texts of 1024 bytes made for it.
+LONGEST = 512
 #: Strings are merged in batches of about so many bytes (what a cache holds), whole minimizers each.
 BATCH = 1 << 16
 CODEC = pa.Codec("zstd")
 #: Bytes of a shard.
-SHARD = 1 << 14
+SHARD = 1 << 12
 LAST = np.iinfo(np.int64).max
 
 
@@ -89,8 +93,9 @@ def stretches(data: np.ndarray, at: np.ndarray, hot: np.ndarray | None = None) -
     m = _least(h)
     key = m
     if hot is not None and len(hot) and (split_ := _among(m, hot)).any():
-        other = _least(mix(h ^ BASE))  # of the string alone, so that every block has the same one
-        key = np.where(split_, mix(m * np.uint64(31) + other), m)
+        at_ = np.flatnonzero(split_)
+        key = m.copy()
+        key[at_] = mix(m[at_] * np.uint64(31) + hashed(at_, at_ + LENGTH))  # of the string alone, so that every block has the same one
     text = np.repeat(np.arange(len(at) - 1), np.diff(at))[: len(m)]
     valid = np.arange(len(m)) + LENGTH <= at[text + 1]
     new = np.ones(len(m), bool)
@@ -99,6 +104,11 @@ def stretches(data: np.ndarray, at: np.ndarray, hot: np.ndarray | None = None) -
     # a run ends where the next one begins, or with its text's last string
     bound = np.flatnonzero(new | ~valid)
     after = np.append(bound, len(m))[np.searchsorted(bound, first, side="right")]
+    if len(first) and (after - first).max() > LONGEST:
+        n_cuts = -(-(after - first) // LONGEST)
+        nth = np.arange(n_cuts.sum()) - np.repeat(np.cumsum(n_cuts) - n_cuts, n_cuts)
+        first, after = np.repeat(first, n_cuts) + nth * LONGEST, np.repeat(after, n_cuts)
+        after = np.minimum(after, first + LONGEST)
     return first, after - first, m[first], text[first], hashed(first, after + LENGTH - 1), key[first]
 
 
@@ -135,7 +145,6 @@ def merged_least(pool: np.ndarray, size: np.ndarray, owner: np.ndarray) -> np.nd
     shard_of = np.unique(shard_of, return_inverse=True)[1]
     cut = np.append(np.searchsorted(shard_of, np.arange(shard_of[-1] + 1)), strings)
     suffix, transform = np.empty(total, np.int64), np.empty(total, np.uint8)
-    before_of = np.empty(total, np.int32 if total < 1 << 31 else np.int64)
     for a, b in zip(cut[:-1], cut[1:], strict=True):
         lo, hi = begin[a], ends[b - 1]
         order = _suffixes(symbols[lo:hi], left[lo:hi]) + lo
@@ -145,28 +154,30 @@ def merged_least(pool: np.ndarray, size: np.ndarray, owner: np.ndarray) -> np.nd
         before = symbols[np.maximum(order - 1, 0)]
         before[begin[string[order]] == order] = 0
         transform[lo:hi] = before
-        # the k-th of a symbol in the transform precedes the suffix that is the k-th to begin with it
-        moved = np.argsort(before, kind="stable")
-        before_of[lo + moved] = np.arange(lo, hi)
-    # the interleave as places in the shards' transforms (those of one shard always in rising order): shard by shard at first
+    # the interleave as places in the shards' transforms, shard by shard at first. Only places from which the beginning of a
+    # string of LENGTH symbols is reached take part: h symbols before it ends in round h, so all of them arrive together
     kind = np.int32 if total < 1 << 31 else np.int64
-    inter, interval = np.arange(total, dtype=kind), np.zeros(total, kind)
-    tail = np.concatenate([np.arange(begin[a], begin[a] + b - a) for a, b in zip(cut[:-1], cut[1:], strict=True)]).astype(kind)
-    every = np.arange(strings, dtype=kind)
+    place = np.empty(total, kind)
+    place[suffix] = np.arange(total, dtype=kind)
+    before_of = place.take(suffix - 1, mode="wrap")  # the place of the suffix that is a symbol longer
+    inter = np.sort(place[np.flatnonzero(left >= LENGTH) + LENGTH])
+    interval = np.zeros(len(inter), kind)
+    new = np.ones(len(inter), bool)
     for _ in range(LENGTH):
         s = transform.take(inter)
-        order = np.argsort(s, kind="stable")[strings:]  # a string's first suffix has no symbol before it
+        order = np.argsort(s, kind="stable")
         sign, old = s.take(order), interval.take(order)
-        new = np.ones(len(order), bool)
-        new[1:] = (sign[1:] != sign[:-1]) | (old[1:] != old[:-1])
-        inter[strings:], inter[:strings] = before_of.take(inter.take(order)), tail
-        interval[strings:], interval[:strings] = strings - 1 + np.cumsum(new, dtype=kind), every
+        np.not_equal(sign[1:], sign[:-1], out=new[1:])
+        new[1:] |= old[1:] != old[:-1]
+        inter = before_of.take(inter.take(order))
+        interval = np.cumsum(new, dtype=kind)
     where = suffix[inter]
-    own = np.where(left[where] >= LENGTH, owner[string[where]], LAST)
-    first = np.flatnonzero(np.concatenate([[True], interval[1:] != interval[:-1]]))
-    least = np.repeat(np.minimum.reduceat(own, first), np.diff(np.append(first, total)))
     out = np.full(total, LAST)
-    out[where] = least
+    if not len(where):
+        return out[inside]
+    own = owner[string[where]]
+    first = np.flatnonzero(np.concatenate([[True], interval[1:] != interval[:-1]]))
+    out[where] = np.repeat(np.minimum.reduceat(own, first), np.diff(np.append(first, len(own))))
     return out[inside]
 
 
@@ -383,10 +394,12 @@ def deduped(docs: DataFrame, *, with_text: bool = False, hot: int = HOT) -> Data
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text (the remaining bytes, if asked for).
 
     A null text is an empty one. Rows of one id don't remove each other's bytes; rows without an id come after all
-    others and don't remove each other's. Texts of fewer than LENGTH bytes keep all. Extra columns are ignored.
+    others and don't remove each other's. Texts of fewer than LENGTH bytes keep all. Extra columns are ignored; an empty
+    table gives no rows. Repeated rows are answered alike.
     """
-    n = shuffle_partitions(docs.sparkSession)
-    blk = blocks(docs.select("doc_id", "text"), F.xxhash64("doc_id", "text"))
+    docs = docs.select("doc_id", "text")
+    n = partitions_for(docs)
+    blk = blocks(docs, F.xxhash64("doc_id", "text"), n)
 
     def minimizers(table: pa.Table) -> pa.Table:
         return ask(table["block"][0].as_py(), *_minimizers(table), n)
