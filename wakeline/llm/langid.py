@@ -3,113 +3,111 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
-
-LETTER = re.compile(r"[^\W\d_]")
-TOKEN = re.compile(r"[^\W\d_]+")
+#: What counts as a word character for `re` and is no letter (number signs such as a half or a Roman eight).
+NO_LETTERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+LETTERS = rf"[^\W\d_{NO_LETTERS}]"
+LETTER, TOKEN = re.compile(LETTERS), re.compile(LETTERS + "+")
 CACHE = 200_000
+SEED = 42  # fixed value: the seed of Spark's xxhash64
+WORD = "w"
 
 
 class Model:
-    """Rows of log frequencies: words first, then n-grams of falling length. A word takes the row of the longest level
-    that knows it: its own, or the mean over its known n-grams of that length."""
+    """Log frequencies of words, and of n-grams of every length, by the hash of their level and text (sorted). A word takes the
+    row of the longest level that knows it: its own, or the mean over its known n-grams of that length."""
+
+    def __init__(self, langs: list[str], longest: int, keys: np.ndarray, logs: np.ndarray, seen: np.ndarray):
+        self.langs, self.longest, self.keys, self.logs, self.seen = langs, longest, keys, logs, seen
 
-    def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[int, dict[str, np.ndarray]]):
-        self.langs, self.words, self.grams = langs, words, grams
+    def find(self, texts: list[str]) -> np.ndarray:
+        """Places of the known ones among level-marked texts."""
+        if not len(self.keys):
+            return np.zeros(0, np.int64)
+        h = np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), seed=SEED) for t in texts], np.uint64)
+        i = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        return i[self.keys[i] == h]
 
     def row(self, word: str) -> np.ndarray:
-        found = self.words.get(word)
-        if found is not None:
-            return found
+        """Log frequencies in each language, then 1 for each language that has the word."""
+        i = self.find([WORD + word])
+        if len(i):
+            return np.concatenate([self.logs[i[0]].astype(float), self.seen[i[0]]])
         padded = f" {word} "
-        for n in sorted(self.grams, reverse=True):
-            table = self.grams[n]
-            hits = [x for k in range(len(padded) - n + 1) if (x := table.get(padded[k : k + n])) is not None]
-            if hits:
-                return np.mean(hits, axis=0)
-        return np.zeros(len(self.langs))
+        for n in range(min(self.longest, len(padded)), 0, -1):
+            i = self.find([f"{n}{padded[k : k + n]}" for k in range(len(padded) - n + 1)])
+            if len(i):
+                return np.concatenate([self.logs[i].astype(float).mean(0), np.zeros(len(self.langs))])
+        return np.zeros(2 * len(self.langs))
 
     def scorer(self):
-        """A function of a text: language and score. Rows of words met before are kept (a bounded cache)."""
+        """A function of a text: language, score and share of known words. Rows of words met before are kept (a bounded
+        cache)."""
 
         class Known(dict):
             def __missing__(known, word):  # noqa: N805
-                if len(rows) >= CACHE:
-                    known.clear()
-                    rows.clear()
                 known[word] = len(rows)
                 rows.append(self.row(word))
                 return known[word]
 
         rows: list[np.ndarray] = []
         known = Known()
+        n = len(self.langs)
 
-        def score(text: str | None) -> tuple[str, float]:
-            if text is None or not self.langs or not LETTER.search(text):
-                return "und", 0.0
+        def score(text: str | None) -> tuple[str, float, float]:
+            if text is None or not n or not LETTER.search(text):
+                return "und", 0.0, 0.0
             words = TOKEN.findall(text.lower())
-            total = np.zeros(len(self.langs))
+            total = np.zeros(2 * n)
             for i in range(0, len(words), 4096):  # a part at a time, so that the cache may be emptied between
                 if len(rows) + 4096 > CACHE:
                     known.clear()
                     rows.clear()
                 ids = [known[w] for w in words[i : i + 4096]]
-                total += np.asarray(rows)[ids].sum(0) if len(rows) <= 4 * len(ids) else np.sum([rows[k] for k in ids], axis=0)
-            best = int(np.argmax(total))  # ties: the first language by name
-            return self.langs[best], float(1 / np.exp(np.clip(total - total[best], -700, 0)).sum())
+                total += np.sum([rows[k] for k in ids], axis=0)
+            best = int(np.argmax(total[:n]))  # ties: the first language by name
+            return self.langs[best], float(1 / np.exp(np.clip(total[:n] - total[best], -700, 0)).sum()), float(total[n + best] / len(words))
 
         return score
 
 
-def _table(rows, langs: list[str], smoothing: float) -> dict[str, np.ndarray]:
-    """Log of smoothed share in each language, for every key."""
-    at = {x: k for k, x in enumerate(langs)}
-    counts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(langs)))
-    for key, lang, n in rows:
-        counts[key][at[lang]] += n
-    if not counts:
-        return {}
-    total = np.sum(list(counts.values()), axis=0)
-    return {k: np.log((c + smoothing) / (total + smoothing * (len(counts) + 1))) for k, c in counts.items()}
-
-
-def fit(labelled: DataFrame, *, per_lang: int = 2_000, max_words: int = 20_000, max_grams: int = 20_000, longest: int = 5, smoothing: float = 0.5) -> Model:
-    """labelled: doc_id, text, lang. Learns from at most about per_lang texts of each language, chosen by hash of the id;
-    keeps the max_words commonest words and max_grams commonest n-grams of each length of every language."""
+def fit(labelled: DataFrame, *, per_lang: int = 2_000, longest: int = 5, smoothing: float = 0.5) -> Model:
+    """labelled: doc_id, text, lang. Learns from at most about per_lang texts of each language, chosen by hash of the id (the
+    bound of the sample, and so of the model): all their words, and all n-grams of up to `longest` characters."""
     labelled = labelled.where("lang is not null and text is not null")
-    sizes = labelled.groupBy("lang").count().orderBy("lang").collect()  # one row per language
-    langs = [r["lang"] for r in sizes]
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("texts"))
+    langs = [r["lang"] for r in sizes.orderBy("lang").collect()]  # one row per language
     if not langs:
-        return Model([], {}, {})
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], F.lit(per_lang / r["count"])).otherwise(share)
+        return Model([], longest, np.zeros(0, np.uint64), np.zeros((0, 0), np.float32), np.zeros((0, 0), bool))
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(9), "doc_id"), 11).cast("double") / float(1 << 53)
-    sample = labelled.where(draw < share).select("lang", "text")
-    words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("key")).groupBy("lang", "key").agg(F.count("*").alias("n"))
-    words = words.repartition(shuffle_partitions(labelled.sparkSession), "lang", "key").persist()
-
-    def top(df: DataFrame, limit: int) -> list:
-        order = Window.partitionBy("lang").orderBy(F.desc("n"), "key")
-        return df.withColumn("r", F.row_number().over(order)).where(F.col("r") <= limit).select("key", "lang", "n").collect()
-
-    padded = F.concat(F.lit(" "), "key", F.lit(" "))
-    grams = {}
-    for n in range(longest, 0, -1):
-        at = F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1)))
-        each = words.select("lang", "n", F.explode(F.transform(at, lambda k, n=n: F.substr(padded, k, F.lit(n)))).alias("key")).where(F.length("key") == n)
-        grams[n] = _table(top(each.groupBy("lang", "key").agg(F.sum("n").alias("n")), max_grams), langs, smoothing)
-    model = Model(langs, _table(top(words, max_words), langs, smoothing), grams)
-    words.unpersist()
-    return model
+    sample = labelled.join(sizes, "lang").where(draw < per_lang / F.col("texts")).select("lang", "text")
+    words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    padded = F.concat(F.lit(" "), "word", F.lit(" "))
+
+    def grams(size: int) -> Column:
+        at = F.sequence(F.lit(1), F.length(padded) - size + 1)
+        return F.when(F.length(padded) >= size, F.transform(at, lambda k: F.concat(F.lit(str(size)), F.substr(padded, k, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+
+    each = words.select("lang", "n", F.explode(F.concat(F.array(F.concat(F.lit(WORD), "word")), *map(grams, range(1, longest + 1)))).alias("key"))
+    counts = each.groupBy("key").agg(*(F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"c{k}") for k, x in enumerate(langs)))
+    found = counts.select(F.xxhash64("key").alias("h"), F.ascii("key").alias("level"), *(f"c{k}" for k in range(len(langs)))).toArrow()  # bounded by the sample
+    keys = found["h"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    level = found["level"].to_numpy()[order]
+    count = np.stack([found[f"c{k}"].to_numpy()[order] for k in range(len(langs))], axis=1).astype(np.float32)
+    logs = np.empty_like(count)
+    for x in np.unique(level):
+        own = level == x
+        logs[own] = np.log((count[own] + smoothing) / (count[own].sum(0, dtype=float) + smoothing * (own.sum() + 1)))
+    return Model(langs, longest, keys[order], logs, count > 0)
 
 
 def _kernel(model_of, names: list[str]):
@@ -117,23 +115,25 @@ def _kernel(model_of, names: list[str]):
         score = model_of.value.scorer()
         for batch in batches:
             done = [score(x.as_py()) for x in batch.column(batch.schema.get_field_index("text"))]
-            columns = [*batch.columns, pa.array([a for a, _ in done], pa.string()), pa.array([b for _, b in done], pa.float64())]
+            columns = [*batch.columns, pa.array([x[0] for x in done], pa.string()), *(pa.array([x[k] for x in done], pa.float64()) for k in (1, 2))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-def identified(df: DataFrame, model: Model) -> DataFrame:
-    """df with lang_pred and score (the posterior of that language, 0 to 1) added.
+def identified(df: DataFrame, model: Model, *, added: tuple[str, str, str] = ("lang_pred", "score", "known_share")) -> DataFrame:
+    """df with three columns added (own columns of those names are replaced): the language, its posterior (0 to 1), and the
+    share of the text's words that the language's sample has.
 
-    A null text, or one without a letter, is `und` with score 0; so is every text when nothing was learned. Whole
-    texts count; ties go to the first language by name; repeated rows are scored alike.
+    A null text, or one without a letter, is `und` with 0 and 0; so is every text when nothing was learned. Whole texts
+    count; ties go to the first language by name; repeated rows are scored alike; an empty table gives no rows.
     """
-    df = df.drop("lang_pred", "score")
-    model_of = df.sparkSession.sparkContext.broadcast(model)  # bounded by fit's max_words and max_grams
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), "lang_pred string", "score double"])
-    return df.mapInArrow(_kernel(model_of, [*df.columns, "lang_pred", "score"]), schema)
+    df = df.drop(*added)
+    model_of = df.sparkSession.sparkContext.broadcast(model)  # bounded by fit's sample
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"`{added[0]}` string, `{added[1]}` double, `{added[2]}` double"])
+    return df.mapInArrow(_kernel(model_of, [*df.columns, *added]), schema)
 
 
 def training_rows(docs: DataFrame, held_out: Column) -> DataFrame:
-    return docs.where(~held_out & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
+    """The rows to learn from: not held out (null: not), with a language. Null texts are left out by fit."""
+    return docs.where(~F.coalesce(held_out, F.lit(False)) & F.col("lang").isNotNull()).select("doc_id", "text", "lang")

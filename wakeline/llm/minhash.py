@@ -122,7 +122,7 @@ def band_keys(names: np.ndarray) -> np.ndarray:
     return out
 
 
-def _hashes() -> dict:
+def text_hashes() -> dict:
     """Two hashes that stand for a text."""
     return {"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(2), "text")}
 
@@ -165,7 +165,7 @@ def signatures(docs: DataFrame, n_docs: int, shingle: int, spread: float) -> Dat
         return pa.concat_tables([t.cast(schema) for t in rows]) if rows else schema.empty_table()
 
     n = partitions_for(docs)
-    blk = blocks(docs.withColumns(_hashes()), F.xxhash64("doc_id", "text"), n)
+    blk = blocks(docs.withColumns(text_hashes()), F.xxhash64("doc_id", "text"), n)
     return lookup(blk, request, answer, apply, "doc_id long, h1 long, h2 long, bands array<long>, codes binary", n=n, width=4, dtype=np.uint8)
 
 
@@ -195,7 +195,7 @@ def candidates(docs: DataFrame, sig: DataFrame, reps: DataFrame, nodes: DataFram
     near = F.broadcast(ids.select(place("doc_id").alias("place")).distinct())  # PLACES integers at most
     keys = ["doc_id", "h1", "h2"]
     texts = docs.where("doc_id is not null").withColumn("place", place("doc_id")).join(near, "place", "left_semi").drop("place")
-    texts = texts.withColumns(_hashes()).join(ids, keys).dropDuplicates(keys)
+    texts = texts.withColumns(text_hashes()).join(ids, keys).dropDuplicates(keys)
     codes = sig.where("doc_id is not null").select(*keys, "codes").join(ids.select(*keys), keys, "left_semi").dropDuplicates(keys)
     return texts.join(codes, keys).select("node", "text", "codes", "bands")
 
@@ -275,7 +275,7 @@ def _block_kernel(n_docs: int, shingle: int, spread: float, threshold: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8, spread: float = 0.25) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8, spread: float = 0.25, hashes: bool = False) -> DataFrame:
     """One row per document: doc_id, rep_id (least id with the same text), component_id (least id that links of a weighted
     similarity of `threshold` or more reach), kept (the document whose id is its component's).
 
@@ -283,7 +283,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8
     that no links connect so far and that may be similar are compared, in blocks that meet in pairs. Null texts and texts
     without words are alone. Rows that share id and text are one document; rows that share the id only are judged each
     by its text. Rows without an id are alone (component null, kept). Extra columns are ignored; an empty table gives no
-    rows. Equal texts have one answer.
+    rows. Equal texts have one answer. hashes: also h1 and h2, which tell the text of a row.
     """
     docs = docs.select("doc_id", "text")
     n_docs = docs.count()
@@ -309,4 +309,4 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8
     named = sig.select("doc_id", "h1", "h2", (F.col("bands").isNotNull() & F.col("doc_id").isNotNull()).alias("known"))
     out = named.join(classes, F.col("known") & (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left")
     component = F.coalesce("least", "doc_id")
-    return out.select("doc_id", F.coalesce("rep", "doc_id").alias("rep_id"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", *(["h1", "h2"] if hashes else []), F.coalesce("rep", "doc_id").alias("rep_id"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

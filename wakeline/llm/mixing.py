@@ -1,9 +1,14 @@
 """Mixing sources to target weights: capped targets, then pivotal dependent rounding over a reduction tree.
 
 DataFrame functions only. Every document of a source should be copied target / source_size times; the whole part is
-certain and the fractional part is settled by duels: two units meet, probability mass moves from one to the other until
-one of them is integral, the other goes on (at the first level a unit meets the smaller ones of its group as one). A fold settles each group of about `fan_in` units and leaves one
-fractional unit at most, which goes up to the next level of the tree; the last level is the source as a whole.
+certain and the fractional part is settled by duels: two units of similar size meet, words move from one to the other
+until one of them is integral, the other goes on to the next. A fold settles each group of about `fan_in` units, from the
+largest down, and leaves one fractional unit at most, which goes up to the next level of the tree; the last level is the
+source as a whole.
+
+The unit left over carries a source's error, so it must be small: the tree first settles the documents above the
+upper quartile of the source's sizes; the one left of them meets the smaller ones, which all have one probability still,
+as one unit, and is settled by a small change of that probability; then the tree settles the smaller ones.
 """
 
 from __future__ import annotations
@@ -33,18 +38,18 @@ def ranked_sources(sizes: DataFrame) -> DataFrame:
 
     Ranks come from range partitions and their counts, so no task has all the sources.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"), F.percentile_approx("size", 0.75, 1000).alias("quartile"))
     per = checkpointed(per.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()))
     counts = per.groupBy("part").agg(F.count("*").alias("n"))
     before = counts.alias("a").join(F.broadcast(counts.alias("b")), F.col("b.part") < F.col("a.part"), "left").groupBy(F.col("a.part").alias("part")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
     within = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last()))
     rank = per.withColumn("within", within).join(F.broadcast(before), "part").withColumn("rank", F.col("before") + F.col("within") - 1)
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("rank") % len(WEIGHTS) + 1).cast("int"))
-    return rank.select("source", "source_size", "rows", weight.alias("weight"))
+    return rank.select("source", "source_size", "rows", "quartile", weight.alias("weight"))
 
 
 def source_targets(sizes: DataFrame, cap: float = 3.0) -> DataFrame:
-    """source, source_size, rows, target: shares by weight of all sizes, none above cap times its source's size.
+    """source, source_size, rows, quartile (upper quartile of its sizes), target: shares by weight of all sizes, none above cap times its source's size.
 
     The level (words per unit of weight) rises until the capped sources no longer change: each round is one small
     aggregate, and the driver sees two numbers.
@@ -59,86 +64,91 @@ def source_targets(sizes: DataFrame, cap: float = 3.0) -> DataFrame:
             break
         over, level = n, (total - cap * (held or 0)) / free
     target = F.least(F.col("source_size") * cap, F.col("weight") * level)
-    return sources.select("source", "source_size", "rows", F.when(F.col("source_size") > 0, target).otherwise(F.lit(0.0)).alias("target"))
+    return sources.select("source", "source_size", "rows", "quartile", F.when(F.col("source_size") > 0, target).otherwise(F.lit(0.0)).alias("target"))
 
 
 UNIT = "struct<less:long, key:long, doc_id:bigint, size:long, rows:long, whole:long, p:double>"
 FIELDS = ["less", "key", "doc_id", "size", "rows", "whole", "p"]
 
 
-def _duel(seed: int) -> Column:
-    """Folds the units of a group from the largest down: out has the settled ones, last the one still fractional.
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed (and written into the plan) once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    Words move between the two that meet, as many as make one of them integral: up or down by chances that leave
-    each one's expectation, and the words of both together, as they are.
-    """
-    unit = T._parse_datatype_string(UNIT)
-    nothing = F.lit(None).cast(unit)
-    start = F.struct(F.array().cast(T.ArrayType(unit)).alias("out"), nothing.alias("last"))
 
-    def integral(p: Column) -> Column:
-        return (p <= EPS) | (p >= 1 - EPS)
+def integral(p: Column) -> Column:
+    return (p <= EPS) | (p >= 1 - EPS)
 
-    def settle(acc: Column, b: Column) -> Column:
-        a = acc["last"]
-        up = F.least((1 - a["p"]) * a["size"], b["p"] * b["size"])
-        down = F.least(a["p"] * a["size"], (1 - b["p"]) * b["size"])
-        moved = F.when(uniform(seed, a["key"], b["key"]) * (up + down) < down, up).otherwise(-down)
-        a2, b2 = a.withField("p", a["p"] + moved / a["size"]), b.withField("p", b["p"] - moved / b["size"])
-        met = F.array(a2, b2)
-        done = F.filter(met, lambda u: integral(u["p"]))
-        rest = F.filter(met, lambda u: ~integral(u["p"]))
-        after = F.struct(F.concat(acc["out"], done).alias("out"), F.get(rest, F.lit(0)).alias("last"))
-        return F.when(a.isNull(), F.struct(acc["out"].alias("out"), b.alias("last"))).otherwise(after)
 
-    return F.aggregate(F.array_sort("units"), start, settle)
+def transfer(draw: Column, size_a: Column, p_a: Column, size_b: Column, p_b: Column) -> Column:
+    """Words that a gains from b (less than 0: b from a), as many as make one of them integral: up or down by chances that
+    leave each one's expectation, and the words of both together, as they are."""
+    up, down = F.least((1 - p_a) * size_a, p_b * size_b), F.least(p_a * size_a, (1 - p_b) * size_b)
+    return let(F.struct(up.alias("up"), down.alias("down")), lambda v: F.when(draw * (v["up"] + v["down"]) < v["down"], v["up"]).otherwise(-v["down"]))
 
 
-def _pool(seed: int) -> Column:
-    """The first level, where all units of a group have one p: each unit, from the largest down, meets all smaller ones
-    at once, which keep a common p. So a large unit is settled in one meeting and the one left over is small."""
+def _duel(seed: int) -> Column:
+    """Folds the units of a group from the largest down: out has the settled ones, last the one still fractional."""
     unit = T._parse_datatype_string(UNIT)
     nothing = F.lit(None).cast(unit)
-    total = F.aggregate("units", F.lit(0).cast("long"), lambda a, x: a + x["size"])
-    start = F.struct(F.array().cast(T.ArrayType(unit)).alias("out"), nothing.alias("last"), F.get("units", F.lit(0))["p"].alias("p"), total.alias("rest"))
+    start = F.struct(F.array().cast(T.ArrayType(unit)).alias("out"), nothing.alias("last"))
 
-    def settle(acc: Column, x: Column) -> Column:
-        p, rest = acc["p"], acc["rest"] - x["size"]
-        up = F.least((1 - p) * x["size"], p * rest)
-        down = F.least(p * x["size"], (1 - p) * rest)
-        moved = F.when(uniform(seed, x["key"]) * (up + down) < down, up).otherwise(-down)
-        own = p + moved / x["size"]
-        others = F.when(rest > 0, p - moved / F.nullif(rest, F.lit(0))).otherwise(p)
-        own, others = (F.when(v <= EPS, 0.0).when(v >= 1 - EPS, 1.0).otherwise(v) for v in (own, others))
-        y = x.withField("p", own)
-        whole = (own == 0) | (own == 1)
-        return F.struct(F.when(whole, F.concat(acc["out"], F.array(y))).otherwise(acc["out"]).alias("out"), F.when(whole, acc["last"]).otherwise(y).alias("last"), others.alias("p"), rest.alias("rest"))
+    def state(out: Column, last: Column) -> Column:
+        return F.struct(out.alias("out"), last.alias("last"))
 
-    done = F.aggregate(F.array_sort("units"), start, settle)
-    return F.struct(done["out"].alias("out"), done["last"].alias("last"))
+    def settle(acc: Column, b: Column) -> Column:
+        a = acc["last"]
+        moved = transfer(uniform(seed, a["key"], b["key"]), a["size"], a["p"], b["size"], b["p"])
+        met = let(moved, lambda m: F.struct(a.withField("p", a["p"] + m / a["size"]).alias("a"), b.withField("p", b["p"] - m / b["size"]).alias("b")))
 
+        def after(v: Column) -> Column:
+            x, y = v["a"], v["b"]
+            both = state(F.concat(acc["out"], F.array(x, y)), nothing)
+            return F.when(~integral(y["p"]), state(F.concat(acc["out"], F.array(x)), y)).when(integral(x["p"]), both).otherwise(state(F.concat(acc["out"], F.array(y)), x))
 
-def pivotal_copies(units: DataFrame, most: int, *, seed: int = 1, fan_in: int = 256) -> DataFrame:
-    """units: source and FIELDS, most: the rows of the largest source. Adds copies = whole + 0 or 1.
+        return F.when(a.isNull(), state(acc["out"], b)).otherwise(let(met, after))
 
-    A unit's chance of the extra copy is p; a source's words differ from their expectation by one small unit at most.
-    """
-    open_ = (F.col("p") > EPS) & (F.col("p") < 1 - EPS) & (F.col("size") > 0)
-    parts = [units.where(~open_).select("source", *FIELDS)]
-    left, group = units.where(open_), fan_in
-    level = 0
+    return F.aggregate(F.array_sort("units"), start, settle)
+
+
+def tree(left: DataFrame, most: int, seed: int, fan_in: int) -> tuple[list[DataFrame], DataFrame]:
+    """Settled units of each level, and what is left of each source: one unit at most."""
+    settled, group, level = [], fan_in, 0
     while True:
         # groups of about fan_in units, by a salt; a source of fewer rows is one group
         salt = F.pmod(F.xxhash64(F.lit(seed + 17 + level), "key"), F.ceil(F.col("rows") / group))
         folded = left.withColumn("salt", salt).groupBy("source", "salt").agg(F.collect_list(F.struct(*FIELDS)).alias("units"))
-        folded = checkpointed(folded.select("source", (_duel(seed + level) if level else _pool(seed)).alias("d")))
-        parts.append(folded.select("source", F.explode("d.out").alias("u")).select("source", "u.*"))
+        folded = checkpointed(folded.select("source", _duel(seed + level).alias("d")))
+        settled.append(folded.select("source", F.explode("d.out").alias("u")).select("source", "u.*"))
         left = folded.where("d.last is not null").select("source", "d.last.*")
         if group >= most:
-            break
+            return settled, left
         group, level = group * fan_in, level + 1
-    # what is left of a source is one unit at most: its own draw
-    parts.append(left.withColumn("p", (uniform(seed + 99, "key") < F.col("p")).cast("double")))
+
+
+def pivotal_copies(units: DataFrame, most: int, *, seed: int = 1, fan_in: int = 256) -> DataFrame:
+    """units: source, quartile and FIELDS, open ones of a source with one p; most: the rows of the largest source. Adds
+    copies = whole + 0 or 1.
+
+    A unit's chance of the extra copy is p; a source's words differ from their expectation by one unit at most, one of the
+    smaller three quarters where these can settle the one left of the larger ones.
+    """
+    open_, large = (F.col("p") > EPS) & (F.col("p") < 1 - EPS) & (F.col("size") > 0), F.col("size") > F.col("quartile")
+    parts = [units.where(~open_).select("source", *FIELDS)]
+    settled, last = tree(units.where(open_ & large).select("source", *FIELDS), most, seed, fan_in)
+    parts += settled
+    small = units.where(open_ & ~large).select("source", *FIELDS)
+    pool = small.groupBy(F.col("source").alias("source_")).agg(F.sum("size").alias("pool"), F.first("p").alias("common"))
+    met = last.join(pool, F.col("source").eqNullSafe(F.col("source_")), "left").drop("source_")
+    moved = F.when(F.col("pool").isNull(), 0.0).otherwise(transfer(uniform(seed + 98, "key"), F.col("size"), F.col("p"), F.col("pool"), F.col("common")))
+    met = checkpointed(met.withColumn("moved", moved).withColumn("p", F.col("p") + F.col("moved") / F.col("size")).withColumn("common", F.col("common") - F.col("moved") / F.col("pool")))
+    common = met.where("common is not null").select(F.col("source").alias("source_"), "common")  # a row per source at most
+    moved_on = small.join(common, F.col("source").eqNullSafe(F.col("source_")), "left").withColumn("p", F.coalesce("common", "p")).select("source", *FIELDS)
+    settled, rest = tree(moved_on, most, seed + 50, fan_in)
+    parts += settled
+    # what is left of a source: its own draw
+    for left in (met.select("source", *FIELDS), rest):
+        parts.append(left.withColumn("p", (uniform(seed + 99, "key") < F.col("p")).cast("double")))
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x.select(out.columns))
@@ -160,7 +170,7 @@ def mix(docs: DataFrame, *, cap: float = 3.0, seed: int = 1, fan_in: int = 256,
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rate = F.when(F.abs(rate - F.round(rate)) < EPS, F.round(rate)).otherwise(rate)
     joined = sizes.join(renamed, F.col("source").eqNullSafe(F.col("source_"))).withColumn("rate", rate)
-    units = joined.select("source", (-F.col("size")).alias("less"), "key", "doc_id", "size", "rows", F.floor("rate").alias("whole"), (F.col("rate") - F.floor("rate")).alias("p"))
+    units = joined.select("source", "quartile", (-F.col("size")).alias("less"), "key", "doc_id", "size", "rows", F.floor("rate").alias("whole"), (F.col("rate") - F.floor("rate")).alias("p"))
     copies = pivotal_copies(units, targets.agg(F.max("rows")).first()[0] or 0, seed=seed, fan_in=fan_in)
     out = copies.join(renamed, F.col("source").eqNullSafe(F.col("source_")))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "source", "key")

@@ -1,20 +1,22 @@
 """PII: format-preserving Feistel pseudonyms.
 
 What is found and validated is replaced by a value of the same format through a keyed permutation, so that equal values
-get equal pseudonyms in every document and different ones stay different.
+get equal pseudonyms in every document and different ones of one written format stay different.
 """
 
 from __future__ import annotations
 
+import calendar
 import datetime
 import hashlib
 import ipaddress
 import re
+import secrets
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 ROUNDS = 8
 KINDS = ("email", "secret", "ip", "date", "card", "iban", "ssn", "phone")
@@ -109,23 +111,40 @@ def _ip(text: str, key: bytes) -> str | None:
     return str(ipaddress.IPv4Address(permute(int.from_bytes(bytes(parts), "big"), 1 << 32, key, "ip")))
 
 
+def _days(month: int, leap: bool) -> int:
+    return 29 if month == 2 and leap else 28 if month == 2 else 30 if month in (4, 6, 9, 11) else 31
+
+
+def _pairs(leap: bool) -> list[tuple[int, int]]:
+    """All (a, b) that are a day and a month in one order or the other."""
+    fits = lambda d, m: 1 <= m <= 12 and 1 <= d <= _days(m, leap)
+    return [(a, b) for a in range(1, 32) for b in range(1, 32) if fits(a, b) or fits(b, a)]
+
+
+PAIRS = _pairs(True)
+PAIR_AT = {p: k for k, p in enumerate(PAIRS)}
+LEAP_ONLY = set(PAIRS) - set(_pairs(False))
+
+
 def _date(text: str, key: bytes) -> str | None:
     a, b, c = re.split(r"[-/.]", text)
-    orders = ("ymd",) if len(a) == 4 else ("dmy", "mdy")
-    for order in orders:
-        part = dict(zip(order, (a, b, c), strict=True))
+    if len(a) == 4:  # every day of the years 1 to 9999
         try:
-            day = datetime.date(int(part["y"]), int(part["m"]), int(part["d"]))
+            day = datetime.date(int(a), int(b), int(c)).toordinal()
         except ValueError:
-            continue
-        # every day of the years 1000 to 9999, written in the same order with the same separators
-        low = datetime.date(1000, 1, 1).toordinal()
-        if day.toordinal() < low:
             return None
-        new = datetime.date.fromordinal(low + permute(day.toordinal() - low, datetime.date.max.toordinal() - low + 1, key, "date"))
-        text_of = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
-        return _refill(text, "".join(text_of[k] for k in order))
-    return None
+        new = datetime.date.fromordinal(1 + permute(day - 1, datetime.date.max.toordinal(), key, "date"))
+        return _refill(text, f"{new.year:04d}{new.month:02d}{new.day:02d}")
+    # day first and month first are written alike, so the strings that are a date in either order are permuted
+    pair, year, n = (int(a), int(b)), int(c), len(PAIRS)
+
+    def valid(x: int) -> bool:
+        return x >= n and (PAIRS[x % n] not in LEAP_ONLY or calendar.isleap(x // n))
+
+    if pair not in PAIR_AT or not valid(year * n + PAIR_AT[pair]):
+        return None
+    x = permute_within(year * n + PAIR_AT[pair], 10_000 * n, valid, key, "day")
+    return _refill(text, f"{PAIRS[x % n][0]:02d}{PAIRS[x % n][1]:02d}{x // n:04d}")
 
 
 #: Radices and alphabets of the character classes that keep their class.
@@ -164,7 +183,7 @@ def _secret(text: str, key: bytes) -> str:
 def _iban(text: str, key: bytes) -> str | None:
     s = text.replace(" ", "")
     number = lambda x: int("".join(str(int(c, 36)) for c in x[4:] + x[:4]))
-    if not 15 <= len(s) <= 34 or number(s) % 97 != 1:
+    if not 15 <= len(s) <= 34 or number(s) % 97 != 1 or not 2 <= int(s[2:4]) <= 98:
         return None
     body = permute_string(s[4:], key, "iban" + s[:2])
     new = s[:2] + f"{98 - number(s[:2] + '00' + body) % 97:02d}" + body
@@ -220,19 +239,31 @@ def _kernel(key: bytes, names: list[str]):
             i = batch.schema.get_field_index("text")
             done = [worker.text(x.as_py()) for x in batch.column(i)]
             columns = [batch.column(k) if k != i else pa.array([x for x, _ in done], batch.schema.field(i).type) for k in range(batch.num_columns)]
-            columns += [pa.array([c.get(kind, 0) for _, c in done], pa.int64()) for kind in KINDS]
+            columns += [pa.array([c.get(kind, 0) for _, c in done], pa.int64()) for kind in KINDS[: len(names) - len(columns)]]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-def pseudonymised(df: DataFrame, *, key: bytes = b"wakeline") -> DataFrame:
-    """df with its column text rewritten, and n_<kind> counts added (an own column of that name is replaced).
+def session_key(spark: SparkSession) -> bytes:
+    """The key of the setting spark.wakeline.pii.key; where it is unset, one drawn at random for this application (pseudonyms
+    then agree within a session only, and nobody can invert them later)."""
+    told = spark.conf.get("spark.wakeline.pii.key", None)
+    return told.encode() if told else _drawn.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
+
+
+_drawn: dict[str, bytes] = {}
+
+
+def pseudonymised(df: DataFrame, *, key: bytes, counts: bool = True) -> DataFrame:
+    """df with its column text rewritten, and n_<kind> counts added unless told not to (an own column of that name is
+    replaced). Whoever has the key can invert the pseudonyms.
 
     A null text stays null, an empty one empty; texts of any length are taken whole; repeated rows are rewritten alike.
-    Numbers that fail their check (Luhn, mod 97, octets, calendar, social security areas) are left as they are.
+    Numbers that fail their check (Luhn, mod 97, octets, calendar, social security areas) are left as they are. An
+    empty table gives no rows.
     """
-    added = [f"n_{k}" for k in KINDS]
+    added = [f"n_{k}" for k in KINDS] if counts else []
     df = df.drop(*added)
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join([*(f"`{k}` {v}" for k, v in types.items()), *(f"{k} long" for k in added)])
