@@ -465,7 +465,8 @@ def brute_backoff(fitted, longest=5, smoothing=0.5):
             for n in range(1, longest + 1):
                 for k in range(len(p) - n + 1):
                     level[n][p[k : k + n]][langs.index(lang)] += 1
-    logs = [{k: np.log((c + smoothing) / (sum(t.values()) + smoothing * (len(t) + 1))) for k, c in t.items()} for t in level]
+    totals = [sum(t.values()) + smoothing * (len(t) + 1) for t in level]
+    logs = [{k: np.log((c + smoothing) / total) for k, c in t.items()} for t, total in zip(level, totals, strict=True)]
 
     def row(w):
         if w in logs[0]:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,15 +11,22 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What counts as a word character for `re` and is no letter (number signs such as a half or a Roman eight).
-NO_LETTERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-LETTERS = rf"[^\W\d_{NO_LETTERS}]"
-LETTER, TOKEN = re.compile(LETTERS), re.compile(LETTERS + "+")
-CACHE = 200_000
+#: Runs of letters, and of number signs that are no digits (a half, a Roman eight).
+RUN = re.compile(r"[^\W\d_]+")
+#: Words, and numbers, that a worker's cache holds at most; words of a text that are looked up at once.
+CACHE, CACHE_NUMBERS, PART = 400_000, 1 << 23, 4096
 SEED = 42  # fixed value: the seed of Spark's xxhash64
 WORD = "w"
 
 
+def letter_runs(text: str) -> list[str]:
+    """The runs of letters of a text, lowered."""
+    runs = RUN.findall(text.lower())
+    if text.isascii():
+        return runs
+    return [part for run in runs for part in ((run,) if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split())]
+
+
 class Model:
     """Log frequencies of words, and of n-grams of every length, by the hash of their level and text (sorted). A word takes the
     row of the longest level that knows it: its own, or the mean over its known n-grams of that length."""
@@ -29,50 +35,61 @@ class Model:
         self.langs, self.longest, self.keys, self.logs, self.seen = langs, longest, keys, logs, seen
 
     def find(self, texts: list[str]) -> np.ndarray:
-        """Places of the known ones among level-marked texts."""
-        if not len(self.keys):
-            return np.zeros(0, np.int64)
+        """The places of level-marked texts, -1 for those not known."""
+        if not len(self.keys) or not texts:
+            return np.full(len(texts), -1)
         h = np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), seed=SEED) for t in texts], np.uint64)
         i = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return i[self.keys[i] == h]
-
-    def row(self, word: str) -> np.ndarray:
-        """Log frequencies in each language, then 1 for each language that has the word."""
-        i = self.find([WORD + word])
-        if len(i):
-            return np.concatenate([self.logs[i[0]].astype(float), self.seen[i[0]]])
-        padded = f" {word} "
-        for n in range(min(self.longest, len(padded)), 0, -1):
-            i = self.find([f"{n}{padded[k : k + n]}" for k in range(len(padded) - n + 1)])
-            if len(i):
-                return np.concatenate([self.logs[i].astype(float).mean(0), np.zeros(len(self.langs))])
-        return np.zeros(2 * len(self.langs))
+        return np.where(self.keys[i] == h, i, -1)
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        """For each word: log frequencies in each language, then 1 for each language that has the word."""
+        n = len(self.langs)
+        out = np.zeros((len(words), 2 * n))
+        i = self.find([WORD + w for w in words])
+        hit = i >= 0
+        out[hit, :n], out[hit, n:] = self.logs[i[hit]], self.seen[i[hit]]
+        left = np.flatnonzero(~hit)
+        for size in range(self.longest, 0, -1):
+            owner, grams = [], []
+            for k in left.tolist():
+                padded = f" {words[k]} "
+                cut = [f"{size}{padded[j : j + size]}" for j in range(len(padded) - size + 1)]
+                grams += cut
+                owner += [k] * len(cut)
+            i, owner = self.find(grams), np.array(owner, np.int64)
+            known = i >= 0
+            i, owner = i[known], owner[known]
+            many = np.bincount(owner, minlength=len(words))
+            for x in range(n):
+                out[:, x] += np.bincount(owner, self.logs[i, x], len(words)) / np.maximum(many, 1)
+            left = left[many[left] == 0]
+            if not len(left):
+                break
+        return out
 
     def scorer(self):
         """A function of a text: language, score and share of known words. Rows of words met before are kept (a bounded
         cache)."""
-
-        class Known(dict):
-            def __missing__(known, word):  # noqa: N805
-                known[word] = len(rows)
-                rows.append(self.row(word))
-                return known[word]
-
-        rows: list[np.ndarray] = []
-        known = Known()
         n = len(self.langs)
+        table = np.zeros((min(CACHE, CACHE_NUMBERS // (2 * n)) if n else 0, 2 * n))
+        known: dict[str, int] = {}
 
         def score(text: str | None) -> tuple[str, float, float]:
-            if text is None or not n or not LETTER.search(text):
+            words = letter_runs(text) if text and n else ()
+            if not words:
                 return "und", 0.0, 0.0
-            words = TOKEN.findall(text.lower())
             total = np.zeros(2 * n)
-            for i in range(0, len(words), 4096):  # a part at a time, so that the cache may be emptied between
-                if len(rows) + 4096 > CACHE:
+            for i in range(0, len(words), PART):  # a part at a time, so that the cache may be emptied between
+                own = words[i : i + PART]
+                new = [w for w in dict.fromkeys(own) if w not in known]
+                if len(known) + len(new) > len(table):
                     known.clear()
-                    rows.clear()
-                ids = [known[w] for w in words[i : i + 4096]]
-                total += np.sum([rows[k] for k in ids], axis=0)
+                    new = list(dict.fromkeys(own))
+                if new:
+                    table[len(known) : len(known) + len(new)] = self.rows(new)
+                    known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+                total += table[[known[w] for w in own]].sum(0)
             best = int(np.argmax(total[:n]))  # ties: the first language by name
             return self.langs[best], float(1 / np.exp(np.clip(total[:n] - total[best], -700, 0)).sum()), float(total[n + best] / len(words))
 
