@@ -131,7 +131,7 @@ def test_events(spark):
     p = reports(spark, {1: [(i * 60, 5) for i in range(5)]})
     ev = spark.createDataFrame([(7, 1, 60, 120, "top", 1.0), (8, 9, 60, 120, "top", 0.5)], "key long, mmsi long, t_prev long, t_curr long, sample_kind string, score double")
     got = {r["key"]: (r["status"], r["n_context"]) for r in events.manifest(ev, p, "speed").collect()}
-    assert got == {7: ("saved", 5), 8: ("skipped", 0)}
+    assert got == {7: ("saved", 5), 8: ("skipped (not enough context points)", 0)}
     assert {r["status"] for r in events.manifest(ev, p, "timegap").collect()} == {"saved"}
 
 
@@ -202,3 +202,41 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     assert spark.table("live").count() == 15
     assert {tuple(r) for r in spark.table("live").select("event_id", "dist_m", "cat_speed").collect()} == {tuple(r) for r in rules.classify(T.transitions(df), {"sog_curr": 3.0}).select("event_id", "dist_m", "cat_speed").collect()}
+
+
+def test_commands(spark, tmp_path):
+    """Both methods through their commands, on CSV files with times as texts."""
+    from wakeline import cli
+
+    rng = np.random.default_rng(3)
+    t = lambda s: str(pd.Timestamp("2024-12-25") + pd.Timedelta(seconds=int(s)))
+    pts = pd.DataFrame([(m, t(i * 120), 10 + i * 0.01, 20 + rng.normal() * 0.01, abs(rng.normal() * 8), i * 17 % 360, 511) for m in range(1, 7) for i in range(30)], columns=["MMSI", "BaseDateTime", "LAT", "LON", "SOG", "COG", "Heading"])
+    pts.to_csv(tmp_path / "points.csv", index=False)
+    n = 150
+    feats = pd.DataFrame({"MMSI": np.arange(n) % 6 + 1, "t_prev": [t(i * 120) for i in np.arange(n) % 25], "t_curr": [t(i * 120 + 120) for i in np.arange(n) % 25], "delta_t_s": 120.0, "dist_m": rng.gamma(2, 500, n), "dsog": rng.normal(size=n), "dcog": rng.normal(size=n) * 20, "dheading": rng.normal(size=n), "sog_curr": rng.gamma(2, 4, n), "vessel_type": 1})
+    feats.to_csv(tmp_path / "features.csv", index=False)
+    p = lambda name: f"file://{tmp_path}/{name}"
+
+    def run(*args):
+        a = cli.parser().parse_args([str(x) for x in args])
+        a.run(spark, a)
+
+    run("prepare", "--input", p("features.csv"), "--output-dir", p("prep"))
+    run("forest", "--x", p("prep/features"), "--model-out", p("model"), "--scores-out", p("scores"), "--top-out", p("top"), "--summary-out", p("sum"), "--n-estimators", 10, "--top-frac", 0.2)
+    assert spark.read.parquet(p("top")).count() == 30 and "train_seconds" in "".join(r[0] for r in spark.read.text(p("sum")).collect())
+    run("explain", "--top", p("top"), "--features", p("features.csv"), "--out", p("explain"))
+    table = spark.read.parquet(p("explain"))
+    assert table.columns[:4] == ["mmsi", "t_prev", "t_curr", "anomaly_score"] and table.where("dist_m is not null").count() >= 30
+    run("fleet-stats", "--features", p("explain"), "--out", p("fleet"))
+    run("classify", "--explain", p("explain"), "--ref-stats", p("fleet"), "--out-dir", p("cls"), "--threshold", "p50")
+    assert spark.read.parquet(p("cls/summary")).columns == ["category", "n_anomalies", "pct_of_if_total", "threshold_level", "thresholds", "rule_description", "assignment"]
+    run("events", "--classified-dir", p("cls"), "--points", p("points.csv"), "--out-dir", p("figs"), "--n-top", 2, "--n-random", 2)
+    m = spark.read.parquet(p("figs/speed/manifest")).collect()
+    assert m and {r["status"] for r in m} == {"saved"} and all(r["category_score"] > 0 for r in m)
+    run("fit-sequences", "--input", p("points.csv"), "--output-dir", p("lstm"), "--epochs", 2, "--hidden", 8)
+    run("score-sequences", "--input", p("points.csv"), "--model-dir", p("lstm"), "--output-dir", p("seq"), "--top-frac", 0.1, "--batch-size", 64)
+    top = spark.read.parquet(p("seq/top"))
+    assert top.columns[0] == "rank" and top.count() == int(6 * 20 * 0.1)
+    top.withColumns({c: F.timestamp_seconds(c).cast("string") for c in ("t_prev", "t_curr")}).toPandas().to_csv(tmp_path / "top.csv", index=False)
+    run("sequence-events", "--top", p("top.csv"), "--points", p("points.csv"), "--out-dir", p("sfigs"), "--n-top", 2, "--n-random", 2)
+    assert spark.read.parquet(p("sfigs/sequence/manifest")).where("status = 'saved'").count() > 0

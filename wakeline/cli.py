@@ -6,20 +6,27 @@ Inputs and outputs are Parquet (or CSV with a header where a path ends in .csv)
 from __future__ import annotations
 
 import argparse
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import stats
-from .operators import events, explain, iforest, prepare, ranking, reports, rules
+from .functions import scalars, stats
+from .operators import events, explain, iforest, prepare, ranking, reports, rules, trajectory
 from .operators.lstm import Lstm
 from .plans import method_a, sequence
 from .shipping import ship
 from .sources import points, sinks
+from .sources.shared import checkpointed
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, inferSchema=True) if path.endswith(".csv") else spark.read.parquet(path)
+    """A table; the columns of a CSV are texts, but for those that tables of this program hold as numbers."""
+    if not path.endswith(".csv"):
+        return spark.read.parquet(path)
+    df = spark.read.csv(path, header=True)
+    texts = {"t_prev", "t_curr", "t_start", "categories", "category", "dominant_error", "reason_text", "basedatetime"}
+    return df.select(*(F.col(c) if c.lower() in texts or c.startswith("cat_") and not c.startswith("cat_score") else F.col(c).try_cast("long" if c.lower() in ("mmsi", "rank", "anomaly_rank", "n_categories", "vessel_type") else "double").alias(c) for c in df.columns))
 
 
 def reports_of(spark: SparkSession, path: str) -> DataFrame:
@@ -42,13 +49,16 @@ def forest_cmd(spark: SparkSession, a: argparse.Namespace) -> None:
     ship(spark)
     share = iforest.parse_contamination(a.contamination)
     x = keyed(read(spark, a.x))
-    names = [c for c in x.columns if c not in prepare.META]
-    nodes, meta = iforest.fit(x, names, [c for c in prepare.META if c in x.columns], n_trees=a.n_estimators, max_samples=a.max_samples, seed=a.random_state)
+    keys = [c for c in prepare.META if c in x.columns]
+    x, names, cleaned = prepare.training_table(x, [c for c in x.columns if c not in prepare.META], keys)
+    began = time.perf_counter()
+    nodes, meta = iforest.fit(x, names, keys, n_trees=a.n_estimators, max_samples=a.max_samples, seed=a.random_state)
+    nodes = checkpointed(nodes)
+    meta |= cleaned | {"train_seconds": round(time.perf_counter() - began, 6), "top_frac": a.top_frac, "contamination": a.contamination, "random_state": a.random_state}
     scored = iforest.score(x, nodes, meta)
     if share is not None:
         meta["offset"] = -stats.percentiles(scored, ["anomaly_score"], [1 - share]).first()["p0"]
         scored = scored.withColumn("decision_function", -F.col("anomaly_score") - meta["offset"])
-    keys = [c for c in prepare.META if c in x.columns]
     scored = scored.select(*keys, "anomaly_score", "decision_function")
     order = [F.desc("anomaly_score"), *map(F.col, keys)]
     top, n = ranking.top_fraction(scored, order, a.top_frac, "ceil")
@@ -71,7 +81,7 @@ def classify_cmd(spark: SparkSession, a: argparse.Namespace) -> None:
     sinks.write_table(out, f"{a.out_dir}/classified")
     sinks.write_by_category(rules.category_rows(out), f"{a.out_dir}/by_category")
     sinks.write_if_any(out.where("n_categories = 0"), f"{a.out_dir}/unclassified")
-    sinks.write_table(rules.category_summary(out), f"{a.out_dir}/summary")
+    sinks.write_table(rules.summary_table(out, limits, a.threshold), f"{a.out_dir}/summary")
     sinks.write_json(spark, sinks.stats_as_json(fleet), f"{a.out_dir}/reference_stats")
     sinks.write_text(spark, reports.category_report(out, limits), f"{a.out_dir}/report")
 
@@ -89,6 +99,8 @@ def events_cmd(spark: SparkSession, a: argparse.Namespace) -> None:
 def write_events(spark: SparkSession, rows: DataFrame, p: DataFrame, kind: str, a: argparse.Namespace) -> None:
     picked = events.sample_events(rows, a.n_top, a.n_random, a.random_seed, *prepare.META)
     score = "category_score" if "category_score" in picked.columns else "anomaly_score"
+    # times of tables are texts, timestamps or numbers; the reports' are seconds
+    picked = picked.withColumns({c: scalars.epoch_seconds(picked, c) for c in ("t_prev", "t_curr")})
     picked = picked.withColumns({"key": F.xxhash64(*prepare.META), "score": F.col(score)})
     seconds = getattr(a, "context_s", 3600)
     ctx = events.segments(events.context(picked.select("key", *prepare.META), p, seconds))
@@ -98,7 +110,7 @@ def write_events(spark: SparkSession, rows: DataFrame, p: DataFrame, kind: str,
 
 
 def fit_cmd(spark: SparkSession, a: argparse.Namespace) -> None:
-    model, meta = sequence.fit(reports_of(spark, a.input), seq_len=a.seq_len, hidden=a.hidden, layers=a.layers, epochs=a.epochs, batch_size=a.batch_size, lr=a.lr, max_vessels=a.max_vessels, val_frac=a.val_frac, patience=a.patience)
+    model, meta = sequence.fit(reports_of(spark, a.input), seq_len=a.seq_len, hidden=a.hidden, layers=a.layers, epochs=a.epochs, batch_size=a.batch_size, lr=a.lr, max_vessels=a.max_vessels, val_frac=a.val_frac, patience=a.patience, max_sequences=a.max_sequences or None)
     rows = [(k, list(v.shape), v.ravel().tolist()) for k, v in model.w.items()]
     sinks.write_model(spark, {"weights": spark.createDataFrame(rows, "name string, shape array<int>, w array<double>")}, meta, a.output_dir)
 
@@ -112,7 +124,7 @@ def score_cmd(spark: SparkSession, a: argparse.Namespace) -> None:
     model.w = {r["name"]: np.array(r["w"]).reshape(r["shape"]) for r in tables["weights"].collect()}
     p = reports_of(spark, a.input)
     p = points.vessels_of(p, ranking.sample_vessels(p, a.max_vessels, 123))
-    scores = sequence.score(p, meta["mean"], meta["std"], model, meta["seq_len"])
+    scores = sequence.score(p, meta["mean"], meta["std"], model, meta["seq_len"], a.batch_size)
     top, summary = sequence.top(scores, a.top_frac), sequence.stats(scores)
     sinks.write_table(scores, f"{a.output_dir}/scores")
     sinks.write_table(top, f"{a.output_dir}/top")
@@ -125,7 +137,10 @@ def sequence_events_cmd(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def fleet_cmd(spark: SparkSession, a: argparse.Namespace) -> None:
-    sinks.write_json(spark, sinks.stats_as_json(stats.fleet_stats(read(spark, a.features), method_a.FLEET)), a.out)
+    df = trajectory.with_derived(read(spark, a.features))
+    if "delta_t_s" in df.columns:
+        df = df.withColumn("delta_t_min", F.col("delta_t_s") / 60)
+    sinks.write_json(spark, sinks.stats_as_json(stats.fleet_stats(df, [c for c in method_a.FLEET if c in df.columns])), a.out)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -144,8 +159,8 @@ def parser() -> argparse.ArgumentParser:
     add("explain", explain_cmd, ("--top", str, ...), ("--features", str, ...), ("--out", str, ...), ("--top-n", int, None))
     add("classify", classify_cmd, ("--explain", str, ...), ("--ref-stats", str, ...), ("--out-dir", str, ...), ("--threshold", str, "p95"))
     add("events", events_cmd, ("--classified-dir", str, ...), ("--points", str, ...), ("--out-dir", str, ...), ("--n-top", int, 5), ("--n-random", int, 5), ("--random-seed", int, 42))
-    add("fit-sequences", fit_cmd, ("--input", str, ...), ("--output-dir", str, ...), ("--seq-len", int, 10), ("--hidden", int, 64), ("--layers", int, 2), ("--epochs", int, 30), ("--batch-size", int, 512), ("--lr", float, 1e-3), ("--max-vessels", int, 2000), ("--val-frac", float, 0.15), ("--patience", int, 5))
-    add("score-sequences", score_cmd, ("--input", str, ...), ("--model-dir", str, ...), ("--output-dir", str, ...), ("--max-vessels", int, 5000), ("--top-frac", float, 0.01))
+    add("fit-sequences", fit_cmd, ("--input", str, ...), ("--output-dir", str, ...), ("--seq-len", int, 10), ("--hidden", int, 64), ("--layers", int, 2), ("--epochs", int, 30), ("--batch-size", int, 512), ("--lr", float, 1e-3), ("--max-vessels", int, 2000), ("--val-frac", float, 0.15), ("--patience", int, 5), ("--max-sequences", int, 100_000))
+    add("score-sequences", score_cmd, ("--input", str, ...), ("--model-dir", str, ...), ("--output-dir", str, ...), ("--max-vessels", int, 5000), ("--top-frac", float, 0.01), ("--batch-size", int, 2048))
     add("sequence-events", sequence_events_cmd, ("--top", str, ...), ("--points", str, ...), ("--out-dir", str, ...), ("--n-top", int, 10), ("--n-random", int, 10), ("--context-s", int, 3600), ("--random-seed", int, 42))
     return top
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the domain.
@@ -94,30 +94,13 @@ def parse_time(c: str | Column) -> Column:
     return F.coalesce(*(F.try_to_timestamp(t, F.lit(f)) for f in TIME_FORMATS))
 
 
-def parse_time_strict(c: str | Column) -> Column:
-    """Seconds since the epoch; text of another format is an error."""
-    return F.unix_micros(F.to_timestamp(col(c), TIME_FORMATS[0])) / 1e6
-
-
-def shift_seconds(ts: str | Column, seconds: int | Column) -> Column:
-    s = seconds if isinstance(seconds, Column) else F.lit(seconds)
-    return col(ts) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), s.cast("decimal(18,6)"))
-
-
-def midpoint(a: str | Column, b: str | Column) -> Column:
-    return (col(a) + col(b)) / 2
-
-
-def clock(ts: str | Column) -> Column:
-    return F.date_format(col(ts), "HH:mm")
+def epoch_seconds(df: DataFrame, name: str) -> Column:
+    """Seconds since the epoch of a column of numbers (taken as they are), timestamps or texts of either time format."""
+    kind = df.schema[name].dataType.typeName()
+    if kind not in ("string", "timestamp", "timestamp_ntz", "date"):
+        return F.col(name)
+    return F.unix_micros((parse_time(name) if kind == "string" else F.col(name)).cast("timestamp")) / 1e6
 
 
 def ratio_to_threshold(value: str | Column, threshold: Column) -> Column:
     return F.coalesce(col(value), F.lit(0.0)) / F.greatest(threshold, F.lit(THRESHOLD_FLOOR))
-
-
-def zscore(c: str | Column, mean: str | Column, std: str | Column, floor: float | None = None) -> Column:
-    """(x - mean) / std; std 0 (floor None) or below floor counts as 1."""
-    s = col(std)
-    bad = (s == 0) if floor is None else (s < floor)
-    return (col(c) - col(mean)) / F.when(s.isNull() | bad, 1.0).otherwise(s)

@@ -9,6 +9,8 @@ from ..functions import scalars as S
 from .ranking import first_per_vessel, sample_rows
 
 MIN_CONTEXT = {"speed": 2, "turn": 3, "distance": 3, "timegap": 0, "sequence": 3}
+# Texts of the manifest.
+SKIPPED, SKIPPED_SEQUENCE = "skipped (not enough context points)", "skipped (not enough context)"
 #: What a figure of gaps shows where the fleet has no statistics (seconds): median and p99.
 GAP_DEFAULTS = (60.0, 300.0)
 
@@ -112,10 +114,13 @@ def speed_lines(ctx: DataFrame, stats: DataFrame, feature: str = "sog_curr") ->
 
 
 def manifest(events: DataFrame, points: DataFrame, kind: str, seconds: int = S.CONTEXT_S) -> DataFrame:
-    """A row per event: nth of its sample kind, n_context, status and file name (empty when skipped)."""
+    """A row per event: type, nth of its sample kind, n_context, status and file name (empty when skipped), with its times and
+    scores (null where events lack one)."""
     n = context(events, points, seconds).groupBy("key").agg(F.count("p_t").alias("n_context"))
     nth = F.row_number().over(Window.partitionBy("sample_kind").orderBy(F.desc("score"), "key"))
     out = events.withColumn("nth", nth).join(n, "key")
     ok = F.col("n_context") >= MIN_CONTEXT[kind]
     name = F.format_string(f"{kind}_%s_%03d_mmsi_%s.png", F.col("sample_kind"), F.col("nth"), F.col("mmsi").cast("string"))
-    return out.select("key", "mmsi", "sample_kind", "nth", "n_context", F.when(ok, "saved").otherwise("skipped").alias("status"), F.when(ok, name).otherwise("").alias("file"))
+    scores = [F.col(c).cast("double").alias(c) if c in events.columns else F.lit(None).cast("double").alias(c) for c in ("anomaly_score", "category_score", "percentile_rank")]
+    skipped = SKIPPED_SEQUENCE if kind == "sequence" else SKIPPED
+    return out.select("key", F.lit(kind).alias("type"), "mmsi", "t_prev", "t_curr", *scores, "sample_kind", "nth", "n_context", F.when(ok, "saved").otherwise(skipped).alias("status"), F.when(ok, name).otherwise("").alias("file"))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Relative progress that counts for the learning rate.
+PLATEAU = 1e-4
 Weights = dict[str, np.ndarray]
 
 
@@ -117,29 +119,36 @@ def train(model: Lstm, x: np.ndarray, y: np.ndarray, xv: np.ndarray, yv: np.ndar
                 model.w[name] -= lr * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.999**step)) + 1e-8)
         loss = float(np.mean((model.predict(xv) - yv) ** 2)) if len(xv) else float(np.mean((model.predict(x) - y) ** 2))
         history.append(loss)
+        if loss < best * (1 - PLATEAU):
+            plateau = 0
+        else:
+            plateau += 1
         if loss < best:
-            best, best_epoch, idle, plateau = loss, epoch, 0, 0
+            best, best_epoch, idle = loss, epoch, 0
             best_w = {k: w.copy() for k, w in model.w.items()}
         else:
-            idle, plateau = idle + 1, plateau + 1
-            if plateau > 3:
-                lr, plateau = lr * 0.5, 0
-            if idle >= patience:
-                break
+            idle += 1
+        if plateau > 3:
+            lr, plateau = lr * 0.5, 0
+        if idle >= patience:
+            break
     if best_w is not None:
         model.w = best_w
     return {"best_val_loss": best, "best_epoch": best_epoch, "epochs_run": len(history), "history": history}
 
 
-def errors_by(df: DataFrame, model: Lstm, seq: str = "scaled") -> DataFrame:
+def errors_by(df: DataFrame, model: Lstm, seq: str = "scaled", batch: int = 2048) -> DataFrame:
     """Squared errors of the model's prediction of each sequence's last row; the one step that runs in Python workers."""
     weights = df.sparkSession.sparkContext.broadcast(model)  # fixed by the architecture
 
     @F.pandas_udf("array<double>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
-            a = np.array([[list(map(float, row)) for row in x] for x in s]) if len(s) else np.zeros((0, 2, 8))
-            yield pd.Series(list((weights.value.predict(a[:, :-1]) - a[:, -1]) ** 2))
+            if not len(s):
+                yield pd.Series([], dtype=object)
+                continue
+            a = np.stack([np.stack(x) for x in s]).astype(float)
+            yield pd.Series(list((weights.value.predict(a[:, :-1], batch) - a[:, -1]) ** 2))
 
     return df.withColumn("errors", run(seq))
 

@@ -12,15 +12,6 @@ META = ("mmsi", "t_prev", "t_curr")
 NOT_FEATURES = ("vessel_type",)
 
 
-def select_keys(df: DataFrame, keys: tuple[str, ...] = META) -> DataFrame:
-    """The keys, a missing one as a null text."""
-    return df.select(*(F.col(k) if k in df.columns else F.lit(None).cast("string").alias(k) for k in keys))
-
-
-def drop_if_there(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    return df.drop(*columns)
-
-
 def reorder(df: DataFrame, front: list[str]) -> DataFrame:
     """Preferred columns first, the rest behind in their order."""
     head = [c for c in front if c in df.columns]
@@ -43,6 +34,21 @@ def missing_count(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(sum((F.sum(F.col(c).isNull().cast("long")) for c in columns), F.lit(0)).alias("n_missing"))
 
 
+def training_table(df: DataFrame, features: list[str], keys: list[str]) -> tuple[DataFrame, list[str], dict[str, int | list[str]]]:
+    """A feature table as the forest takes it: numbers, missing ones 0, columns of one value dropped (null is a value there).
+
+    Returns the table, the features left, and what was done: n_missing and dropped. Raises ValueError with no feature left.
+    """
+    num = df.select(*keys, *(S.finite(F.col(c).try_cast("double")).alias(c) for c in features))
+    missing = missing_count(num, features).first()["n_missing"] or 0
+    filled = num.select(*keys, *(F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in features))
+    dropped = {r["feature"] for r in constant_columns(filled, features, nulls_count=True).where("constant").collect()}
+    left = [c for c in features if c not in dropped]
+    if not left:
+        raise ValueError("no usable feature column")
+    return filled.select(*keys, *left), left, {"n_missing": missing, "dropped": sorted(dropped)}
+
+
 def prepare_features(df: DataFrame, *, keys: tuple[str, ...] = META, log_dist: bool = True, carry: tuple[str, ...] = ()) -> tuple[DataFrame, dict]:
     """Keys beside z-scored features, and the scaler. Every other column but vessel_type (and those carried) is a feature.
 

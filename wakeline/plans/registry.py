@@ -149,6 +149,13 @@ def prep_impute_zscore(spark, d):
     return out.select("event_id", *prepare.META, *(r(c, 4).alias(c) for c in MODEL_FEATURES))
 
 
+@query("forest_train_clean", f"""with {SQL_PAIRS}, x as (select event_id, case when event_id % 3 = 0 then 'abc' else dist_m::varchar end as dist_m, dsog, 0e0 as zero, case when event_id % 2 = 0 then 0e0 end as half from pairs)
+ select event_id, coalesce(try_cast(dist_m as double), 0) as dist_m, coalesce(dsog, 0) as dsog from x""")
+def forest_train_clean(spark, d):
+    df = pairs(spark, d).select("event_id", F.when(F.col("event_id") % 3 == 0, "abc").otherwise(F.col("dist_m").cast("string")).alias("dist_m"), "dsog", F.lit(0.0).alias("zero"), F.when(F.col("event_id") % 2 == 0, 0.0).alias("half"))
+    return prepare.training_table(df, ["dist_m", "dsog", "zero", "half"], ["event_id"])[0]
+
+
 @query("missing_count", f"with {SQL_PAIRS} select " + " + ".join(f"count(*) - count({c})" for c in MODEL_FEATURES) + " as n_missing from pairs")
 def missing_count(spark, d):
     return prepare.missing_count(pairs(spark, d), list(MODEL_FEATURES))
@@ -324,8 +331,8 @@ def timegap_bars(spark, d):
     return E.gap_bars(_events(spark, d), fleet(pairs(spark, d)))
 
 
-@query("manifest", f"""with {SQL_CONTEXT}, n as (select key, count(p_t) as n_context from ctx group by key), o as (select ev.key, ev.mmsi, row_number() over (order by delta_t_s desc, ev.key)::int as nth, n_context from ev join n using (key))
- select key, mmsi, 'top' as sample_kind, nth, n_context, case when n_context >= 3 then 'saved' else 'skipped' end as status, case when n_context >= 3 then 'turn_top_' || lpad(nth::varchar, 3, '0') || '_mmsi_' || mmsi::varchar || '.png' else '' end as file from o""")
+@query("manifest", f"""with {SQL_CONTEXT}, n as (select key, count(p_t) as n_context from ctx group by key), o as (select ev.*, row_number() over (order by delta_t_s desc, ev.key)::int as nth, n_context from ev join n using (key))
+ select key, 'turn' as type, mmsi, t_prev, t_curr, null::double as anomaly_score, null::double as category_score, null::double as percentile_rank, 'top' as sample_kind, nth, n_context, case when n_context >= 3 then 'saved' else 'skipped (not enough context points)' end as status, case when n_context >= 3 then 'turn_top_' || lpad(nth::varchar, 3, '0') || '_mmsi_' || mmsi::varchar || '.png' else '' end as file from o""")
 def manifest(spark, d):
     ev = _events(spark, d).withColumn("sample_kind", F.lit("top")).withColumn("score", F.col("delta_t_s"))
     return E.manifest(ev, points(spark, d), "turn")

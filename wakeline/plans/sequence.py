@@ -10,9 +10,6 @@ from ..operators.lstm import Lstm, errors_by, errors_by_persistence, train
 from ..operators.ranking import sample_vessels, top_fraction, train_val_split
 from ..functions.stats import descending_position, error_stats
 
-#: Sequences that the trainer takes to the driver at most.
-TRAINING_SEQUENCES = 100_000
-
 
 def windows_of(points: DataFrame, seq_len: int = 10) -> DataFrame:
     return T.window_validity(T.sequence_features(points, seq_len), seq_len)
@@ -23,10 +20,10 @@ def scaler(validity: DataFrame, seq_len: int = 10) -> tuple[list[float], list[fl
     return [r["mean"] or 0.0 for r in rows], [r["std"] or 1.0 for r in rows]
 
 
-def score(points: DataFrame, mean: list[float], std: list[float], model: Lstm | None = None, seq_len: int = 10) -> DataFrame:
+def score(points: DataFrame, mean: list[float], std: list[float], model: Lstm | None = None, seq_len: int = 10, batch: int = 2048) -> DataFrame:
     """A row per valid window with anomaly_score and err_*; model None: persistence."""
     seqs = T.sequences(windows_of(points, seq_len), seq_len).withColumn("scaled", T.scaled(F.col("seq"), mean, std))
-    found = errors_by(seqs, model) if model else errors_by_persistence(seqs)
+    found = errors_by(seqs, model, batch=batch) if model else errors_by_persistence(seqs)
     return T.with_errors(found).drop("seq", "scaled", "errors")
 
 
@@ -34,11 +31,16 @@ def top(scores: DataFrame, fraction: float = 0.01) -> DataFrame:
     """The top table: floor of the fraction, rank, percentile_rank among all scored, dominant error and its reason."""
     rows, n = top_fraction(scores, [F.desc("anomaly_score"), F.col("mmsi"), F.col("event_id")], fraction, "floor")
     label, reason = T.dominant_error()
-    return rows.withColumn("percentile_rank", descending_position("rank", n)).withColumn("dominant_error", label).withColumn("reason_text", reason)
+    rows = rows.withColumn("percentile_rank", descending_position("rank", n)).withColumn("dominant_error", label).withColumn("reason_text", reason)
+    return rows.select("rank", *(c for c in rows.columns if c != "rank"))
+
 
+def fit(points: DataFrame, *, seq_len: int = 10, hidden: int = 64, layers: int = 2, epochs: int = 30, batch_size: int = 512, lr: float = 1e-3, max_vessels: int = 2000, val_frac: float = 0.15, patience: int = 5, seed: int = 42, max_sequences: int | None = 100_000) -> tuple[Lstm, dict]:
+    """Trains on the normal reports of sampled vessels. Labels are filtered before differences are taken.
 
-def fit(points: DataFrame, *, seq_len: int = 10, hidden: int = 64, layers: int = 2, epochs: int = 30, batch_size: int = 512, lr: float = 1e-3, max_vessels: int = 2000, val_frac: float = 0.15, patience: int = 5, seed: int = 42) -> tuple[Lstm, dict]:
-    """Trains on the normal reports of sampled vessels. Labels are filtered before differences are taken."""
+    max_sequences bounds the labelled sequences that the trainer takes to the driver, chosen by hash; None: all those of
+    the max_vessels sampled vessels, which must then fit the driver.
+    """
     import numpy as np
 
     normal = points.where("is_anomaly = 0") if "is_anomaly" in points.columns else points
@@ -46,7 +48,7 @@ def fit(points: DataFrame, *, seq_len: int = 10, hidden: int = 64, layers: int =
     validity = windows_of(normal, seq_len)
     mean, std = scaler(validity, seq_len)
     seqs = T.sequences(validity, seq_len).withColumn("scaled", T.scaled(F.col("seq"), mean, std)).select("event_id", "scaled")
-    drawn = seqs.orderBy(F.xxhash64(F.lit(seed), "event_id")).limit(TRAINING_SEQUENCES)
+    drawn = seqs if max_sequences is None else seqs.orderBy(F.xxhash64(F.lit(seed), "event_id"), "event_id").limit(max_sequences)
     rows = train_val_split(drawn, val_frac, seed, "event_id").select("is_val", "scaled").toPandas()
     if rows.empty:
         raise ValueError("no sequences")
