@@ -86,6 +86,11 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
         yield batch.slice(start)
 
 
+def release() -> None:
+    """Gives memory that Arrow holds for later back to the system: a Python worker goes on to other tasks, whose needs differ."""
+    pa.default_memory_pool().release_unused()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, over uint64."""
     x = x ^ (x >> np.uint64(30))

@@ -74,15 +74,16 @@ class Counter:
         return total, score
 
 
-_counter: Counter | None = None
+_counters: dict[str, Counter] = {}
 
 
 def counter(vocabulary_of) -> Counter:
-    """One per Python worker."""
-    global _counter
-    if _counter is None:
-        _counter = Counter(vocabulary_of.value)
-    return _counter
+    """The one that a Python worker keeps, of the model in use."""
+    path = vocabulary_of.value.path
+    if path not in _counters:
+        _counters.clear()
+        _counters[path] = Counter(vocabulary_of.value)
+    return _counters[path]
 
 
 def counted(df: DataFrame, *, model: str = MODEL) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
+from .common import release, shuffle_partitions
 
 #: Bytes of text for each partition; there are no fewer partitions than the session's setting.
 PARTITION_BYTES = 128 << 20
@@ -129,7 +129,9 @@ def lookup(blk: DataFrame, request: Callable, answer: Callable, apply: Callable,
 
     def step3(table: pa.Table, got: pa.Table) -> pa.Table:
         keys, _, kept = request(table, True) if table.num_rows else (np.zeros(0, np.uint64), None, [])
-        return apply(keys, answers(keys, n, got, dtype, part_of), kept)
+        out = apply(keys, answers(keys, n, got, dtype, part_of), kept)
+        release()
+        return out
 
     asked = blk.groupBy("block").applyInArrow(step1, ASK)
     replied = asked.repartition(n, "part").groupBy("part").applyInArrow(step2, REPLY)

@@ -11,10 +11,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
+
 #: Runs of letters, and of number signs that are no digits (a half, a Roman eight).
 RUN = re.compile(r"[^\W\d_]+")
 #: Words, and numbers, that a worker's cache holds at most; words of a text that are looked up at once.
-CACHE, CACHE_NUMBERS, PART = 400_000, 1 << 23, 4096
+CACHE, CACHE_NUMBERS, PART = 100_000, 1 << 22, 4096
 SEED = 42  # fixed value: the seed of Spark's xxhash64
 WORD = "w"
 
@@ -134,6 +136,7 @@ def _kernel(model_of, names: list[str]):
             done = [score(x.as_py()) for x in batch.column(batch.schema.get_field_index("text"))]
             columns = [*batch.columns, pa.array([x[0] for x in done], pa.string()), *(pa.array([x[k] for x in done], pa.float64()) for k in (1, 2))]
             yield pa.RecordBatch.from_arrays(columns, names)
+        release()
 
     return run
 

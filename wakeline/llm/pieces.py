@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, mix, segment_hash, text_buffer
+from .common import CHUNK_BYTES, mix, release, segment_hash, text_buffer
 from .common import pieces as slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -34,6 +34,7 @@ class Vocabulary:
         import sentencepiece
 
         m = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.path = path
         self.size = m.get_piece_size()
         self.pieces: list[tuple[bytes, float, int]] = []
         self.bytes = np.full(256, -1, np.int32)
@@ -220,21 +221,24 @@ class Lattice:
         return data[keep], at - np.cumsum(drop)[at]
 
 
-_lattices: dict[float, Lattice] = {}
+_lattices: dict[tuple[str, float], Lattice] = {}
 
 
 def lattice(vocabulary_of, theta: float) -> Lattice:
-    """One per Python worker."""
-    if theta not in _lattices:
-        _lattices[theta] = Lattice(vocabulary_of.value, theta)
-    return _lattices[theta]
+    """The one that a Python worker keeps, of the model and theta in use."""
+    key = (vocabulary_of.value.path, theta)
+    if key not in _lattices:
+        _lattices.clear()
+        _lattices[key] = Lattice(vocabulary_of.value, theta)
+    return _lattices[key]
 
 
 def _encode_kernel(vocabulary_of, theta: float, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         tool = lattice(vocabulary_of, theta)
         for whole in batches:
-            for batch in slices(whole, "text", CHUNK_BYTES // 4):
+            for batch in slices(whole, "text", CHUNK_BYTES // 8):
                 data, at = text_buffer(batch.column(batch.schema.get_field_index("text")))
                 key = np.asarray(batch.column(batch.schema.get_field_index("__key")), np.int64).view(np.uint64)
                 ids, offsets = tool.encode(data, at, key)
