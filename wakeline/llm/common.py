@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -87,8 +88,12 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
 
 
 def release() -> None:
-    """Gives memory that Arrow holds for later back to the system: a Python worker goes on to other tasks, whose needs differ."""
+    """Gives memory that Arrow and the C library hold for later back to the system: a Python worker goes on to other tasks,
+    whose needs differ."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

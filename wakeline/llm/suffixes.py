@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, CHUNK_BYTES, mix, pieces, powers, text_buffer
+from .common import BASE, CHUNK_BYTES, mix, pieces, powers, release, text_buffer
 from .exchange import REPLY, answers, ask, blocks, gathered, packed, partitions_for, replies, split, together, unpacked
 
 LENGTH, K = 50, 20
@@ -39,6 +39,8 @@ LONGEST = 512
 #: Strings are merged in batches of about so many bytes (what a cache holds), whole minimizers each.
 BATCH = 1 << 16
 CODEC = pa.Codec("zstd")
+#: Bytes of text that are worked on at once; a longer text is taken whole.
+CHUNK = CHUNK_BYTES // 2
 #: Bytes of a shard.
 SHARD = 1 << 12
 LAST = np.iinfo(np.int64).max
@@ -60,7 +62,7 @@ class Prefix:
     def __init__(self, data: np.ndarray):
         global _back
         if len(_back) < len(data) + 1:
-            _back = _inverse(max(len(data) + 1, CHUNK_BYTES + 4096))
+            _back = _inverse(max(len(data) + 1, CHUNK + 4096))
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data) + 1)[: len(data)], dtype=np.uint64)])
 
     def __call__(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -183,7 +185,7 @@ def merged_least(pool: np.ndarray, size: np.ndarray, owner: np.ndarray) -> np.nd
 
 def _chunks(table: pa.Table) -> Iterator[tuple]:
     for whole in table.combine_chunks().to_batches():
-        for batch in pieces(whole, "text", CHUNK_BYTES):
+        for batch in pieces(whole, "text", CHUNK):
             data, at = text_buffer(batch.column(batch.schema.get_field_index("text")))
             ids = batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64())
             yield batch, data, at, np.asarray(ids.fill_null(LAST), np.int64)
@@ -303,6 +305,7 @@ def _runs(strings: np.ndarray, w: np.ndarray, owner: np.ndarray) -> tuple[np.nda
 
 def _intervals(table: pa.Table) -> pa.Table:
     """A part: each stretch's strings with the least id that has them, as runs of equal ids, for the blocks that asked."""
+    release()
     table = table.combine_chunks()
     owners = table["block"].to_pylist()
     column = lambda name, kind: [unpacked(x.as_py(), np.dtype(kind).itemsize).view(kind)[:, 0] for x in table[name]]
@@ -350,6 +353,7 @@ RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed
 
 def _apply(with_text: bool):
     def run(table: pa.Table, got: pa.Table) -> pa.Table:
+        release()
         got = got.combine_chunks()
         column = lambda name, kind: np.concatenate([unpacked(x.as_py(), np.dtype(kind).itemsize).view(kind)[:, 0] for x in got[name]]) if got.num_rows else np.zeros(0, kind)
         h, runs, length, value = column("hash", "<u8"), column("runs", "<i4").astype(np.int64), column("length", "<i4").astype(np.int64), column("value", "<i8")
@@ -402,6 +406,7 @@ def deduped(docs: DataFrame, *, with_text: bool = False, hot: int = HOT) -> Data
     blk = blocks(docs, F.xxhash64("doc_id", "text"), n)
 
     def minimizers(table: pa.Table) -> pa.Table:
+        release()
         return ask(table["block"][0].as_py(), *_minimizers(table), n)
 
     def shared(table: pa.Table) -> pa.Table:
@@ -413,6 +418,7 @@ def deduped(docs: DataFrame, *, with_text: bool = False, hot: int = HOT) -> Data
         return replies(table["part"][0].as_py(), owners, (both.astype(np.uint8) + (both & many))[i], at)
 
     def send(table: pa.Table, got: pa.Table) -> pa.Table:
+        release()
         found = [(data, at, ids, stretches(data, at)) for _, data, at, ids in _chunks(table)]
         keys = np.unique(np.concatenate([r[2] for *_, r in found])) if found else np.zeros(0, np.uint64)
         return _distinct(table, found, keys, answers(keys, n, got, np.uint8), n)
