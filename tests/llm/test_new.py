@@ -1,0 +1,85 @@
+"""Secret scans, whitening and importance resampling against brute force, and on awkward tables."""
+
+from __future__ import annotations
+
+import math
+import os
+
+import numpy as np
+import pytest
+
+from wakeline.llm import queries, whiten
+
+DIR = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def tables():
+    if not os.path.isdir(DIR):
+        pytest.skip("no test tables")
+    return DIR
+
+
+def integers(rows):
+    return {i: [math.floor(64 * float(c)) + 1_000_000 for c in e] for i, e in rows if e and all(c is not None and math.isfinite(c) for c in e)}
+
+
+def test_whitening_equals_eigenvectors(spark, tables):
+    got = queries.op12_embedding_whitening(spark, tables).toPandas()
+    x = integers(spark.read.parquet(f"{tables}/embeddings.parquet").select("vec_id", "embedding").collect())
+    ids, m = list(x), np.array(list(x.values()), float)
+    n, sums = len(m), [sum(c) for c in zip(*x.values(), strict=True)]
+    v = np.cov(m.T, bias=True)
+    e, u = np.linalg.eigh(v)
+    e, u = e[::-1], u[:, ::-1]
+    assert len(got) == n * 32 and set(got["n"]) == {n} and got["identity_error"].nunique() == 1 and got["identity_error"].max() < 1e-10
+    for k in range(32):
+        one = got[got["component"] == k + 1].set_index("vec_id").loc[ids]
+        assert np.allclose(one["explained"], e[k] / np.trace(v), rtol=1e-10)
+        w = (m - m.mean(0)) @ u[:, k] / math.sqrt(e[k])
+        assert min(np.abs(one["whitened"] - w).max(), np.abs(one["whitened"] + w).max()) < 1e-7
+    deviation = got[got["component"] == 1].set_index("vec_id")["deviation"]
+    assert all(deviation[i] == sum((n * c - s) ** 2 for c, s in zip(row, sums, strict=True)) for i, row in x.items())
+
+
+def test_jacobi_keeps_small_deviations():
+    rng = np.random.default_rng(1)
+    q, _ = np.linalg.qr(rng.normal(size=(9, 9)))
+    sizes = 10.0 ** -np.arange(9)
+    length, v = whiten.jacobi(np.linalg.qr(rng.normal(size=(50, 9)))[0] * sizes @ q.T)
+    assert np.allclose(length, sizes, rtol=1e-6) and np.allclose(v.T @ v, np.eye(9), atol=1e-12) and np.allclose(np.abs((v * q).sum(0)), 1, atol=1e-6)
+    for d in (1, 2, 5):
+        length, v = whiten.jacobi(np.zeros((d, d)))
+        assert not length.any() and np.allclose(v.T @ v, np.eye(d))
+
+
+def test_factors_of_any_split_agree():
+    x = whiten.integers(np.random.default_rng(2).normal(3, 1, (500, 6)))
+    whole = whiten.jacobi(np.linalg.qr(x - x.mean(0), mode="r"))[0]
+    total = None
+    for part in np.split(x, [1, 3, 40, 41, 300]):
+        f = whiten.Factor.of(part)
+        total = f if total is None else total.with_(f)
+    assert total.sums == [int(s) for s in x.sum(0)] and total.n == 500 and np.allclose(whiten.jacobi(total.r)[0], whole, rtol=1e-9)
+
+
+def test_whitening_awkward(spark):
+    rows = [(1, [1.0, 2.0, 5.0], "x"), (2, [2.0, 2.5, 5.0], "x"), (2, [2.0, 2.5, 5.0], "x"), (None, [0.0, 9.0, 5.0], "x"), (4, None, "x"), (5, [], "x"), (6, [1.0, None, 2.0], "x"), (7, [1.0, float("nan"), 2.0], "x"), (8, [float("inf"), 1.0, 2.0], "x"), (9, [1.0, 2.0], "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, n string").repartition(4)
+    got = whiten.whitened(df).collect()
+    assert sorted((r["vec_id"] or -1, r["component"]) for r in got) == sorted((i, k) for i in (1, 2, 2, -1) for k in (1, 2, 3))
+    assert all((r["whitened"] is None) == (r["component"] == 3) and r["n"] == 4 and r["identity_error"] < 1e-9 for r in got)
+    assert math.isclose(sum(r["explained"] for r in got if r["vec_id"] == 1), 1)
+    assert whiten.whitened(df.where("vec_id > 3")).where("vec_id = 9").count() == 2
+    assert whiten.whitened(df.where("vec_id = 4")).count() == 0 and whiten.whitened(df.limit(0)).count() == 0
+    alone = whiten.whitened(df.where("vec_id = 1")).collect()
+    assert len(alone) == 3 and all(r["whitened"] is None and r["explained"] is None and r["deviation"] == 0 and r["identity_error"] is None for r in alone)
+    huge = whiten.whitened(spark.createDataFrame([(1, [1e300, 1.0]), (2, [-1e300, 2.0]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")).collect()
+    assert len(huge) == 6 and any(r["deviation"] is None for r in huge)
+
+
+def test_whitening_trees_of_tasks(spark, monkeypatch):
+    monkeypatch.setattr(whiten, "FAN_IN", 2)
+    df = spark.range(400).selectExpr("id as vec_id", "array(sin(id), cos(3 * id), id % 7) as embedding")
+    a, b = (whiten.whitened(df.repartition(k)).orderBy("vec_id", "component").toPandas() for k in (1, 9))
+    assert (a["deviation"] == b["deviation"]).all() and np.allclose(a["whitened"], b["whitened"], atol=1e-9)

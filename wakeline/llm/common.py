@@ -171,6 +171,20 @@ def windows(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return i, mix(h[i])
 
 
+def finite_vectors(col: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, rows, vectors in double precision) of a list column, for each length: rows that are not null or empty and
+    hold no null or non-finite entry. Taken from Arrow's flat buffer."""
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    size = np.asarray(pc.fill_null(pc.list_value_length(col), 0), np.int64)
+    flat = np.asarray(pc.fill_null(col.flatten().cast(pa.float64()), float("nan")), float)
+    first = np.concatenate([[0], np.cumsum(size)])
+    bad = np.bincount(np.repeat(np.arange(len(size)), size)[~np.isfinite(flat)], minlength=len(size)) > 0
+    for d in np.unique(size[(size > 0) & ~bad]).tolist():
+        rows = np.flatnonzero((size == d) & ~bad)
+        yield d, rows, flat[first[rows][:, None] + np.arange(d)]
+
+
 def long_column(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return np.asarray(pc.fill_null(batch.column(batch.schema.get_field_index(name)).cast(pa.int64()), 0), np.int64)
 

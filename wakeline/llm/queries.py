@@ -84,6 +84,12 @@ def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(docs.withColumn("held_out", crc_rest("doc_id", 7) == 2))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whiten import whitened
+
+    return whitened(read(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,7 +97,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_llr, op2_piece_sampling, op3_mix_sources, op4_embedding_near_dedup, op5_token_counts, op6_suffix_dedup, op7_pii_pseudonyms, op8_minhash_near_dedup, op9_language_id, op10_context_tree, pipeline)
+    f.__name__: f for f in (op1_quality_llr, op2_piece_sampling, op3_mix_sources, op4_embedding_near_dedup, op5_token_counts, op6_suffix_dedup, op7_pii_pseudonyms, op8_minhash_near_dedup, op9_language_id, op10_context_tree, op12_embedding_whitening, pipeline)
 }
 #: SQL where it can express an operator; the others are held against brute force in tests/llm.
 ORACLES: dict[str, str] = {
