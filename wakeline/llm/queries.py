@@ -84,12 +84,24 @@ def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(docs.withColumn("held_out", crc_rest("doc_id", 7) == 2))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .randomness import secrets
+
+    return secrets(read(spark, sf_dir, "documents"))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .whiten import whitened
 
     return whitened(read(spark, sf_dir, "embeddings"))
 
 
+def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resample import resampled
+
+    return resampled(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -97,7 +109,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_llr, op2_piece_sampling, op3_mix_sources, op4_embedding_near_dedup, op5_token_counts, op6_suffix_dedup, op7_pii_pseudonyms, op8_minhash_near_dedup, op9_language_id, op10_context_tree, op12_embedding_whitening, pipeline)
+    f.__name__: f for f in (op1_quality_llr, op2_piece_sampling, op3_mix_sources, op4_embedding_near_dedup, op5_token_counts, op6_suffix_dedup, op7_pii_pseudonyms, op8_minhash_near_dedup, op9_language_id, op10_context_tree, op11_secret_scan, op12_embedding_whitening, op13_target_resampling, pipeline)
 }
 #: SQL where it can express an operator; the others are held against brute force in tests/llm.
 ORACLES: dict[str, str] = {
@@ -115,4 +127,19 @@ ORACLES: dict[str, str] = {
  edge as (select *, lag(r, 1, 0) over (partition by doc_id order by i) as before from gone),
  g as (select doc_id, sum(r)::bigint as n_removed, sum((r = 1 and before = 0)::int)::bigint as n_spans, coalesce(string_agg(byte, '' order by i) filter (where r = 0), '') as kept from edge group by doc_id)
  select d.doc_id, n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256 from d left join g using (doc_id)""",
+    "op13_target_resampling": r"""with recursive crc(i, c) as (select i, list_reduce([i] || range(8), lambda x, k: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end) from range(256) t(i)),
+ table_ as (select list(c order by i) as crcs from crc),
+ texts as (select doc_id, text, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+ target as (select unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as word from benchmark),
+ raw as (select doc_id, unnest(w) as word from texts), vocabulary as (select word from raw union select word from target),
+ bytes as (select word, list_transform(range(1, octet_length(encode(word)) + 1), lambda k: ('0x' || hex(array_slice(encode(word), k, k)))::bigint) as b from vocabulary),
+ bucket as (select word, xor(list_reduce([4294967295::bigint] || b, lambda c, x: xor(c >> 8, crcs[(xor(c, x) & 255) + 1])), 4294967295) % 10000 as bucket from bytes, table_),
+ s as (select bucket, count(*) as s from raw join bucket using (word) group by all), t as (select bucket, count(*) as t from target join bucket using (word) group by all),
+ total as (select (select coalesce(sum(s), 0) from s)::double as all_s, (select coalesce(sum(t), 0) from t)::double as all_t),
+ gain as (select bucket, floor(1000 * ln((coalesce(t, 0) + 1)::double * (all_s + 10000) / ((coalesce(s, 0) + 1)::double * (all_t + 10000))))::bigint as gain from (select distinct bucket from bucket) left join s using (bucket) left join t using (bucket), total),
+ weights as (select doc_id, count(*) as n, floor(sum(gain) / count(*))::bigint as weight from raw join bucket using (word) join gain using (bucket) group by doc_id),
+ scored as (select doc_id, coalesce(n, 0)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+  (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('2024:' || doc_id)[:8])::bigint + 0.5::double) / 4294967296::double))))::bigint as score from documents left join weights using (doc_id)),
+ ordered as (select doc_id, row_number() over (order by score desc, doc_id) as r, 10 * count(*) over () // 100 as k from scored where n_features >= 20)
+ select doc_id, n_features, weight, score, case when r <= k then r end::bigint as rank from scored left join ordered using (doc_id)""",
 }
