@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import os
 import re
@@ -11,8 +12,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from wakeline.llm import queries, randomness, resample, whiten
+from wakeline.llm import mixing, pii, queries, randomness, resample, whiten
 
 DIR = "/root/testdata/sf0.001"
 
@@ -250,3 +252,81 @@ def test_resampling_hot_text_and_empty_tables(spark):
     assert want == sorted(map(tuple, resample.resampled(df, to, hot_share=0.5).collect()), key=str) == sorted(map(tuple, resample.resampled(df.repartition(7), to, hot_share=2).collect()), key=str)
     assert sorted(map(tuple, resample.resampled(df, to.limit(0)).collect()), key=str) == brute_resample(rows, [])
     assert resample.resampled(df.limit(0), to).count() == 0 and resample.resampled(df.limit(3), to, percent=0).where("rank is not null").count() == 0
+
+
+def other(text, zero):
+    """text with its digits in the script whose zero is told."""
+    return "".join(chr(ord(zero) + ord(c) - 48) if "0" <= c <= "9" else c for c in text)
+
+
+PERSONAL = {
+    "email": "ann.b7@mail2.example.org", "secret": "token=abcd1234efgh", "ip": "10.20.30.40", "date": "2024-02-29", "card": "4111 1111 1111 1111", "iban": "GB82 WEST 1234 5698 7654 32", "ssn": "123-45-6789", "phone": "(415) 555-2671",
+}
+
+
+@pytest.mark.parametrize("kind", PERSONAL)
+def test_pii_in_other_digits(kind):
+    w, plain = pii.Pseudonyms(b"key"), PERSONAL[kind]
+    want, counts = w.text(f"see {plain} now")
+    assert counts == {kind: 1} and plain not in want
+    for zero in "\u0966\u0660\uff10\U0001d7ce":  # Devanagari, Arabic, full width, beyond the basic plane
+        got, counts = w.text(f"see {other(plain, zero)} now")
+        assert counts == {kind: 1}
+        assert got.translate(pii.DIGITS) == want and got == other(want, zero)
+    mixed = w.text(f"see {plain[:-2]}{other(plain[-2:], '\u0966')} now")[0]
+    assert mixed.translate(pii.DIGITS) == want
+
+
+def test_pii_odd_digits_do_not_crash():
+    w = pii.Pseudonyms(b"key")
+    for text in ("see 1 \u0967\u0968\u0969-\u096a\u096b-\u096c\u096d\u096e\u096f", "\u00b2\u00b3\u00bd 12-34", "\u0661.\u0662.\u0663.\u0664", "\u2460 000-00-0000", "\u0969" * 300, "+\u0967" * 50):
+        got, _ = w.text(text)
+        assert len(got) >= len(text) - 12
+    assert w.text("x @@ a@b a@b.c %%@x.org \u00e9ann@mail.org")[1] == {"email": 2}
+
+
+def test_pii_long_secrets():
+    w = pii.Pseudonyms(b"key")
+    rng = np.random.default_rng(8)
+    draw = lambda n: "".join(rng.choice(list(randomness.UPPER + randomness.LOWER + randomness.DIGITS), n))
+    for head, n in (("token=", 240), ("token=", 1000), ("password: ", 100_000), ("sk-", 1000), ("xoxb-", 500), ("ghp_", 300)):
+        body = draw(n)
+        got, counts = w.text(f"a {head}{body} b")
+        new = got[len(head) + 2 : -2]
+        assert counts == {"secret": 1} and len(new) == n and got == w.text(f"a {head}{body} b")[0]
+        assert all(new[k : k + 20] != body[k : k + 20] for k in range(0, n - 20, 20))
+        first, last = (next(c for c in "yz" if c != old) for old in (body[0], body[-1]))
+        assert w.text(f"a {head}{body[:-1]}{last} b")[0] != got and w.text(f"a {head}{first}{body[1:]} b")[0][-22:] != got[-22:]
+    assert w.text("a " + "b" * 500 + "@mail.org")[1] == {"email": 1} and w.text("AKIA" + "A1" * 30)[1] == {"secret": 1}
+    strings = ["".join(x) for x in itertools.product("01", repeat=7)]
+    few = {pii.permute_string(x, b"k" * 32, "t") for x in strings}
+    assert len(few) == len(strings)
+
+
+def test_pii_misses_nothing_planted(spark, tables):
+    """What plain, wider patterns find in documents is gone afterwards."""
+    wide = {"email": r"[\w.]+@[\w.]+\.[a-z]{2,}", "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", "phone": r"\(\d{3}\) \d{3}-\d{4}", "secret": r"(?i)(?:token|password|secret|api_?key) ?= ?\"[a-z0-9]{20,}", "access": r"AKIA[A-Z0-9]{16}"}
+    rows = spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "text").where("text is not null")
+    done = {r["doc_id"]: r["text"] for r in pii.pseudonymised(rows, key=b"key").collect()}
+    found = Counter()
+    for r in rows.collect():
+        for kind, pattern in wide.items():
+            for value in re.findall(pattern, r["text"]):
+                found[kind] += 1
+                assert value not in done[r["doc_id"]], (kind, value)
+    assert found["email"] and found["phone"]
+
+
+def test_mixing_does_not_depend_on_the_layout(spark, monkeypatch):
+    """A source of many rows and sizes: the same documents are taken however the rows are dealt."""
+    monkeypatch.setattr(mixing, "words_in", lambda text: F.col(text).cast("long"))  # a text names its size
+    df = spark.range(150_000).selectExpr("id as doc_id", "cast(1 + pmod(xxhash64(id), 5000) + pmod(id, 3) * 7 as string) as text", "substr('abc', cast(1 + pmod(id * id, 5) div 2 as int), 1) as source")
+    take = lambda k: mixing.mix(df.repartition(k)).select("doc_id", "copies", "target")
+    a, b = take(3), take(11)
+    assert a.count() == 150_000 and a.exceptAll(b).count() == 0
+
+
+def test_mixing_quartile(spark):
+    sizes = spark.createDataFrame([("a", k) for k in range(1, 1001)] + [("b", 5)] * 9 + [(None, 0)], "source string, size long")
+    got = {r["source"]: (r["source_size"], r["rows"], r["quartile"]) for r in mixing.ranked_sources(sizes).collect()}
+    assert got["a"][:2] == (500500, 1000) and 750 <= got["a"][2] <= 850 and got["b"] == (45, 9, 10) and got[None] == (0, 1, 0)

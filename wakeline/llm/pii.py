@@ -12,6 +12,8 @@ import hashlib
 import ipaddress
 import re
 import secrets
+import sys
+import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -19,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 ROUNDS = 8
+#: Characters that are permuted as one number.
+BLOCK = 200
 KINDS = ("email", "secret", "ip", "date", "card", "iban", "ssn", "phone")
 
 
@@ -152,7 +156,15 @@ CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWX
 
 
 def permute_string(text: str, key: bytes, tweak: str) -> str:
-    """Digits stay digits, ASCII letters keep their case, all else stays: one permutation of the strings of that shape."""
+    """Digits stay digits, ASCII letters keep their case, all else stays: one permutation of the strings of that shape. A string
+    over BLOCK characters is permuted block by block, each under a tweak that holds what stood before (so it stays one to one,
+    and the work is in proportion to the length)."""
+    if len(text) > BLOCK:
+        before, out = hashlib.blake2b(key=key, digest_size=16), []
+        for k in range(0, len(text), BLOCK):
+            out.append(permute_string(text[k : k + BLOCK], key, f"{tweak}{before.hexdigest()}" if k else tweak))
+            before.update(text[k : k + BLOCK].encode())
+        return "".join(out)
     kinds = [next((a for a in CLASSES if c in a), None) for c in text]
     x, size = 0, 1
     for c, a in zip(text, kinds, strict=True):
@@ -192,44 +204,64 @@ def _iban(text: str, key: bytes) -> str | None:
 
 
 RULES: dict[str, Callable[[str, bytes], str | None]] = {"email": _email, "secret": _secret, "ip": _ip, "date": _date, "card": _card, "iban": _iban, "ssn": _ssn, "phone": _phone}
-#: Tried in this order at each place; a match that its rule finds invalid is left as it is.
+#: Tried in this order at each place; a match that its rule finds invalid is left as it is. No form has a greatest length.
 PATTERN = re.compile(
-    r"(?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-]))"
-    r"|(?<![A-Za-z0-9])(?P<secret>(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{36,255}|sk-[A-Za-z0-9_-]{20,200}|xox[abp]-[A-Za-z0-9-]{10,200})"
-    r"|(?i:(?<![a-z0-9])(?:api_?key|secret|token|passw(?:or)?d|pwd|aws_secret_access_key)[\"']?[ ]?[=:][ ]?[\"']?)(?P<value>[A-Za-z0-9/+_-]{8,200}(?![A-Za-z0-9/+_-]))"
-    r"|(?<![\w.])(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?![\w]|\.\d)"
-    r"|(?<![\w/.-])(?P<date>\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4}|\d{2}-\d{2}-\d{4})(?![\w/-]|\.\d)"
-    r"|(?<![\w.-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])"
-    r"|(?<![\w+.-])(?P<card>\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}|\d{4}[ -]?\d{6}[ -]?\d{5}|\d{13})(?![\w-])"
-    r"|(?<![A-Za-z0-9])(?P<iban>[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
-    r"|(?<![\w+.-])(?P<phone>(?:\+?1[ .-]?)?(?:\(\d{3}\)[ ]?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+[1-9]\d{7,14}|\+[2-9]\d{0,2}(?:[ .-]?\(?\d{1,4}\)?){2,5})(?![\w-])"
+    r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9-]))"
+    r"|(?<![A-Za-z0-9])(?P<secret>(?:AKIA|ASIA)[A-Z0-9]{16,}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|xox[abp]-[A-Za-z0-9-]{10,})"
+    r"|(?i:(?<![a-z0-9])(?:api_?key|secret|token|passw(?:or)?d|pwd|aws_secret_access_key)[\"']?[ ]?[=:][ ]?[\"']?)(?P<value>[A-Za-z0-9/+_-]{8,})"
+    r"|(?<![\w.])(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![\w]|\.[0-9])"
+    r"|(?<![\w/.-])(?P<date>[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}-[0-9]{2}-[0-9]{4})(?![\w/-]|\.[0-9])"
+    r"|(?<![\w.-])(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![\w-])"
+    r"|(?<![\w+.-])(?P<card>[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{1,7}|[0-9]{4}[ -]?[0-9]{6}[ -]?[0-9]{5}|[0-9]{13})(?![\w-])"
+    r"|(?<![A-Za-z0-9])(?P<iban>[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
+    r"|(?<![\w+.-])(?P<phone>(?:\+?1[ .-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|\+[1-9][0-9]{7,14}|\+[2-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{1,4}\)?){2,5})(?![\w-])"
 )
 NEEDS = re.compile(r"[0-9@]|AKIA|ASIA|gh[pousr]_|sk-|xox|(?i:secret|token|passw|pwd|api_?key)")
+#: Digits of other scripts; DIGITS gives the ASCII digit of each.
+OTHER_DIGITS = re.compile(r"[^\D0-9]")
+DIGITS = {c: str(unicodedata.decimal(chr(c))) for c in range(128, sys.maxunicode + 1) if chr(c).isdecimal()}
+
+
+def in_script(new: str, old: str) -> str:
+    """new with its digits in the script of those of old: place by place where the lengths agree, else that of old's first digit."""
+    at = [ord(c) - int(DIGITS[ord(c)]) if ord(c) in DIGITS else 48 for c in old]
+    if len(new) != len(old):
+        at = [next((z for z, c in zip(at, old, strict=True) if c.isdecimal()), 48)] * len(new)
+    return "".join(chr(z + ord(c) - 48) if "0" <= c <= "9" else c for c, z in zip(new, at, strict=True))
 
 
 class Pseudonyms:
-    """Replaces personal data in texts. Pseudonyms of values already seen are kept for speed (a bounded cache)."""
+    """Replaces personal data in texts. Pseudonyms of values already seen are kept for speed (a bounded cache).
+
+    Digits of every script count as digits: a value has the pseudonym of its ASCII form, written in its own script.
+    """
 
     def __init__(self, key: bytes):
         self.key = hashlib.blake2b(key, digest_size=32).digest()
         self.of = lru_cache(100_000)(lambda kind, value: RULES[kind](value, self.key))
 
+    def _new(self, kind: str, value: str) -> str | None:
+        return self.of(kind, value) if len(value) <= BLOCK else RULES[kind](value, self.key)
+
     def text(self, text: str | None) -> tuple[str | None, dict[str, int]]:
         counts: dict[str, int] = {}
-        if text is None or not NEEDS.search(text):
+        if text is None:
             return text, counts
-
-        def swap(m: re.Match) -> str:
-            kind = m.lastgroup
-            value = m[kind]
-            new = self.of("secret" if kind == "value" else kind, value)
+        foreign = not text.isascii() and OTHER_DIGITS.search(text) is not None
+        plain = text.translate(DIGITS) if foreign else text  # as long as the text
+        if not NEEDS.search(plain):
+            return text, counts
+        out, end = [], 0
+        for m in PATTERN.finditer(plain):
+            kind = "secret" if m.lastgroup == "value" else m.lastgroup
+            new = self._new(kind, m[m.lastgroup])
             if new is None:
-                return m[0]
-            kind = "secret" if kind == "value" else kind
+                continue
             counts[kind] = counts.get(kind, 0) + 1
-            return m[0][: m.start(m.lastgroup) - m.start()] + new
-
-        return PATTERN.sub(swap, text), counts
+            a, b = m.span(m.lastgroup)
+            out += [text[end:a], in_script(new, text[a:b]) if foreign else new]
+            end = b
+        return "".join([*out, text[end:]]), counts
 
 
 def _kernel(key: bytes, names: list[str]):
