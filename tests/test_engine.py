@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wakeline.functions import scalars as S
-from wakeline.functions import stats
+from wakeline.functions import ranks, stats
 from wakeline.operators import events, explain, iforest, lstm, prepare, ranking, rules
 from wakeline.operators import trajectory as T
 from wakeline.sources import points as P
@@ -64,7 +64,7 @@ def test_windows_against_loops(spark):
 def test_ranks_and_percentiles(spark):
     x = [1.0, 2.0, 2.0, 3.0]
     df = spark.createDataFrame([(v, "a") for v in x], "v double, c string")
-    assert sorted(r["p"] for r in df.select(stats.average_tie_percent_rank("v", "c").alias("p")).collect()) == sorted((pd.Series(x).rank(pct=True) * 100).round(2))
+    assert sorted(r["p"] for r in ranks.with_percent_rank(df, "v", ["c"], "p").collect()) == sorted((pd.Series(x).rank(pct=True) * 100).round(2))
     rng = np.random.default_rng(1)
     v = np.concatenate([rng.normal(size=3000), np.full(500, 0.25)])
     big = spark.createDataFrame([(float(a),) for a in v], "v double")

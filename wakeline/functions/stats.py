@@ -1,73 +1,13 @@
-"""Exact order statistics, moments and ranks."""
+"""Summaries of features, scores and errors: exact quantiles, moments and positions."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Up to so many rows Spark's percentile (a map of all values in one task) is used as it is.
-IN_ONE_TASK = 5_000_000
-
-
-def order_statistic(df: DataFrame, column: str, k: int, n: int, in_one_task: int = IN_ONE_TASK) -> float:
-    """The k-th smallest (from 0) of n non-null values: brackets of an approximate percentile narrow the rows until one
-    task can hold them, so no task ever sees all values."""
-    rows, below = df.select(F.col(column).alias("v")).where("v is not null"), 0
-    while n > in_one_task:
-        q, slack = k / n, 1e-3
-        lo, hi = rows.agg(F.percentile_approx("v", F.array(F.lit(max(0.0, q - slack)), F.lit(min(1.0, q + slack))), F.lit(10_000))).first()[0]
-        under, at = rows.agg(F.sum((F.col("v") < lo).cast("long")), F.sum(F.col("v").between(lo, hi).cast("long"))).first()
-        if lo == hi or not under <= k < under + at or at == n:
-            if lo == hi and under <= k < under + at:
-                return lo
-            break  # many equal values: grouping them is as good
-        rows, k, n, below = rows.where(F.col("v").between(lo, hi)), k - under, at, below + under
-    if n <= in_one_task:
-        return rows.agg(F.percentile("v", F.lit(k / max(1, n - 1)))).first()[0] if n > 1 else rows.first()[0]
-    counts = rows.groupBy("v").count().orderBy("v").toLocalIterator()
-    seen = 0
-    for r in counts:
-        seen += r["count"]
-        if seen > k:
-            return r["v"]
-    raise ValueError("no such value")
-
-
-#: Below this size, as Spark estimates it from the files, rows need not be counted first.
-SURELY_FEW_BYTES = 16 << 20
-
-
-def surely_few(df: DataFrame) -> bool:
-    """Whether Spark's own estimate of the table's size rules out many rows (False where there is no estimate)."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) < SURELY_FEW_BYTES
-    except AttributeError:  # a session without a JVM at hand
-        return False
-
-
-def percentiles(df: DataFrame, columns: Sequence[str], qs: Sequence[float], in_one_task: int = IN_ONE_TASK) -> DataFrame:
-    """One row per column: feature, and p0 .. pn for the quantiles, exact with linear interpolation, nulls left out."""
-    if (in_one_task >= IN_ONE_TASK and surely_few(df)) or df.count() <= in_one_task:
-        array = F.array(*map(F.lit, qs))
-        aggs = [F.percentile(c, array).alias(c) for c in columns]
-        wide = df.agg(*aggs)
-        pairs = [F.struct(F.lit(c).alias("feature"), F.col(c).alias("q")) for c in columns]
-        long = wide.select(F.explode(F.array(*pairs)).alias("x"))
-        return long.select("x.feature", *(F.col("x.q")[k].alias(f"p{k}") for k in range(len(qs))))
-    rows = []
-    for c in columns:
-        n = df.where(F.col(c).isNotNull()).count()
-        out = []
-        for q in qs:
-            pos = q * (n - 1)
-            a = order_statistic(df, c, int(pos), n, in_one_task) if n else None
-            b = order_statistic(df, c, min(int(pos) + 1, n - 1), n, in_one_task) if n and pos % 1 else a
-            out.append(None if a is None else a + (b - a) * (pos % 1))
-        rows.append((c, *out))
-    return df.sparkSession.createDataFrame(rows, ", ".join(["feature string", *(f"p{k} double" for k in range(len(qs)))]))
-
+from .quantiles import percentiles
 
 def fleet_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """feature, p50, p95, p99, p999, max: the reference statistics that rules and figures look thresholds up in."""
@@ -92,15 +32,6 @@ def error_stats(df: DataFrame, column: str) -> DataFrame:
     return q.crossJoin(F.broadcast(m))  # one row by one row
 
 
-def average_tie_percent_rank(value: str | Column, *partition: str) -> Column:
-    """100 * average rank / count within the partition, ascending, half-even to 2 places."""
-    value = F.col(value) if isinstance(value, str) else value
-    whole = Window.partitionBy(*partition)
-    rank = F.rank().over(whole.orderBy(value))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*partition, value))
-    return F.bround(100.0 * (rank + (ties - 1) / 2.0) / F.count(F.lit(1)).over(whole), 2)
-
-
 def descending_position(rank: str | Column, n: int | Column) -> Column:
     """100 * (1 - (rank - 1) / n), half-even to 4 places: the top row is 100."""
     rank = F.col(rank) if isinstance(rank, str) else rank

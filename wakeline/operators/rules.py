@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..functions.stats import average_tie_percent_rank
+from ..functions.ranks import with_percent_rank
 
 # The categories with their features, in order of the labels, and texts that appear in output tables.
 RULES = {"speed": ("sog_curr", "abs_dsog"), "turn": ("abs_dcog",), "timegap": ("delta_t_s",), "distance": ("dist_m", "implied_kts")}
@@ -33,24 +33,30 @@ def thresholds(stats: DataFrame, pct: str) -> dict[str, float | None]:
 
 
 def exceeds(df: DataFrame, feature: str, limit: float | None) -> Column:
-    """Strictly above; no threshold: never. A missing column or value counts as 0."""
-    if limit is None:
-        return F.lit(False)
-    value = F.coalesce(F.col(feature), F.lit(0.0)) if feature in df.columns else F.lit(0.0)
-    return value > limit
+    """Strictly above; no threshold: never."""
+    return F.lit(False) if limit is None else number_or_zero(df, feature) > limit
+
+
+def number_or_zero(df: DataFrame, feature: str) -> Column:
+    """A feature's number; a missing column or value, a text that is no number, NaN and infinities count as 0."""
+    if feature not in df.columns:
+        return F.lit(0.0)
+    kind = df.schema[feature].dataType.typeName()
+    value = S.finite(S.to_number(feature)) if kind == "string" else S.finite(feature)
+    return F.coalesce(value, F.lit(0.0))
 
 
 def classify(df: DataFrame, limits: dict[str, float | None], rules: dict[str, tuple[str, ...]] = RULES) -> DataFrame:
     """Adds cat_<name>, categories (comma-joined, or unclassified), n_categories and cat_score_<name>."""
     if "implied_kts" not in df.columns and {"dist_m", "delta_t_s"} <= set(df.columns):
-        df = df.withColumn("implied_kts", F.round(S.implied_knots_or_zero("dist_m", "delta_t_s"), 6))
+        df = df.withColumn("implied_kts", F.round(S.implied_knots_or_zero(number_or_zero(df, "dist_m"), number_or_zero(df, "delta_t_s")), 6))
     for name, features in rules.items():
         df = df.withColumn(f"cat_{name}", reduce(or_, (exceeds(df, f, limits.get(f)) for f in features)))
     flags = [F.when(F.col(f"cat_{n}"), F.lit(n)) for n in rules]
     df = df.withColumn("categories", F.coalesce(F.nullif(F.concat_ws(",", *flags), F.lit("")), F.lit(FALLBACK)))
     df = df.withColumn("n_categories", sum((F.col(f"cat_{n}").cast("int") for n in rules), F.lit(0)))
     for name, features in rules.items():
-        ratios = [S.ratio_to_threshold(f if f in df.columns else F.lit(0.0), F.lit(float(limits[f]))) for f in features if limits.get(f) is not None]
+        ratios = [S.ratio_to_threshold(number_or_zero(df, f), F.lit(float(limits[f]))) for f in features if limits.get(f) is not None]
         df = df.withColumn(f"cat_score_{name}", F.bround(F.greatest(F.lit(0.0), F.lit(0.0), *ratios), 4))
     return df
 
@@ -59,7 +65,7 @@ def category_rows(classified: DataFrame, rules: dict[str, tuple[str, ...]] = RUL
     """A row per category that a row has: category, category_score, percentile_rank (average ties) within it."""
     each = F.array(*(F.struct(F.lit(n).alias("category"), F.col(f"cat_{n}").alias("held"), F.col(f"cat_score_{n}").alias("category_score")) for n in rules))
     rows = classified.withColumn("x", F.explode(each)).where("x.held").select(*classified.columns, "x.category", "x.category_score")
-    return rows.withColumn("percentile_rank", average_tie_percent_rank("category_score", "category"))
+    return with_percent_rank(rows, "category_score", ["category"])
 
 
 def category_summary(classified: DataFrame, rules: dict[str, tuple[str, ...]] = RULES) -> DataFrame:

@@ -232,6 +232,21 @@ def classify_scores(spark, d):
     return rules.category_rows(classified(spark, d)).select("event_id", "category", "category_score", "percentile_rank")
 
 
+SQL_DIRTY_PAIRS = """dirty as (select event_id, case when event_id % 6 = 0 then 'nan'::double when event_id % 6 = 1 then 'inf'::double else sog_curr end as sog_curr, case when event_id % 7 = 0 then 'fast' when event_id % 7 = 1 then '' when event_id % 7 = 2 then 'NaN' else abs_dsog::varchar end as abs_dsog, abs_dcog, delta_t_s from pairs),
+ zeroed as (select event_id, case when isfinite(sog_curr) then sog_curr else 0 end as sog, case when isfinite(try_cast(abs_dsog as double)) then try_cast(abs_dsog as double) else 0 end as dsog, coalesce(abs_dcog, 0) as dcog from dirty)"""
+DIRTY_LIMITS = {"sog_curr": 31.7, "abs_dsog": 19.3, "abs_dcog": 90.0, "dist_m": 100.0, "implied_kts": None}
+
+
+@query("classify_dirty", f"""with {SQL_PAIRS}, {SQL_DIRTY_PAIRS} select event_id, sog > 31.7e0 or dsog > 19.3e0 as cat_speed, dcog > 90 as cat_turn, false as cat_distance, round_even(greatest(sog / 31.7e0, dsog / 19.3e0), 4) as cat_score_speed,
+ (sog > 31.7e0 or dsog > 19.3e0)::int + (dcog > 90)::int as n_categories from zeroed""")
+def classify_dirty(spark, d):
+    """Features that are NaN, infinite, text that is no number, or not there at all count as 0."""
+    sog = F.when(F.col("event_id") % 6 == 0, float("nan")).when(F.col("event_id") % 6 == 1, float("inf")).otherwise(F.col("sog_curr"))
+    text = F.when(F.col("event_id") % 7 == 0, "fast").when(F.col("event_id") % 7 == 1, "").when(F.col("event_id") % 7 == 2, "NaN").otherwise(F.col("abs_dsog").cast("string"))
+    dirty = pairs(spark, d).select("event_id", sog.alias("sog_curr"), text.alias("abs_dsog"), "abs_dcog", "delta_t_s")
+    return rules.classify(dirty, DIRTY_LIMITS).select("event_id", "cat_speed", "cat_turn", "cat_distance", "cat_score_speed", "n_categories")
+
+
 @query("classify_summary", f"with {SQL_CLASSIFIED} " + " union all ".join(f"select '{n}' as category, coalesce(sum(({c})::int), 0)::bigint as n, round_even(100 * coalesce(sum(({c})::int), 0)::double / greatest(count(*), 1), 2) as pct from classified" for n, c in [*((n, f"cat_{n}") for n in CATEGORIES), ("unclassified", "n_categories = 0")]))
 def classify_summary(spark, d):
     return rules.category_summary(classified(spark, d))
