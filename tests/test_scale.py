@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from wakeline.functions import quantiles, ranks
-from wakeline.operators import rules
+from wakeline.operators import chunks, rules
+from wakeline.operators import trajectory as T
 
 
 def plan_of(df):
@@ -95,3 +96,42 @@ def test_rules_take_nan_and_text_as_nothing(spark):
     df = spark.createDataFrame([(float("nan"), "x"), (float("inf"), "12"), (50.0, None), (1.0, "nan")], "sog_curr double, abs_dsog string").withColumn("abs_dcog", F.lit("200").cast("string"))
     got = rules.classify(df, {"sog_curr": 10.0, "abs_dsog": 5.0, "abs_dcog": 90.0, "dist_m": 3.0}).select("cat_speed", "cat_score_speed", "cat_turn", "cat_distance").collect()
     assert [tuple(r) for r in got] == [(False, 0.0, True, False), (True, 2.4, True, False), (True, 5.0, True, False), (False, 0.1, True, False)]
+
+
+def ship_reports(spark, sizes, seed=3):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for mmsi, n in sizes.items():
+        t = np.cumsum(rng.choice([0, 1, 60, 300, 4000], n, p=[0.1, 0.2, 0.4, 0.28, 0.02]))
+        rows += [(len(rows) + k, mmsi, int(t[k]), float(rng.normal()), float(rng.normal()), float(rng.integers(0, 50)), None if k % 9 == 0 else float(rng.integers(0, 360)), 511.0 if k % 7 == 0 else float(rng.integers(0, 360)), 0) for k in range(n)]
+    return spark.createDataFrame(rows, "event_id long, mmsi long, t_s long, lat double, lon double, sog double, cog double, heading double, vessel_type int").repartition(5)
+
+
+def as_rows(df):
+    return sorted(map(str, df.collect()))
+
+
+@pytest.mark.parametrize("hot_rows", [400, 60, 7])
+def test_large_vessels_are_several_tasks_with_the_same_result(spark, monkeypatch, hot_rows):
+    points = ship_reports(spark, {1: 1500, 2: 59, 3: 5, 4: 61})
+    steps = {
+        "pairs": lambda: T.transitions(points), "features": lambda: T.core(T.sequence_features(points)), "coverage": lambda: T.window_coverage(T.window_validity(T.sequence_features(points))),
+        "sequences": lambda: T.sequences(T.window_validity(T.sequence_features(points))),
+    }
+    whole = {k: as_rows(f()) for k, f in steps.items()}
+    monkeypatch.setattr(chunks, "HOT_ROWS", hot_rows)
+    cut = chunks.split(points, 11, 10)
+    sizes = {(r["mmsi"], r[chunks.CHUNK]): r["count"] for r in cut.groupBy("mmsi", chunks.CHUNK).count().collect()}
+    assert sum(m == 1 for m, _ in sizes) >= min(100, 1500 // hot_rows) and sum(m == 3 for m, _ in sizes) == 1
+    assert max(sizes.values()) <= 2 * hot_rows + 21 + 12
+    for k, f in steps.items():
+        assert as_rows(f()) == whole[k], k
+
+
+def test_one_vessel_of_all_rows_and_one_time(spark, monkeypatch):
+    monkeypatch.setattr(chunks, "HOT_ROWS", 20)
+    same = spark.range(200).selectExpr("id as event_id", "7L as mmsi", "5L as t_s", "0.1 * id as lat", "0.0 as lon", "1.0 as sog", "10.0 as cog", "20.0 as heading", "0 as vessel_type")
+    assert T.transitions(same).count() == 199 and T.sequences(T.window_validity(T.sequence_features(same))).count() == 190
+    assert T.transitions(same.limit(0)).count() == 0
+    nobody = same.withColumn("mmsi", F.lit(None).cast("long")).withColumn("t_s", F.col("event_id"))
+    assert T.transitions(nobody).count() == 199

@@ -1,14 +1,16 @@
 """Per-vessel ordered operators: transitions, sequence features, sliding windows and their coverage.
 
-Everything hangs on one window specification, so Spark sorts each vessel's reports once.
+Everything hangs on one window specification, so Spark sorts each vessel's reports once; a large vessel is cut into time ranges
+with halos (chunks.py), so it is several tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .chunks import HALO, by_vessel, core, helpers, is_split, place, reports, split
 
 # Columns of the sequence model, in order.
 SEQ_FEATURES = ("sog", "cog_sin", "cog_cos", "heading_sin", "heading_cos", "delta_lat", "delta_lon", "log_delta_t")
@@ -25,25 +27,22 @@ ERR_REASONS = {
 }
 
 
-def by_vessel(*extra: str) -> WindowSpec:
-    return Window.partitionBy("mmsi").orderBy("t_s", *(extra or ("event_id",)))
-
-
 def transitions(points: DataFrame) -> DataFrame:
     """Features of each pair of consecutive reports of a vessel (the first report of a vessel has none).
 
     Features are rounded to 6 places (metres to 3), so that comparing them with a percentile doesn't hang on the last bit.
     """
-    w = by_vessel()
+    points = split(points, 1, 0)
+    w = by_vessel(points)
     prev = {c: F.lag(c).over(w) for c in ("t_s", "lat", "lon", "sog", "cog", "heading", "event_id")}
     dt = (F.col("t_s") - prev["t_s"]).cast("double")
     dist = S.haversine(prev["lat"], prev["lon"], "lat", "lon")
     out = points.select(
         "event_id", "mmsi", "vessel_type", prev["t_s"].alias("t_prev"), F.col("t_s").alias("t_curr"), dt.alias("delta_t_s"), (dt / 60).alias("delta_t_min"),
         F.round(dist, 3).alias("dist_m"), F.round(F.col("sog") - prev["sog"], 6).alias("dsog"), F.round(S.wrap_angle(prev["cog"], "cog"), 6).alias("dcog"),
-        F.round(S.wrap_angle(prev["heading"], "heading"), 6).alias("dheading"), F.col("sog").alias("sog_curr"), F.col("cog").alias("cog_curr"),
+        F.round(S.wrap_angle(prev["heading"], "heading"), 6).alias("dheading"), F.col("sog").alias("sog_curr"), F.col("cog").alias("cog_curr"), *helpers(points),
     ).where("t_prev is not null")
-    return with_derived(out)
+    return with_derived(core(out))
 
 
 def with_derived(df: DataFrame) -> DataFrame:
@@ -59,41 +58,42 @@ def with_derived(df: DataFrame) -> DataFrame:
 
 def sequence_features(points: DataFrame, seq_len: int = 10) -> DataFrame:
     """The model's columns for each report of a vessel with at least seq_len + 2 of them; dt is the gap before it (null for
-    the first), nth its place."""
-    w = by_vessel()
+    the first), nth its place. Where a vessel was split, its halos are in it until core() takes them off."""
+    points = split(points, seq_len + 1, seq_len)
+    w = by_vessel(points)
     dt = F.greatest((F.col("t_s") - F.lag("t_s").over(w)).cast("double"), F.lit(0.0))
     lagged = points.withColumns({
-        "dt": F.when(F.lag("t_s").over(w).isNotNull(), dt), "nth": F.row_number().over(w), "reports": F.count(F.lit(1)).over(Window.partitionBy("mmsi")),
+        "dt": F.when(F.lag("t_s").over(w).isNotNull(), dt), "nth": place(points), "reports": reports(points),
         "delta_lat": F.coalesce(F.col("lat") - F.lag("lat").over(w), F.lit(0.0)), "delta_lon": F.coalesce(F.col("lon") - F.lag("lon").over(w), F.lit(0.0)),
     })
     cog, heading = F.radians(S.course_or_zero("cog")), F.radians(S.heading_or_zero("heading"))
     return lagged.where(F.col("reports") >= seq_len + 2).select(
         "event_id", "mmsi", "t_s", "lat", "lon", F.col("sog").alias("sog_raw"), "dt", "nth", S.clip("sog", S.SOG_LOW, S.SOG_HIGH).alias("sog"),
         F.sin(cog).alias("cog_sin"), F.cos(cog).alias("cog_cos"), F.sin(heading).alias("heading_sin"), F.cos(heading).alias("heading_cos"),
-        "delta_lat", "delta_lon", F.log1p(F.coalesce("dt", F.lit(0.0))).alias("log_delta_t"),
+        "delta_lat", "delta_lon", F.log1p(F.coalesce("dt", F.lit(0.0))).alias("log_delta_t"), *helpers(points),
     )
 
 
 def window_validity(features: DataFrame, seq_len: int = 10, max_gap: float = S.MAX_GAP_S) -> DataFrame:
     """valid: the report ends a run of seq_len + 1 without a gap above max_gap inside it (the gap before its first report
     is not looked at)."""
-    gaps = F.max("dt").over(by_vessel().rowsBetween(-(seq_len - 1), 0))
+    gaps = F.max("dt").over(by_vessel(features).rowsBetween(-(seq_len - 1), 0))
     return features.withColumn("valid", (F.col("nth") > seq_len) & F.coalesce(gaps <= max_gap, F.lit(False)))
 
 
 def window_coverage(validity: DataFrame, seq_len: int = 10) -> DataFrame:
     """weight: how many valid windows hold the report; the sequences' moments are the reports' with this weight."""
-    return validity.withColumn("weight", F.sum(F.col("valid").cast("long")).over(by_vessel().rowsBetween(0, seq_len)))
+    return core(validity.withColumn("weight", F.sum(F.col("valid").cast("long")).over(by_vessel(validity).rowsBetween(0, seq_len))))
 
 
 def sequences(validity: DataFrame, seq_len: int = 10, features: tuple[str, ...] = SEQ_FEATURES) -> DataFrame:
     """A row per valid window: seq (seq_len + 1 arrays of features), times of its first, last but one and last report, and
     the last report's place and raw speed."""
-    w = by_vessel()
+    w = by_vessel(validity)
     rows = validity.withColumns({
         "seq": F.collect_list(F.array(*features)).over(w.rowsBetween(-seq_len, 0)), "t_start": F.lag("t_s", seq_len).over(w), "t_prev": F.lag("t_s", 1).over(w),
     })
-    return rows.where("valid").select("event_id", "mmsi", "t_start", "t_prev", F.col("t_s").alias("t_curr"), "lat", "lon", F.col("sog_raw").alias("sog"), "seq")
+    return rows.where(F.col("valid") & ~F.col(HALO) if is_split(validity) else F.col("valid")).select("event_id", "mmsi", "t_start", "t_prev", F.col("t_s").alias("t_curr"), "lat", "lon", F.col("sog_raw").alias("sog"), "seq")
 
 
 def scaler_moments(coverage: DataFrame, features: tuple[str, ...] = SEQ_FEATURES, floor: float = S.STD_FLOOR) -> DataFrame:

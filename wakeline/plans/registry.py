@@ -366,7 +366,7 @@ SQL_SCALER = f"{SQL_SEQ}, m as (select {SQL_MEANS} from c), s as (select {SQL_ST
 
 @query("seq_features", f"with {SQL_SEQ} select event_id, mmsi, dt, nth, " + ", ".join(f"round({x}, 6) + 0e0 as {x}" for x in T.SEQ_FEATURES) + " from f")
 def seq_features(spark, d):
-    return T.sequence_features(points(spark, d)).select("event_id", "mmsi", "dt", F.col("nth").cast("long").alias("nth"), *(r(x, 6).alias(x) for x in T.SEQ_FEATURES))
+    return T.core(T.sequence_features(points(spark, d))).select("event_id", "mmsi", "dt", F.col("nth").cast("long").alias("nth"), *(r(x, 6).alias(x) for x in T.SEQ_FEATURES))
 
 
 @query("seq_valid_windows", f"with {SQL_SEQ} select mmsi, count(*) as n_reports, sum(valid::int)::bigint as n_windows, sum(weight)::bigint as coverage from c group by mmsi")
