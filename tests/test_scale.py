@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wakeline.functions import quantiles, ranks
-from wakeline.operators import chunks, rules
+from wakeline.operators import chunks, events, explain, rules
 from wakeline.operators import trajectory as T
 
 
@@ -135,3 +135,29 @@ def test_one_vessel_of_all_rows_and_one_time(spark, monkeypatch):
     assert T.transitions(same.limit(0)).count() == 0
     nobody = same.withColumn("mmsi", F.lit(None).cast("long")).withColumn("t_s", F.col("event_id"))
     assert T.transitions(nobody).count() == 199
+
+
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_interval_join(spark, monkeypatch, limit):
+    monkeypatch.setattr(events, "BROADCAST_ROWS", limit)
+    points = ship_reports(spark, {1: 400, 2: 30}).where("not (mmsi = 1 and t_s between 20000 and 40000)")
+    p = points.collect()
+    ev = [(0, 1, 5000, 5100), (1, 1, 10_000, 90_000), (2, 2, -200_000, 400_000), (3, 1, 28_000, 28_100), (4, 9, 0, 10), (5, 2, None, 50), (6, 1, 9000, 1000), (7, 1, 3600, 3600), (7, 1, 3600, 3600)]
+    df = spark.createDataFrame(ev, "key long, mmsi long, t_prev long, t_curr long")
+    out = events.context(df, points)
+    want = []
+    for e in ev:
+        near = [r for r in p if e[2] is not None and r["mmsi"] == e[1] and e[2] - 3600 <= r["t_s"] <= e[3] + 3600]
+        want += [(*e, r["t_s"], r["event_id"]) for r in near] or [(*e, None, None)]
+    assert sorted(map(str, out.select("key", "mmsi", "t_prev", "t_curr", "p_t", "p_id").collect())) == sorted(f"Row(key={a}, mmsi={b}, t_prev={c}, t_curr={d}, p_t={t}, p_id={i})" for a, b, c, d, t, i in want)
+    assert sum(w[0] == 3 and w[4] is None for w in want) == 1 and sum(w[0] == 2 for w in want) > 25
+    assert events.context(df.limit(0), points).count() == 0 and events.context(df, points.limit(0)).count() == len(ev)
+
+
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_explain_join_on_both_paths(spark, monkeypatch, limit):
+    monkeypatch.setattr(explain, "BROADCAST_ROWS", limit)
+    top = spark.createDataFrame([(1, 2, "a"), (None, 2, "b"), (5, 5, "c"), (1, 2, "d")], "mmsi long, t_curr long, x string")
+    features = spark.createDataFrame([(1, 2, 1.0, "p"), (1, 2, 2.0, "q"), (None, 2, 3.0, "r"), (8, 8, 4.0, "s")], "mmsi long, t_curr long, v double, x string")
+    got = explain.explain_join(top, features, ("mmsi", "t_curr")).collect()
+    assert sorted((r["x"], r["v"] or 0, r["x_feat"] or "", r["matched"]) for r in got) == [("a", 1.0, "p", True), ("a", 2.0, "q", True), ("b", 3.0, "r", True), ("c", 0, "", False), ("d", 1.0, "p", True), ("d", 2.0, "q", True)]

@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.shared import checkpointed
 from .ranking import first_per_vessel, sample_rows
 
+#: Rows of a bounded side (some tens of bytes each) that are broadcast.
+BROADCAST_ROWS = 500_000
+
 MIN_CONTEXT = {"speed": 2, "turn": 3, "distance": 3, "timegap": 0, "sequence": 3}
 # Texts of the manifest.
 SKIPPED, SKIPPED_SEQUENCE = "skipped (not enough context points)", "skipped (not enough context)"
@@ -39,14 +43,24 @@ def sample_events(df: DataFrame, n_top: int, n_random: int, seed: int, *keys: st
 
 
 def context(events: DataFrame, points: DataFrame, seconds: int = S.CONTEXT_S) -> DataFrame:
-    """events (key, mmsi, t_prev, t_curr) with every report of their vessel within the seconds around them.
+    """events (key, mmsi, t_prev, t_curr) with every report of their vessel within the seconds around them; an event without
+    any report stays once, with null report columns.
 
-    A left join: an event without any report stays, with null report columns. The events are few; Spark broadcasts them
-    under its own size check.
+    An interval join by time bins: each event asks in the bins that it meets, each report is in one bin, and an inner join on
+    vessel and bin keeps the pairs whose times fit. So a vessel's reports are dealt by time, the asking side is the one that
+    is broadcast (when it has BROADCAST_ROWS rows at most; otherwise both are shuffled by vessel and bin), and reports are
+    read once. What was found is then joined to the events, without the reports.
     """
-    p = points.select(F.col("mmsi").alias("p_mmsi"), F.col("t_s").alias("p_t"), F.col("event_id").alias("p_id"), *(F.col(c).alias(f"p_{c}") for c in ("lat", "lon", "sog", "cog")))
-    near = (F.col("mmsi") == F.col("p_mmsi")) & F.col("p_t").between(F.col("t_prev") - seconds, F.col("t_curr") + seconds)
-    return events.join(p, near, "left").drop("p_mmsi")
+    bins = max(1, 2 * seconds)
+    ev = checkpointed(events.withColumn("__id", F.monotonically_increasing_id()))
+    low, high = F.col("t_prev") - seconds, F.col("t_curr") + seconds
+    met = F.when(low <= high, F.sequence(F.floor(low / bins), F.floor(high / bins)))
+    asked = ev.select("__id", F.col("mmsi").alias("__mmsi"), low.alias("__low"), high.alias("__high"), F.explode(met).alias("__bin"))
+    n = ev.agg(F.sum(F.size(met))).first()[0] or 0
+    p = points.select(F.col("mmsi").alias("p_mmsi"), F.col("t_s").alias("p_t"), F.col("event_id").alias("p_id"), *(F.col(c).alias(f"p_{c}") for c in ("lat", "lon", "sog", "cog")), F.floor(F.col("t_s") / bins).alias("p_bin"))
+    near = (F.col("p_mmsi") == F.col("__mmsi")) & (F.col("p_bin") == F.col("__bin")) & F.col("p_t").between(F.col("__low"), F.col("__high"))
+    found = p.join(F.broadcast(asked) if n <= BROADCAST_ROWS else asked, near).select("__id", "p_t", "p_id", "p_lat", "p_lon", "p_sog", "p_cog")
+    return ev.join(checkpointed(found), "__id", "left").drop("__id")
 
 
 def segments(ctx: DataFrame) -> DataFrame:
