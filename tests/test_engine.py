@@ -170,7 +170,8 @@ def test_lstm(spark):
         down = np.mean((small.forward(x)[0] - y) ** 2)
         w[at] = kept
         assert g[name][at] == pytest.approx((up - down) / (2 * e), rel=1e-5, abs=1e-9)
-    log = lstm.train(small, x, y, x, y, epochs=30, batch=3, lr=1e-2)
+    a = np.concatenate([x, y[:, None]], 1)
+    log = lstm.train(small, lstm.Arrays(a, a, np.arange(6) % 2, np.arange(6)), epochs=30, lr=1e-2)
     assert log["best_val_loss"] < log["history"][0]
     df = spark.createDataFrame([(x[k].tolist(),) for k in range(3)], "scaled array<array<double>>")
     got = np.array([r["errors"] for r in lstm.errors_by(df, small).collect()])

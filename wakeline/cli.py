@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from .functions import scalars, stats
 from .operators import events, explain, iforest, prepare, ranking, reports, rules, trajectory
-from .operators.lstm import Lstm
 from .plans import method_a, sequence
 from .shipping import ship
 from .sources import points, sinks
@@ -110,18 +109,14 @@ def write_events(spark: SparkSession, rows: DataFrame, p: DataFrame, kind: str,
 
 
 def fit_cmd(spark: SparkSession, a: argparse.Namespace) -> None:
+    ship(spark)
     model, meta = sequence.fit(reports_of(spark, a.input), seq_len=a.seq_len, hidden=a.hidden, layers=a.layers, epochs=a.epochs, batch_size=a.batch_size, lr=a.lr, max_vessels=a.max_vessels, val_frac=a.val_frac, patience=a.patience, max_sequences=a.max_sequences or None)
-    rows = [(k, list(v.shape), v.ravel().tolist()) for k, v in model.w.items()]
-    sinks.write_model(spark, {"weights": spark.createDataFrame(rows, "name string, shape array<int>, w array<double>")}, meta, a.output_dir)
+    sequence.save(spark, model, meta, a.output_dir)
 
 
 def score_cmd(spark: SparkSession, a: argparse.Namespace) -> None:
-    import numpy as np
-
     ship(spark)
-    tables, meta = sinks.read_model(spark, a.model_dir, ["weights"])
-    model = Lstm(len(meta["mean"]), meta["hidden"], meta["layers"])
-    model.w = {r["name"]: np.array(r["w"]).reshape(r["shape"]) for r in tables["weights"].collect()}
+    model, meta, _ = sequence.load(spark, a.model_dir)
     p = reports_of(spark, a.input)
     p = points.vessels_of(p, ranking.sample_vessels(p, a.max_vessels, 123))
     scores = sequence.score(p, meta["mean"], meta["std"], model, meta["seq_len"], a.batch_size)

@@ -1,12 +1,22 @@
-"""Next-step predictors for sequences: a two-layer LSTM in NumPy, and persistence (the last step again)."""
+"""Next-step predictors for sequences: a two-layer LSTM, and persistence (the last step again).
+
+Training is synchronous: for each step the weights are broadcast, each task sums the gradients of its rows of the batch, and
+the sums meet in a tree. A batch is a folder of the training table, so an epoch reads the table once, and no sequence comes to
+the driver. What each row contributes depends on the row and the step only (dropout is drawn by a hash of its key), so the way
+rows are dealt changes the weights by rounding only.
+"""
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from typing import Protocol
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Relative progress that counts for the learning rate.
@@ -14,6 +24,10 @@ PLATEAU = 1e-4
 Weights = dict[str, np.ndarray]
 
 
+#: Rows that a kernel works on at once, and sums of gradients that meet in one task of the tree.
+ROWS, FAN_IN = 1024, 16
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
@@ -36,7 +50,7 @@ class Lstm:
     def n_parameters(self) -> int:
         return sum(v.size for v in self.w.values())
 
-    def forward(self, x: np.ndarray, rng: np.random.Generator | None = None) -> tuple[np.ndarray, list]:
+    def forward(self, x: np.ndarray, rng: Draws | np.random.Generator | None = None) -> tuple[np.ndarray, list]:
         """Predictions and what the backward pass needs. rng: draw dropout between the layers (training only)."""
         kept, inputs = [], x
         for n in range(self.layers):
@@ -98,31 +112,155 @@ class Lstm:
         return np.concatenate([self.forward(x[k : k + batch])[0] for k in range(0, len(x), batch)]) if len(x) else np.zeros((0, self.w["fb2"].size))
 
 
-def train(model: Lstm, x: np.ndarray, y: np.ndarray, xv: np.ndarray, yv: np.ndarray, *, epochs: int = 30, batch: int = 512, lr: float = 1e-3, patience: int = 5, seed: int = 42) -> dict:
-    """Adam on MSE; the rate halves after 3 epochs without progress, training ends after `patience`; the best weights stay.
+class Draws:
+    """Uniform numbers for each row from its key and the step (splitmix64 of both), whatever rows stand beside it."""
+
+    def __init__(self, keys: np.ndarray, step: int):
+        self.keys, self.step = keys.astype(np.int64).astype(np.uint64), step
+
+    @staticmethod
+    def mixed(x: np.ndarray) -> np.ndarray:
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+    def random(self, shape: tuple[int, ...]) -> np.ndarray:
+        place = np.arange(1, int(np.prod(shape[1:])) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(self.step)
+        bits = self.mixed(self.mixed(self.keys)[:, None] ^ self.mixed(place)[None, :])
+        return ((bits >> np.uint64(11)).astype(float) / float(1 << 53)).reshape(shape)
+
+
+def gradient_sums(model: Lstm, a: np.ndarray, keys: np.ndarray, step: int) -> tuple[Weights, int]:
+    """Sums over sequences a of the gradients of their squared errors, and the number of predicted values."""
+    total: Weights = {}
+    for k in range(0, len(a), ROWS):
+        own = a[k : k + ROWS]
+        out, cache = model.forward(own[:, :-1], Draws(keys[k : k + ROWS], step))
+        for name, g in model.backward(2 * (out - own[:, -1]), cache).items():
+            total[name] = total[name] + g if name in total else g
+    return total, a.shape[0] * a.shape[2] if len(a) else 0
+
+
+class Training(Protocol):
+    """Where the trainer's gradients and losses come from."""
+
+    batches: list[int]
+
+    def gradient(self, model: Lstm, batch: int, step: int) -> tuple[Weights, int]: ...
+
+    def loss(self, model: Lstm) -> float: ...
+
+
+class Arrays:
+    """Sequences in memory: for tests and small tables."""
+
+    def __init__(self, a: np.ndarray, held: np.ndarray, batch_of: np.ndarray, keys: np.ndarray):
+        self.a, self.held, self.batch_of, self.keys = a, held, batch_of, keys
+        self.batches = sorted(set(batch_of.tolist()))
+
+    def gradient(self, model: Lstm, batch: int, step: int) -> tuple[Weights, int]:
+        own = self.batch_of == batch
+        return gradient_sums(model, self.a[own], self.keys[own], step)
+
+    def loss(self, model: Lstm) -> float:
+        a = self.held if len(self.held) else self.a
+        return float(np.mean((model.predict(a[:, :-1]) - a[:, -1]) ** 2))
+
+
+SEQUENCES = "event_id long, scaled array<array<double>>"
+
+
+def cube(col: pa.Array) -> np.ndarray:
+    """A column of equally long lists of equally long lists as one array, from Arrow's flat buffer."""
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    if not len(col):
+        return np.zeros((0, 0, 0))
+    rows = col.flatten()
+    flat = np.asarray(pc.fill_null(rows.flatten().cast(pa.float64()), float("nan")), float)
+    return flat.reshape(len(col), len(rows) // len(col), -1)
 
-    Arrays are on the driver: a bounded sample of sequences, as the caller draws it.
-    """
+
+def _gradient_kernel(weights, step: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, size = {}, 0
+        for b in batches:
+            if b.num_rows:
+                keys = np.asarray(pc.fill_null(b.column(0), 0), np.int64)
+                g, n = gradient_sums(weights.value, cube(b.column(1)), keys, step)
+                total, size = {k: total[k] + v if k in total else v for k, v in g.items()}, size + n
+        if size:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([size]), pa.array([pickle.dumps(total)], pa.binary())], ["node", "size", "sums"])
+
+    return run
+
+
+def _add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    parts = sorted(zip(table["node"].to_pylist(), table["sums"].to_pylist(), strict=True))
+    total: Weights = {}
+    for _, packed in parts:
+        total = {k: total[k] + v if k in total else v for k, v in pickle.loads(packed).items()}
+    return pa.table({"node": [key[0].as_py()], "size": [sum(table["size"].to_pylist())], "sums": pa.array([pickle.dumps(total)], pa.binary())})
+
+
+def _loss_kernel(weights):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                a = cube(b.column(0))
+                e = (weights.value.predict(a[:, :-1]) - a[:, -1]) ** 2
+                yield pa.RecordBatch.from_arrays([pa.array([float(e.sum())]), pa.array([e.size])], ["error", "size"])
+
+    return run
+
+
+class OnCluster:
+    """Sequences in tables: `path` has a folder batch=<k> for each batch, held is the validation table (event_id, scaled)."""
+
+    def __init__(self, spark: SparkSession, path: str, batches: list[int], held: DataFrame, tasks: int):
+        self.spark, self.path, self.batches, self.held, self.tasks = spark, path, batches, held, tasks
+
+    def gradient(self, model: Lstm, batch: int, step: int) -> tuple[Weights, int]:
+        weights = self.spark.sparkContext.broadcast(model)  # fixed by the architecture
+        rows = self.spark.read.schema(SEQUENCES).parquet(f"{self.path}/batch={batch}")
+        sums, left = rows.mapInArrow(_gradient_kernel(weights, step), "node long, size long, sums binary"), self.tasks
+        while left > FAN_IN:
+            sums = sums.groupBy(F.floor(F.col("node") / FAN_IN).cast("long").alias("up")).applyInArrow(_add, "node long, size long, sums binary")
+            left = -(-left // FAN_IN)
+        total, size = {}, 0
+        for r in sorted(sums.collect(), key=lambda r: r["node"]):  # FAN_IN rows at most
+            total, size = {k: total[k] + v if k in total else v for k, v in pickle.loads(r["sums"]).items()}, size + r["size"]
+        weights.destroy()
+        return total, size
+
+    def loss(self, model: Lstm) -> float:
+        weights = self.spark.sparkContext.broadcast(model)
+        e, n = self.held.select("scaled").mapInArrow(_loss_kernel(weights), "error double, size long").agg(F.sum("error"), F.sum("size")).first()
+        weights.destroy()
+        return float("nan") if not n else e / n
+
+
+def train(model: Lstm, data: Training, *, epochs: int = 30, lr: float = 1e-3, patience: int = 5, seed: int = 42) -> dict:
+    """Adam on MSE over the batches, in another order each epoch; the rate halves after 3 epochs without progress, training ends
+    after `patience`; the best weights stay."""
     rng = np.random.Generator(np.random.PCG64(seed))
     m, v = ({k: np.zeros_like(w) for k, w in model.w.items()} for _ in range(2))
-    best, best_w, best_epoch, idle, plateau, step, history = np.inf, None, 0, 0, 0, 0, []
+    best, best_w, best_epoch, idle, plateau, step, history, rates = np.inf, None, 0, 0, 0, 0, [], []
     for epoch in range(1, epochs + 1):
-        order = rng.permutation(len(x))
-        for k in range(0, len(x), batch):
-            own = order[k : k + batch]
-            out, cache = model.forward(x[own], rng)
-            grads = model.backward(2 * (out - y[own]) / out.size, cache)
+        for k in rng.permutation(len(data.batches)):
+            sums, size = data.gradient(model, data.batches[k], step + 1)
+            if not size:
+                continue
             step += 1
-            for name, g in grads.items():
+            for name, g in sums.items():
+                g = g / size
                 m[name] = 0.9 * m[name] + 0.1 * g
                 v[name] = 0.999 * v[name] + 0.001 * g * g
-                model.w[name] -= lr * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.999**step)) + 1e-8)
-        loss = float(np.mean((model.predict(xv) - yv) ** 2)) if len(xv) else float(np.mean((model.predict(x) - y) ** 2))
+                model.w[name] = model.w[name] - lr * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.999**step)) + 1e-8)
+        loss = data.loss(model)
         history.append(loss)
-        if loss < best * (1 - PLATEAU):
-            plateau = 0
-        else:
-            plateau += 1
+        rates.append(lr)
+        plateau = 0 if loss < best * (1 - PLATEAU) else plateau + 1
         if loss < best:
             best, best_epoch, idle = loss, epoch, 0
             best_w = {k: w.copy() for k, w in model.w.items()}
@@ -134,23 +272,25 @@ def train(model: Lstm, x: np.ndarray, y: np.ndarray, xv: np.ndarray, yv: np.ndar
             break
     if best_w is not None:
         model.w = best_w
-    return {"best_val_loss": best, "best_epoch": best_epoch, "epochs_run": len(history), "history": history}
+    return {"best_val_loss": best, "best_epoch": best_epoch, "epochs_run": len(history), "history": history, "rates": rates}
+
+
+def _error_kernel(weights, at: int, batch: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a = cube(b.column(at))
+            e = (weights.value.predict(a[:, :-1], batch) - a[:, -1]) ** 2 if len(a) else np.zeros((0, 1))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(e) + 1) * e.shape[1], pa.int32()), pa.array(e.ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns, lists], [*b.schema.names, "errors"])
+
+    return run
 
 
 def errors_by(df: DataFrame, model: Lstm, seq: str = "scaled", batch: int = 2048) -> DataFrame:
     """Squared errors of the model's prediction of each sequence's last row; the one step that runs in Python workers."""
     weights = df.sparkSession.sparkContext.broadcast(model)  # fixed by the architecture
-
-    @F.pandas_udf("array<double>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in parts:
-            if not len(s):
-                yield pd.Series([], dtype=object)
-                continue
-            a = np.stack([np.stack(x) for x in s]).astype(float)
-            yield pd.Series(list((weights.value.predict(a[:, :-1], batch) - a[:, -1]) ** 2))
-
-    return df.withColumn("errors", run(seq))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), "errors array<double>"])
+    return df.mapInArrow(_error_kernel(weights, df.columns.index(seq), batch), schema)
 
 
 def errors_by_persistence(df: DataFrame, seq: str = "scaled") -> DataFrame:

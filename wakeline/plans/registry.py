@@ -486,10 +486,38 @@ def iforest_fit_score(spark, d):
     return ranking.top_fraction(scores, [F.desc("anomaly_score"), F.col("event_id")], 0.01, "ceil")[0]
 
 
+#: The registered model: all vessels and sequences, few epochs.
+SEQ_MODEL = {"epochs": 4, "batch_size": 1024, "lr": 4e-3, "hidden": 32, "max_vessels": 1_000_000}
+
+
+def _model(spark, d) -> tuple[Lstm, dict, dict[str, DataFrame]]:
+    """The stored model of these reports (trained when there is none yet)."""
+    ship(spark)
+    return sequence.load(spark, sequence.fitted(points(spark, d), "registered", **SEQ_MODEL))
+
+
+@query("seq_fit")
+def seq_fit(spark, d):
+    """The training log beside the loss of persistence on the same held-out sequences."""
+    _, meta, tables = _model(spark, d)
+    added = {"persistence_loss": meta["persistence_loss"], "n_train": meta["n_train"], "n_val": meta["n_val"]}
+    return tables["log"].select("*", *(F.lit(v).alias(k) for k, v in added.items()))
+
+
+@query("seq_thresholds")
+def seq_thresholds(spark, d):
+    """Quantiles and moments of the trained model's errors on the held-out sequences."""
+    return _model(spark, d)[2]["thresholds"]
+
+
 @query("lstm_scores")
 def lstm_scores(spark, d):
-    ship(spark)
-    p = points(spark, d)
-    return sequence.score(p, *sequence.scaler(sequence.windows_of(p)), Lstm(seed=42))
+    """Scores of all windows by the stored model, with the highest threshold that each exceeds."""
+    model, meta, tables = _model(spark, d)
+    scores = sequence.score(points(spark, d), meta["mean"], meta["std"], model)
+    limits = tables["thresholds"].where("name in ('p90', 'p95', 'p99')").agg(*(F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in ("p90", "p95", "p99")))
+    level = F.when(F.col("anomaly_score") > F.col("p99"), "p99").when(F.col("anomaly_score") > F.col("p95"), "p95").when(F.col("anomaly_score") > F.col("p90"), "p90")
+    return scores.crossJoin(F.broadcast(limits)).withColumn("level", level).drop("p90", "p95", "p99")  # one row
+
 
 

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+import json
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import trajectory as T
-from ..operators.lstm import Lstm, errors_by, errors_by_persistence, train
-from ..operators.ranking import sample_vessels, top_fraction, train_val_split
 from ..functions.stats import descending_position, error_stats
+from ..operators import trajectory as T
+from ..operators.lstm import Lstm, OnCluster, errors_by, errors_by_persistence, train
+from ..operators.ranking import sample_rows, sample_vessels, top_fraction, train_val_split
+from ..sources import sinks
+from ..sources.shared import shared_path, stored
 
 
 def windows_of(points: DataFrame, seq_len: int = 10) -> DataFrame:
@@ -35,30 +41,83 @@ def top(scores: DataFrame, fraction: float = 0.01) -> DataFrame:
     return rows.select("rank", *(c for c in rows.columns if c != "rank"))
 
 
-def fit(points: DataFrame, *, seq_len: int = 10, hidden: int = 64, layers: int = 2, epochs: int = 30, batch_size: int = 512, lr: float = 1e-3, max_vessels: int = 2000, val_frac: float = 0.15, patience: int = 5, seed: int = 42, max_sequences: int | None = 100_000) -> tuple[Lstm, dict]:
-    """Trains on the normal reports of sampled vessels. Labels are filtered before differences are taken.
-
-    max_sequences bounds the labelled sequences that the trainer takes to the driver, chosen by hash; None: all those of
-    the max_vessels sampled vessels, which must then fit the driver.
-    """
-    import numpy as np
-
+def training_tables(points: DataFrame, *, seq_len: int = 10, batch_size: int = 512, max_vessels: int = 2000, val_frac: float = 0.15, seed: int = 42, max_sequences: int | None = None, rows_per_task: int = 8192) -> tuple[OnCluster, DataFrame, dict]:
+    """The trainer's view of the normal sequences of sampled vessels, the validation table, and metadata. Labels are filtered
+    before differences are taken. max_sequences: only so many of them, by hash order."""
+    spark = points.sparkSession
     normal = points.where("is_anomaly = 0") if "is_anomaly" in points.columns else points
     normal = normal.join(sample_vessels(normal, max_vessels, seed), "mmsi", "left_semi")
     validity = windows_of(normal, seq_len)
     mean, std = scaler(validity, seq_len)
     seqs = T.sequences(validity, seq_len).withColumn("scaled", T.scaled(F.col("seq"), mean, std)).select("event_id", "scaled")
-    drawn = seqs if max_sequences is None else seqs.orderBy(F.xxhash64(F.lit(seed), "event_id"), "event_id").limit(max_sequences)
-    rows = train_val_split(drawn, val_frac, seed, "event_id").select("is_val", "scaled").toPandas()
-    if rows.empty:
+    if max_sequences is not None:
+        seqs = sample_rows(seqs, max_sequences, seed, "event_id")
+    seqs, _ = stored(seqs)
+    split = train_val_split(seqs, val_frac, seed, "event_id")
+    held, _ = stored(split.where("is_val").select("event_id", "scaled"))
+    n_val, n = held.count(), seqs.count()
+    if not n:
         raise ValueError("no sequences")
-    a = np.array([[list(r) for r in s] for s in rows["scaled"]])
-    val = rows["is_val"].to_numpy(bool)
-    model = Lstm(len(mean), hidden, layers, seed=seed)
-    log = train(model, a[~val][:, :-1], a[~val][:, -1], a[val][:, :-1], a[val][:, -1], epochs=epochs, batch=batch_size, lr=lr, patience=patience, seed=seed)
-    held = np.mean((model.predict(a[val][:, :-1]) - a[val][:, -1]) ** 2, axis=1) if val.any() else np.zeros(1)
-    limits = {"p90": float(np.percentile(held, 90)), "p95": float(np.percentile(held, 95)), "p99": float(np.percentile(held, 99)), "mean": float(held.mean()), "std": float(held.std()), "min": float(held.min()), "max": float(held.max())}
-    return model, {"mean": mean, "std": std, "seq_len": seq_len, "hidden": hidden, "layers": layers, "batch_size": batch_size, "lr": lr, "max_vessels": max_vessels, "val_frac": val_frac, "n_train": int((~val).sum()), "n_val": int(val.sum()), "thresholds": limits, "features": list(T.SEQ_FEATURES), **{k: v for k, v in log.items() if k != "history"}}
+    n_batches, tasks = max(1, -(-(n - n_val) // batch_size)), -(-batch_size // rows_per_task)
+    h = F.xxhash64(F.lit(seed + 1), "event_id")
+    dealt = split.where("not is_val").select("event_id", "scaled", F.pmod(h, F.lit(n_batches)).alias("batch"), F.pmod(F.shiftrightunsigned(h, 32), F.lit(tasks)).alias("slot"))
+    train_rows, path = stored(dealt.repartition("batch", "slot").drop("slot"), "batch")
+    batches = sorted(r["batch"] for r in train_rows.select("batch").distinct().collect())  # a number for each step of an epoch
+    meta = {"mean": mean, "std": std, "seq_len": seq_len, "batch_size": batch_size, "max_vessels": max_vessels, "val_frac": val_frac, "n_train": n - n_val, "n_val": n_val, "features": list(T.SEQ_FEATURES)}
+    return OnCluster(spark, path, batches, held if n_val else train_rows.select("event_id", "scaled"), tasks), held, meta
+
+
+def fit(points: DataFrame, *, seq_len: int = 10, hidden: int = 64, layers: int = 2, epochs: int = 30, batch_size: int = 512, lr: float = 1e-3, max_vessels: int = 2000, val_frac: float = 0.15, patience: int = 5, seed: int = 42, max_sequences: int | None = None) -> tuple[Lstm, dict]:
+    """Trains on the cluster, and takes thresholds from the held-out sequences' errors (exact percentiles of all of them)."""
+    data, held, meta = training_tables(points, seq_len=seq_len, batch_size=batch_size, max_vessels=max_vessels, val_frac=val_frac, seed=seed, max_sequences=max_sequences)
+    model = Lstm(len(meta["mean"]), hidden, layers, seed=seed)
+    log = train(model, data, epochs=epochs, lr=lr, patience=patience, seed=seed)
+    persisted = T.with_errors(errors_by_persistence(data.held)).agg(F.avg("anomaly_score")).first()[0]
+    limits = stats(T.with_errors(errors_by(held, model))).first().asDict()
+    return model, meta | {"hidden": hidden, "layers": layers, "lr": lr, "seed": seed, "thresholds": limits, "persistence_loss": persisted, **log}
+
+
+#: Version of the layout of stored models.
+MODEL_VERSION = 1
+
+
+def model_tables(spark: SparkSession, model: Lstm, meta: dict) -> dict[str, DataFrame]:
+    """A model as tables: weights, scaler, thresholds (on held-out errors) and the training log."""
+    weights = [(k, list(v.shape), v.ravel().tolist()) for k, v in model.w.items()]
+    scales = [(k, f, m, s) for k, (f, m, s) in enumerate(zip(meta["features"], meta["mean"], meta["std"], strict=True))]
+    limits = [(k, None if v is None else float(v)) for k, v in meta["thresholds"].items()]
+    log = [(k + 1, float(v), float(r), k + 1 == meta["best_epoch"]) for k, (v, r) in enumerate(zip(meta["history"], meta["rates"], strict=True))]
+    return {
+        "weights": spark.createDataFrame(weights, "name string, shape array<int>, w array<double>"), "scaler": spark.createDataFrame(scales, "place int, feature string, mean double, std double"),
+        "thresholds": spark.createDataFrame(limits, "name string, value double"), "log": spark.createDataFrame(log, "epoch int, val_loss double, learning_rate double, best boolean"),
+    }
+
+
+def save(spark: SparkSession, model: Lstm, meta: dict, path: str) -> None:
+    kept = {k: v for k, v in meta.items() if k not in ("history", "rates")}
+    sinks.write_model(spark, model_tables(spark, model, meta), kept | {"model_version": MODEL_VERSION}, path)
+
+
+def load(spark: SparkSession, path: str) -> tuple[Lstm, dict, dict[str, DataFrame]]:
+    """The model, its metadata and its tables, as save() wrote them."""
+    tables, meta = sinks.read_model(spark, path, ["weights", "scaler", "thresholds", "log"])
+    if meta.get("model_version") != MODEL_VERSION:
+        raise ValueError(f"the model at {path} has another version")
+    scales = tables["scaler"].orderBy("place").collect()  # a row for each feature
+    model = Lstm(len(scales), meta["hidden"], meta["layers"])
+    model.w = {r["name"]: np.array(r["w"]).reshape(r["shape"]) for r in tables["weights"].collect()}
+    return model, meta | {"mean": [r["mean"] for r in scales], "std": [r["std"] for r in scales]}, tables
+
+
+def fitted(points: DataFrame, name: str, **parameters) -> str:
+    """Path of a stored model of these reports; trained and written where the shared folder has none of that version, input
+    files and parameters."""
+    spark = points.sparkSession
+    told = json.dumps([MODEL_VERSION, name, sorted(points.inputFiles()), points.count(), parameters], sort_keys=True)
+    path = shared_path(spark, f"wakeline-model-{hashlib.sha256(told.encode()).hexdigest()[:24]}")
+    if not sinks.exists(spark, f"{path}/metadata/_SUCCESS"):  # the metadata are written last
+        save(spark, *fit(points, **parameters), path)
+    return path
 
 
 def stats(scores: DataFrame) -> DataFrame:

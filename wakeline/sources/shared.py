@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +24,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint: survives lost executors and is never recomputed."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}"
+
+
+def stored(df: DataFrame, *partition_by: str) -> tuple[DataFrame, str]:
+    """df written once as Parquet into the shared folder and read back, and where: survives lost executors."""
+    path = shared_path(df.sparkSession, f"wakeline-{uuid.uuid4().hex}")
+    df.write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

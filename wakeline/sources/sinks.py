@@ -49,3 +49,8 @@ def write_model(spark: SparkSession, tables: dict[str, DataFrame], metadata: dic
 def read_model(spark: SparkSession, path: str, names: list[str]) -> tuple[dict[str, DataFrame], dict]:
     meta = json.loads("\n".join(r[0] for r in spark.read.text(f"{path}/metadata", wholetext=True).collect()))
     return {n: spark.read.parquet(f"{path}/{n}") for n in names}, meta
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
