@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -96,6 +97,16 @@ def release() -> None:
         trim(0)
 
 
+_released = [0.0]
+
+
+def release_now_and_then(seconds: float = 2.0) -> None:
+    """release(), for kernels that are called for many small groups: not more often than every so many seconds."""
+    if time.monotonic() - _released[0] >= seconds:
+        release()
+        _released[0] = time.monotonic()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, over uint64."""
     x = x ^ (x >> np.uint64(30))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, Words, mix, text_buffer, windows, written
+from .common import CHUNK_BYTES, Words, mix, release_now_and_then, text_buffer, windows, written
 from .exchange import blocks, lookup, partitions_for
 from .graph import components, join_pairs
 
@@ -160,7 +160,9 @@ def signatures(docs: DataFrame, n_docs: int, shingle: int, spread: float) -> Dat
             bands = [x.astype(np.int64) if f else None for x, f in zip(names.view(np.int64), filled, strict=True)]
             codes = [c[a:b].tobytes() for a, b in zip(of[:-1], of[1:], strict=True)]
             own = {n: batch.column(batch.schema.get_field_index(n)) for n in ("doc_id", "h1", "h2")}
+            del batch, h, tf, of, c, names
             rows.append(pa.table({**own, "bands": pa.array(bands, pa.list_(pa.int64())), "codes": pa.array(codes, pa.binary())}))
+        kept.clear()  # before the memory is given back
         schema = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bands", pa.list_(pa.int64())), ("codes", pa.binary())])
         return pa.concat_tables([t.cast(schema) for t in rows]) if rows else schema.empty_table()
 
@@ -173,6 +175,7 @@ def _lead_kernel(n_docs: int, shingle: int, spread: float):
     """A leader's text with some texts of its buckets: their weighted Jaccard similarities."""
 
     def run(table: pa.Table) -> pa.Table:
+        release_now_and_then()
         lead, ids = table["lead"][0].as_py(), np.asarray(table["id"], np.int64)
         k = int(np.flatnonzero(ids == lead)[0])
         data, at = text_buffer(table["text"])
@@ -233,6 +236,7 @@ def unresolved(members: DataFrame, found: DataFrame, linked: DataFrame, threshol
 
 def _block_kernel(n_docs: int, shingle: int, spread: float, threshold: float):
     def run(table: pa.Table) -> pa.Table:
+        release_now_and_then()
         node, part = np.asarray(table["node"], np.int64), np.asarray(table["part"], np.int64)
         n, same = len(node), table["lo"][0].as_py() == table["hi"][0].as_py()
         side = np.asarray(table["first"].to_numpy(), bool)
