@@ -225,18 +225,26 @@ def test_commands(spark, tmp_path):
     run("prepare", "--input", p("features.csv"), "--output-dir", p("prep"))
     run("forest", "--x", p("prep/features"), "--model-out", p("model"), "--scores-out", p("scores"), "--top-out", p("top"), "--summary-out", p("sum"), "--n-estimators", 10, "--top-frac", 0.2)
     assert spark.read.parquet(p("top")).count() == 30 and "train_seconds" in "".join(r[0] for r in spark.read.text(p("sum")).collect())
+    score = [r["anomaly_score"] for r in spark.read.parquet(p("scores")).collect()]
+    report = "\n".join(r[0] for r in spark.read.text(p("sum")).collect())
+    assert len(score) == n and all(x in report for x in ("written: 20", "n_samples: 150", "top_count: 30", "n_trees: 10", "random_state", "p99: 0."))
     run("explain", "--top", p("top"), "--features", p("features.csv"), "--out", p("explain"))
     table = spark.read.parquet(p("explain"))
     assert table.columns[:4] == ["mmsi", "t_prev", "t_curr", "anomaly_score"] and table.where("dist_m is not null").count() >= 30
     run("fleet-stats", "--features", p("explain"), "--out", p("fleet"))
     run("classify", "--explain", p("explain"), "--ref-stats", p("fleet"), "--out-dir", p("cls"), "--threshold", "p50")
     assert spark.read.parquet(p("cls/summary")).columns == ["category", "n_anomalies", "pct_of_if_total", "threshold_level", "thresholds", "rule_description", "assignment"]
+    report = "\n".join(r[0] for r in spark.read.text(p("cls/report")).collect())
+    assert all(x in report for x in ("threshold level: p50", "speed: sog_curr > ", "unclassified: ", "more than one: ", "reference statistics: file:"))
     run("events", "--classified-dir", p("cls"), "--points", p("points.csv"), "--out-dir", p("figs"), "--n-top", 2, "--n-random", 2)
     m = spark.read.parquet(p("figs/speed/manifest")).collect()
     assert m and {r["status"] for r in m} == {"saved"} and all(r["category_score"] > 0 for r in m)
     run("fit-sequences", "--input", p("points.csv"), "--output-dir", p("lstm"), "--epochs", 2, "--hidden", 8)
     run("score-sequences", "--input", p("points.csv"), "--model-dir", p("lstm"), "--output-dir", p("seq"), "--top-frac", 0.1, "--batch-size", 64)
     top = spark.read.parquet(p("seq/top"))
+    report = "\n".join(r[0] for r in spark.read.text(p("seq/report")).collect())
+    assert all(x in report for x in ("vessels scored: 6", "sequences: 120", "top count: 12", "Thresholds on held-out", "p99: ", "position_jump: "))
+    assert spark.read.parquet(p("figs/speed/marks")).where("peak is not null").count() > 0
     assert top.columns[0] == "rank" and top.count() == int(6 * 20 * 0.1)
     top.withColumns({c: F.timestamp_seconds(c).cast("string") for c in ("t_prev", "t_curr")}).toPandas().to_csv(tmp_path / "top.csv", index=False)
     run("sequence-events", "--top", p("top.csv"), "--points", p("points.csv"), "--out-dir", p("sfigs"), "--n-top", 2, "--n-random", 2)

@@ -161,3 +161,41 @@ def test_explain_join_on_both_paths(spark, monkeypatch, limit):
     features = spark.createDataFrame([(1, 2, 1.0, "p"), (1, 2, 2.0, "q"), (None, 2, 3.0, "r"), (8, 8, 4.0, "s")], "mmsi long, t_curr long, v double, x string")
     got = explain.explain_join(top, features, ("mmsi", "t_curr")).collect()
     assert sorted((r["x"], r["v"] or 0, r["x_feat"] or "", r["matched"]) for r in got) == [("a", 1.0, "p", True), ("a", 2.0, "q", True), ("b", 3.0, "r", True), ("c", 0, "", False), ("d", 1.0, "p", True), ("d", 2.0, "q", True)]
+
+
+def files_in_order(spark, path):
+    """Rows file by file, files by name."""
+    names = sorted(r["f"] for r in spark.read.parquet(path).select(F.input_file_name().alias("f")).distinct().collect())
+    return len(names), [r for n in names for r in spark.read.parquet(n).collect()]
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_ordered_tables_read_back_in_order(spark, tmp_path, partitions):
+    from wakeline.sources import sinks
+
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(2000).selectExpr("id as event_id", "pmod(xxhash64(id), 400) / 10 as score", "case when id % 3 = 0 then 'a' else 'b' end as category").repartition(5)
+        order = [F.desc("score"), F.col("event_id")]
+        sinks.write_sorted(df, order, f"file://{tmp_path}/all", rank="rank")
+        n, rows = files_in_order(spark, f"file://{tmp_path}/all")
+        assert n == partitions and [r["rank"] for r in rows] == list(range(1, 2001)) and [(-r["score"], r["event_id"]) for r in rows] == sorted((-r["score"], r["event_id"]) for r in rows)
+        sinks.write_categories_sorted(df, order, f"file://{tmp_path}/cat")
+        for c, want in (("a", 667), ("b", 1333)):
+            n, rows = files_in_order(spark, f"file://{tmp_path}/cat/category={c}")
+            assert len(rows) == want and [(-r["score"], r["event_id"]) for r in rows] == sorted((-r["score"], r["event_id"]) for r in rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_strict_times_and_clock(spark):
+    from wakeline.functions import scalars as S
+
+    df = spark.createDataFrame([("2024-12-25 10:00:30",), (None,)], "t string")
+    assert [r[0] for r in df.select(S.strict_epoch("t")).collect()] == [1735120830.0, None]
+    with pytest.raises(Exception, match="CANNOT_PARSE_TIMESTAMP|could not be parsed"):
+        spark.createDataFrame([("2024-12-25T10:00:30",)], "t string").select(S.strict_epoch("t")).collect()
+    got = spark.createDataFrame([(1735120830, 1735121031)], "a long, b long").select(S.midpoint("a", "b").alias("m"), S.clock("a").alias("h"), S.clock(S.midpoint("a", "b")).alias("k")).first()
+    assert tuple(got) == (1735120930.5, "10:00", "10:02")

@@ -62,9 +62,10 @@ def forest_cmd(spark: SparkSession, a: argparse.Namespace) -> None:
     order = [F.desc("anomaly_score"), *map(F.col, keys)]
     top, n = ranking.top_fraction(scored, order, a.top_frac, "ceil")
     sinks.write_model(spark, {"nodes": nodes}, meta, a.model_out)
-    sinks.write_table(scored, a.scores_out)
-    sinks.write_table(top.drop("rank"), a.top_out)
-    sinks.write_text(spark, reports.forest_report(meta, stats.score_summary(scored, "anomaly_score"), ranking.top_size(n, a.top_frac, "ceil")), a.summary_out)
+    sinks.write_sorted(scored, order, a.scores_out)
+    sinks.write_sorted(top.drop("rank"), order, a.top_out)
+    files = {"x": a.x, "model": a.model_out, "scores": a.scores_out, "top": a.top_out}
+    sinks.write_text(spark, reports.forest_report(meta | {"n_rows": n}, stats.score_summary(scored, "anomaly_score"), ranking.top_size(n, a.top_frac, "ceil"), files), a.summary_out)
 
 
 def explain_cmd(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -78,11 +79,12 @@ def classify_cmd(spark: SparkSession, a: argparse.Namespace) -> None:
     limits = rules.thresholds(fleet, a.threshold)
     out = rules.classify(keyed(read(spark, a.explain)), limits)
     sinks.write_table(out, f"{a.out_dir}/classified")
-    sinks.write_by_category(rules.category_rows(out), f"{a.out_dir}/by_category")
+    by_score = [F.desc("category_score"), *(F.col(c) for c in prepare.META if c in out.columns)]
+    sinks.write_categories_sorted(rules.category_rows(out), by_score, f"{a.out_dir}/by_category")
     sinks.write_if_any(out.where("n_categories = 0"), f"{a.out_dir}/unclassified")
     sinks.write_table(rules.summary_table(out, limits, a.threshold), f"{a.out_dir}/summary")
     sinks.write_json(spark, sinks.stats_as_json(fleet), f"{a.out_dir}/reference_stats")
-    sinks.write_text(spark, reports.category_report(out, limits), f"{a.out_dir}/report")
+    sinks.write_text(spark, reports.category_report(out, limits, a.threshold, {"explain table": a.explain, "reference statistics": a.ref_stats, "output": a.out_dir}), f"{a.out_dir}/report")
 
 
 def events_cmd(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -95,6 +97,17 @@ def events_cmd(spark: SparkSession, a: argparse.Namespace) -> None:
         write_events(spark, own, p, kind, a)
 
 
+#: What a figure draws along the context, and the marks on it: a table for each event.
+FIGURE_CONTEXT = {"turn": events.pairwise_turn, "distance": events.pairwise_distance}
+FIGURE_MARKS = {
+    "speed": lambda ctx, ev: events.peak(ctx, "p_sog"),
+    "turn": lambda ctx, ev: events.peak(events.pairwise_turn(ctx), "abs_turn"),
+    "timegap": lambda ctx, ev: events.time_marks(ev).select("key", "mid_s", "from_hm", "mid_hm", "to_hm", "minutes"),
+    "distance": lambda ctx, ev: events.with_jump_km(events.jump_ends(ctx)),
+    "sequence": lambda ctx, ev: events.time_marks(ev).select("key", "mid_s", "from_hm", "mid_hm", "to_hm", "minutes"),
+}
+
+
 def write_events(spark: SparkSession, rows: DataFrame, p: DataFrame, kind: str, a: argparse.Namespace) -> None:
     picked = events.sample_events(rows, a.n_top, a.n_random, a.random_seed, *prepare.META)
     score = "category_score" if "category_score" in picked.columns else "anomaly_score"
@@ -103,8 +116,9 @@ def write_events(spark: SparkSession, rows: DataFrame, p: DataFrame, kind: str,
     picked = picked.withColumns({"key": F.xxhash64(*prepare.META), "score": F.col(score)})
     seconds = getattr(a, "context_s", 3600)
     ctx = events.segments(events.context(picked.select("key", *prepare.META), p, seconds))
-    extra = {"turn": events.pairwise_turn, "distance": events.pairwise_distance}.get(kind, lambda x: x)
-    sinks.write_table(extra(events.enough(ctx, kind)), f"{a.out_dir}/{kind}/context")
+    ctx = checkpointed(events.enough(ctx, kind))
+    sinks.write_table(FIGURE_CONTEXT.get(kind, lambda x: x)(ctx), f"{a.out_dir}/{kind}/context")
+    sinks.write_table(FIGURE_MARKS[kind](ctx, picked), f"{a.out_dir}/{kind}/marks")
     sinks.write_table(events.manifest(picked, p, kind, seconds), f"{a.out_dir}/{kind}/manifest")
 
 
@@ -121,10 +135,10 @@ def score_cmd(spark: SparkSession, a: argparse.Namespace) -> None:
     p = points.vessels_of(p, ranking.sample_vessels(p, a.max_vessels, 123))
     scores = sequence.score(p, meta["mean"], meta["std"], model, meta["seq_len"], a.batch_size)
     top, summary = sequence.top(scores, a.top_frac), sequence.stats(scores)
-    sinks.write_table(scores, f"{a.output_dir}/scores")
-    sinks.write_table(top, f"{a.output_dir}/top")
+    sinks.write_sorted(scores, [F.desc("anomaly_score"), F.col("mmsi"), F.col("event_id")], f"{a.output_dir}/scores")
+    sinks.write_sorted(top, [F.col("rank")], f"{a.output_dir}/top")
     sinks.write_json(spark, summary.first().asDict(), f"{a.output_dir}/error_stats")
-    sinks.write_text(spark, reports.sequence_report(summary, top), f"{a.output_dir}/report")
+    sinks.write_text(spark, reports.sequence_report(summary, top, meta, {"input": a.input, "model": a.model_dir, "output": a.output_dir, "vessels scored": scores.select("mmsi").distinct().count(), "sequences": scores.count(), "top fraction": a.top_frac, "top count": top.count()}), f"{a.output_dir}/report")
 
 
 def sequence_events_cmd(spark: SparkSession, a: argparse.Namespace) -> None:

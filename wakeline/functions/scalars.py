@@ -94,6 +94,21 @@ def parse_time(c: str | Column) -> Column:
     return F.coalesce(*(F.try_to_timestamp(t, F.lit(f)) for f in TIME_FORMATS))
 
 
+def strict_epoch(c: str | Column, fmt: str = TIME_FORMATS[1]) -> Column:
+    """Seconds since the epoch of texts of one format; any other text is an error, a null stays null."""
+    return F.unix_micros(F.to_timestamp(col(c), fmt)) / 1e6
+
+
+def midpoint(a: str | Column, b: str | Column) -> Column:
+    """The middle of an interval of numbers."""
+    return col(a) + (col(b) - col(a)) / 2.0
+
+
+def clock(seconds: str | Column) -> Column:
+    """HH:MM of epoch seconds, in the session's time zone."""
+    return F.date_format(F.timestamp_seconds(F.floor(col(seconds))), "HH:mm")
+
+
 def epoch_seconds(df: DataFrame, name: str) -> Column:
     """Seconds since the epoch of a column of numbers (taken as they are), timestamps or texts of either time format."""
     kind = df.schema[name].dataType.typeName()

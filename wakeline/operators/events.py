@@ -107,6 +107,17 @@ def jump_ends(ctx: DataFrame, key: str = "key") -> DataFrame:
     )
 
 
+def with_jump_km(ends: DataFrame) -> DataFrame:
+    """The jump's length in kilometres."""
+    return ends.withColumn("jump_km", S.haversine("from_lat", "from_lon", "to_lat", "to_lon") / 1000)
+
+
+def time_marks(events: DataFrame) -> DataFrame:
+    """The middle of each event (epoch seconds), clock times of its ends and middle, and its length in minutes."""
+    mid = S.midpoint("t_prev", "t_curr")
+    return events.withColumns({"mid_s": mid, "from_hm": S.clock("t_prev"), "mid_hm": S.clock(mid), "to_hm": S.clock("t_curr"), "minutes": (F.col("t_curr") - F.col("t_prev")) / 60})
+
+
 def gap_bars(events: DataFrame, stats: DataFrame) -> DataFrame:
     """Three bars in minutes per event: the fleet's median and p99 gap and this one."""
     s = stats.where("feature = 'delta_t_s'").agg(F.first("p50").alias("p50"), F.first("p99").alias("p99"))

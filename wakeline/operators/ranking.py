@@ -49,7 +49,8 @@ def top_fraction(df: DataFrame, order: list[Column], fraction: float, rule: str,
 
 
 def hash_order(seed: int, *keys: str) -> Column:
-    return F.xxhash64(F.lit(seed), *keys)
+    """md5 of the seed and the keys, with colons between: an order that any engine can make again."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys)))
 
 
 def sample_rows(df: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:

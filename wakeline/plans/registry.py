@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..functions import stats
 from ..operators import events as E
 from ..operators import explain, iforest, prepare, ranking, reports, rules
@@ -292,7 +293,9 @@ def events_remainder(spark, d):
     return E.remainder(df, E.top_events(df, N_EVENTS, "event_id")).select("event_id", "mmsi", "dist_m")
 
 
-@query("events_sampled")
+@query("events_sampled", f"""with {SQL_PAIRS}, best as (select *, row_number() over (partition by mmsi order by dist_m desc, event_id) as r from pairs), top as (select * from best where r = 1 order by dist_m desc, event_id limit 5),
+ rest as (select * from pairs where mmsi not in (select mmsi from top) order by md5('42:' || event_id), event_id limit 5)
+ select event_id, mmsi, dist_m, 'top' as sample_kind from top union all select event_id, mmsi, dist_m, 'random' from rest""")
 def events_sampled(spark, d):
     return E.sample_events(_scored(spark, d), 5, 5, 42, "event_id").select("event_id", "mmsi", "dist_m", "sample_kind")
 
@@ -325,6 +328,40 @@ def context_pairwise_turn(spark, d):
     return E.peak(E.pairwise_turn(E.enough(_context(spark, d), "turn")), "abs_turn")
 
 
+@query("context_speed_peak", f"""with {SQL_CONTEXT}, i as (select * from ctx where p_t between t_prev and t_curr and p_sog is not null) select key, max(p_sog) as peak, arg_max(p_t, p_sog * 1e12 - p_t) as peak_t, count(*) as n_inside from i group by key""")
+def context_speed_peak(spark, d):
+    """The speed figure's mark: the highest speed inside the event and its first time."""
+    ctx = _context(spark, d)
+    inside = ctx.where("segment = 'inside' and p_sog is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n_inside"))
+    return E.peak(ctx, "p_sog").join(inside, "key")
+
+
+@query("figure_times", f"""with {SQL_CONTEXT} select key, t_prev + (t_curr - t_prev) / 2e0 as mid_s, strftime(to_timestamp(t_prev) at time zone 'UTC', '%H:%M') as from_hm, strftime(to_timestamp(floor(t_prev + (t_curr - t_prev) / 2e0)) at time zone 'UTC', '%H:%M') as mid_hm,
+ strftime(to_timestamp(t_curr) at time zone 'UTC', '%H:%M') as to_hm, delta_t_s / 60 as minutes from ev""")
+def figure_times(spark, d):
+    """Where a silent period is marked: its middle, and clock times for the axis."""
+    return E.time_marks(_events(spark, d)).select("key", "mid_s", "from_hm", "mid_hm", "to_hm", "minutes")
+
+
+SQL_JUMP = f"""{SQL_CONTEXT}, b as (select key, arg_max(p_lat, p_t * 10000000 + p_id) as from_lat, arg_max(p_lon, p_t * 10000000 + p_id) as from_lon from ctx where p_t < t_prev group by key),
+ i as (select key, arg_min(p_lat, p_t * 10000000 + p_id) as to_lat, arg_min(p_lon, p_t * 10000000 + p_id) as to_lon from ctx where p_t between t_prev and t_curr group by key)"""
+
+
+@query("context_jump_km", f"with {SQL_JUMP} select key, round({sql_distance('from_lat', 'from_lon', 'to_lat', 'to_lon')} / 1000, 3) as jump_km from (select distinct key from ctx where p_t is not null) left join b using (key) left join i using (key)")
+def context_jump_km(spark, d):
+    ends = E.jump_ends(_context(spark, d).where("p_t is not null"))
+    return E.with_jump_km(ends).select("key", F.round("jump_km", 3).alias("jump_km"))
+
+
+@query("times_strict", """with dirty as (select event_id, case when event_id % 2 = 0 then '2024-12-25 10:' || lpad((event_id % 60)::varchar, 2, '0') || ':07' else '2024-12-25T10:' || lpad((event_id % 60)::varchar, 2, '0') || ':07' end as t from events)
+ select event_id, epoch_us(try_strptime(t, '%Y-%m-%d %H:%M:%S')) / 1e6 as t_s from dirty where event_id % 2 = 0""")
+def times_strict(spark, d):
+    """The strict parse takes one format only, and stops at another; here it is given the rows that have it."""
+    minute = F.lpad((F.col("event_id") % 60).cast("string"), 2, "0")
+    dirty = spark.read.parquet(f"{d}/events.parquet").where("event_id % 2 = 0").select("event_id", F.concat(F.lit("2024-12-25 10:"), minute, F.lit(":07")).alias("t"))
+    return dirty.select("event_id", S.strict_epoch("t").alias("t_s"))
+
+
 @query("context_pairwise_distance", f"with {SQL_CONTEXT} select key, p_id, round({sql_distance('lag(p_lat) over w', 'lag(p_lon) over w', 'p_lat', 'p_lon')}, 3) as segment_m from ctx window w as (partition by key order by p_t, p_id)")
 def context_pairwise_distance(spark, d):
     return E.pairwise_distance(_context(spark, d)).select("key", "p_id", F.round("segment_m", 3).alias("segment_m"))
@@ -437,12 +474,12 @@ def seq_error_bars(spark, d):
     return E.error_bars(top.withColumn("key", F.col("event_id"))).select("key", "bar", F.round("error", 4).alias("error"))
 
 
-@query("vessel_sample")
+@query("vessel_sample", f"with {SQL_POINTS} select mmsi from (select distinct mmsi from points) order by md5('42:' || mmsi), mmsi limit 50")
 def vessel_sample(spark, d):
     return ranking.sample_vessels(points(spark, d), 50, 42)
 
 
-@query("train_val_split")
+@query("train_val_split", f"with {SQL_PAIRS}, o as (select event_id, row_number() over (order by md5('42:' || event_id), event_id) as r, count(*) over () as n from pairs) select event_id, r <= floor(n * 0.15e0) as is_val from o")
 def train_val_split(spark, d):
     return ranking.train_val_split(pairs(spark, d).select("event_id"), 0.15, 42, "event_id")
 

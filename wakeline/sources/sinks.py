@@ -1,12 +1,14 @@
-"""Writers: tables, conditional tables, one table per category, JSON, texts, models."""
+"""Writers: tables, ordered tables, conditional tables, one table per category, JSON, texts, models."""
 
 from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranking import ranked
+
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     (df.write.mode("overwrite").csv(path, header=True) if fmt == "csv" else df.write.mode("overwrite").format(fmt).save(path))
@@ -20,9 +22,16 @@ def write_if_any(df: DataFrame, path: str, fmt: str = "parquet") -> bool:
     return True
 
 
-def write_by_category(df: DataFrame, path: str, categories: str = "category") -> None:
-    """One folder per category, in one pass."""
-    df.write.mode("overwrite").partitionBy(categories).parquet(path)
+def write_sorted(df: DataFrame, order: list[Column], path: str, *, rank: str | None = None) -> None:
+    """A table in order across its files, read file by file by name: Spark sorts over range partitions, and a file's number is
+    its range's. rank: a column for the row's place."""
+    out = ranked(df, order, rank) if rank else df
+    out.orderBy(*([F.col(rank)] if rank else order)).write.mode("overwrite").parquet(path)
+
+
+def write_categories_sorted(df: DataFrame, order: list[Column], path: str, categories: str = "category") -> None:
+    """One folder per category, each in order across its files."""
+    (df.repartitionByRange(F.col(categories), *order).sortWithinPartitions(F.col(categories), *order).write.mode("overwrite").partitionBy(categories).parquet(path))
 
 
 def write_text(spark: SparkSession, text: str, path: str) -> None:
