@@ -199,3 +199,19 @@ def test_strict_times_and_clock(spark):
         spark.createDataFrame([("2024-12-25T10:00:30",)], "t string").select(S.strict_epoch("t")).collect()
     got = spark.createDataFrame([(1735120830, 1735121031)], "a long, b long").select(S.midpoint("a", "b").alias("m"), S.clock("a").alias("h"), S.clock(S.midpoint("a", "b")).alias("k")).first()
     assert tuple(got) == (1735120930.5, "10:00", "10:02")
+
+
+def test_table_function_equals_the_windows(spark):
+    from wakeline.operators import vessel_udtf
+    from wakeline.plans import sequence
+
+    points = ship_reports(spark, {1: 300, 2: 12, 3: 11, 4: 3}).withColumn("sog", F.when(F.col("event_id") % 50 != 49, F.col("sog"))).withColumn("t_s", F.col("t_s").cast("double"))
+    mean, std = [0.1 * k for k in range(8)], [1.0 + k for k in range(8)]
+    vessel_udtf.register(spark)
+    points.createOrReplaceTempView("ship_reports")
+    told = ", ".join("array(" + ", ".join(f"{x!r}D" for x in v) + ")" for v in (mean, std))
+    got = spark.sql(f"select * from score_vessel(table(ship_reports) partition by mmsi order by (t_s, event_id), {told})").toPandas().sort_values("event_id").reset_index(drop=True)
+    want = sequence.score(points, mean, std).toPandas().sort_values("event_id").reset_index(drop=True)
+    assert len(got) == len(want) > 100 and set(got["mmsi"]) == {1, 2} and got["anomaly_score"].isna().any()
+    for c in want.columns:
+        assert np.allclose(got[c].astype(float), want[c].astype(float), rtol=1e-9, equal_nan=True), c

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions import stats
 from ..operators import events as E
-from ..operators import explain, iforest, prepare, ranking, reports, rules
+from ..operators import explain, iforest, prepare, ranking, reports, rules, vessel_udtf
 from ..operators import trajectory as T
 from ..operators.lstm import Lstm
 from ..shipping import ship
@@ -447,6 +447,18 @@ def seq_persistence_scores(spark, d):
     return _seq_scores(spark, d).select("event_id", "mmsi", *(F.round(x, 4).alias(x) for x in ("anomaly_score", *ERRS)))
 
 
+@query("seq_udtf", ORACLES["seq_persistence_scores"])
+def seq_udtf(spark, d):
+    """The persistence scores by the table function, called from SQL with the scaler's arrays."""
+    ship(spark)
+    p = points(spark, d)
+    mean, std = sequence.scaler(sequence.windows_of(p))
+    vessel_udtf.register(spark)
+    numbers = lambda v: "array(" + ", ".join(f"{x!r}D" for x in v) + ")"
+    scored = spark.sql(f"select * from score_vessel(table({{p}}) partition by mmsi order by (t_s, event_id), {numbers(mean)}, {numbers(std)})", p=p.select("event_id", "mmsi", "t_s", "lat", "lon", "sog", "cog", "heading"))
+    return scored.select("event_id", "mmsi", *(F.round(x, 4).alias(x) for x in ("anomaly_score", *ERRS)))
+
+
 SQL_LABEL = "case greatest(err_speed, err_course, err_heading, err_position_jump, err_time_gap) when err_speed then 'speed' when err_course then 'course' when err_heading then 'heading' when err_position_jump then 'position_jump' when err_time_gap then 'time_gap' end"
 SQL_REASON = "case dominant_error when 'speed' then 'unexpected speed change' when 'course' then 'unexpected course change' when 'heading' then 'unexpected heading change' when 'position_jump' then 'unexpected position jump' when 'time_gap' then 'unexpected time gap pattern' end"
 SQL_SEQ_TOP = f"{SQL_SCORED}, o as (select *, row_number() over (order by anomaly_score desc, mmsi, event_id) as rank, count(*) over () as n from e), t as (select event_id, mmsi, rank, round(anomaly_score, 4) as anomaly_score, round_even(100 * (1 - (rank - 1) / n::double), 4) as percentile_rank, {SQL_LABEL} as dominant_error from o where rank <= greatest(1, floor(n * 0.01)))"
