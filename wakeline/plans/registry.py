@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -15,6 +16,7 @@ from ..operators import explain, iforest, prepare, ranking, reports, rules, vess
 from ..operators import trajectory as T
 from ..operators.lstm import Lstm
 from ..shipping import ship
+from ..sources import ais, shared
 from ..sources import points as P
 from . import sequence
 
@@ -132,6 +134,48 @@ def points_clean_reject(spark, d):
     return P.typed_points(raw).drop("ts")
 
 
+#: The dirty reports as CSV records: names with line ends in quotes, and bytes that are not UTF-8.
+CSV_HEADER = "MMSI,BaseDateTime,LAT,LON,SOG,COG,Heading,Name"
+CSV_NAME = "case when event_id % 23 = 0 then concat('n', cast(unhex('ff') as string), 'x') when event_id % 29 = 0 then '\"two\\nlines, \"\"quoted\"\"\"' when event_id % 31 = 0 then 'Ærø' else 'plain' end"
+SQL_READ = f"""dirty as (select event_id, {SQL_DIRTY} from events), typed as (select event_id, try_cast(trim(MMSI) as bigint) as mmsi,
+ epoch_us(coalesce(try_strptime(trim(BaseDateTime), '%Y-%m-%dT%H:%M:%S'), try_strptime(trim(BaseDateTime), '%Y-%m-%d %H:%M:%S'))) / 1e6 as t_s, try_cast(LAT as double) as lat, try_cast(LON as double) as lon,
+ case when SOG = '' then 0e0 else try_cast(SOG as double) end as sog, case when trim(COG) = '' then 0e0 else try_cast(COG as double) end as cog from dirty),
+ judged as (select *, case when mmsi is null then 'MMSI is no number' when t_s is null then 'BaseDateTime is no time' when lat is null then 'LAT is no number' when lon is null then 'LON is no number' when sog is null then 'SOG is no number' when cog is null then 'COG is no number' end as reason from typed)"""
+
+
+def _csv(spark, d) -> str:
+    """The events as dirty CSV files below a folder of the shared directory."""
+    cells = [f"cast({v} as string)" for v in DIRTY.values()]
+    line = f"concat_ws(',', {', '.join(cells)}, {CSV_NAME})"
+    numbered = spark.read.parquet(f"{d}/events.parquet").selectExpr("event_id", f"{line} as line")
+    path = shared.shared_path(spark, f"wakeline-{uuid.uuid4().hex}")
+    # the header comes first in each file
+    rows = numbered.repartition(4, "event_id").withColumn("file", F.spark_partition_id())
+    header = spark.range(4).select(F.lit(-1).cast("long").alias("event_id"), F.lit(CSV_HEADER).alias("line"), F.col("id").cast("int").alias("file"))
+    rows.unionByName(header).repartition(4, "file").sortWithinPartitions("file", "event_id").select("file", "line").write.partitionBy("file").text(path)
+    return path
+
+
+def _csv_points(spark, d, mode):
+    ship(spark)
+    return ais.read(spark, _csv(spark, d), mode, split_bytes=100_000)
+
+
+@query("points_strict", f"with {SQL_READ} select mmsi, t_s, lat, lon, sog, cog from judged where reason is null and event_id % 23 <> 0")
+def points_strict(spark, d):
+    return _csv_points(spark, d, "strict")[0]
+
+
+@query("points_lenient", f"with {SQL_READ} select mmsi, t_s, lat, lon, sog from judged where coalesce(reason, 'COG') like 'COG%'")
+def points_lenient(spark, d):
+    return _csv_points(spark, d, "lenient")[0]
+
+
+@query("points_rejected", f"with {SQL_READ}, all_ as (select case when event_id % 23 = 0 then 'not UTF-8' else reason end as reason from judged) select reason, count(*) as n from all_ where reason is not null group by reason")
+def points_rejected(spark, d):
+    return _csv_points(spark, d, "strict")[1].groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("prep_constant_columns", f"with {SQL_PAIRS}, x as (select *, 7e0 as seven, case when event_id % 2 = 0 then 1e0 end as half, cast(null as double) as nothing from pairs) " + " union all ".join(f"select '{c}' as feature, count(distinct {c}) <= 1 as constant, count(distinct {c}) + (count(*) > count({c}))::int <= 1 as constant_with_nulls from x" for c in (*MODEL_FEATURES, "seven", "half", "nothing")))
 def prep_constant_columns(spark, d):
     df = pairs(spark, d).withColumns({"seven": F.lit(7.0), "half": F.when(F.col("event_id") % 2 == 0, 1.0), "nothing": F.lit(None).cast("double")})
