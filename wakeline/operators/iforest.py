@@ -73,15 +73,17 @@ def build_tree(x: np.ndarray, tree: int, seed: int, limit: int | None = None) ->
 def fit(df: DataFrame, features: list[str], keys: list[str], *, n_trees: int = 200, max_samples: str | int | float = "auto", seed: int = 42, depth: int | None = None) -> tuple[DataFrame, dict]:
     """Nodes of all trees, and metadata. Each tree samples by its own hash order of the keys, without replacement.
 
-    A row is a candidate for a tree when its hash is below a cut that leaves about twice the sample; each tree then
-    takes the least hashes. One pass over the rows; no task holds more than a few samples.
+    A bottom-k sample: a row is a candidate for a tree when its hash is below a cut that leaves about twice the sample, and
+    each tree takes the least hashes. Rows, trees and hashes stay in generated code (no array is made for a row), and only
+    candidates carry their features on: some 2 * n_trees * max_samples rows, whatever the size of the table.
     """
     n = df.count()
     psi = parse_max_samples(max_samples, n)
     share = min(1.0, 2.0 * psi / max(n, 1) + 20.0 / max(n, 1))
     cut = F.lit(int(-(1 << 63) + share * ((1 << 64) - 1)) if share < 1 else (1 << 63) - 1)
-    draws = F.array_compact(F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: F.when((h := F.xxhash64(F.lit(seed), t, *keys)) <= cut, F.struct(t.alias("tree"), h.alias("h")))))
-    rows = df.select(F.explode(draws).alias("d"), F.array(*(F.col(c).cast("double") for c in features)).alias("x"), *keys).select("d.tree", "d.h", "x")
+    trees = F.explode(F.lit(list(range(n_trees)))).alias("__tree")
+    drawn = df.select(*dict.fromkeys([*keys, *features]), trees).withColumn("__h", F.xxhash64(F.lit(seed), "__tree", *keys)).where(F.col("__h") <= cut)
+    rows = drawn.select(F.col("__tree").alias("tree"), F.col("__h").alias("h"), F.array(*(F.col(c).cast("double") for c in features)).alias("x"))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf.sort_values("h", kind="stable").head(psi)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.stats import percentiles
+from ..sources.shared import checkpointed
 
 META = ("mmsi", "t_prev", "t_curr")
 NOT_FEATURES = ("vessel_type",)
@@ -59,6 +60,7 @@ def prepare_features(df: DataFrame, *, keys: tuple[str, ...] = META, log_dist: b
     num = df.select(*(F.col(k) if k in df.columns else F.lit(None).cast("string").alias(k) for k in (*keys, *carry)), *(S.finite(F.col(c).try_cast("double")).alias(c) for c in names))
     if log_dist and "dist_m" in names:
         num = num.withColumn("dist_m", F.when(F.col("dist_m") > -1, F.log1p("dist_m")))
+    num = checkpointed(num)  # written once: what led to it is not worked out again for each of the passes below
     constant = {r["feature"] for r in constant_columns(num, names).where("constant").collect()} if names else set()
     names = [c for c in names if c not in constant]
     if not names:
