@@ -107,7 +107,8 @@ def fit(labelled: DataFrame, *, per_lang: int = 2_000, longest: int = 5, smoothi
     if not langs:
         return Model([], longest, np.zeros(0, np.uint64), np.zeros((0, 0), np.float32), np.zeros((0, 0), bool))
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(9), "doc_id"), 11).cast("double") / float(1 << 53)
-    sample = labelled.join(sizes, "lang").where(draw < per_lang / F.col("texts")).select("lang", "text")
+    # a row per language, as many as the driver has just seen; the texts are not dealt by language
+    sample = labelled.join(F.broadcast(sizes), "lang").where(draw < per_lang / F.col("texts")).select("lang", "text")
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     padded = F.concat(F.lit(" "), "word", F.lit(" "))
 
