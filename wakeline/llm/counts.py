@@ -89,7 +89,8 @@ def counter(vocabulary_of) -> Counter:
 def counted(df: DataFrame, *, model: str = MODEL) -> DataFrame:
     """df with n_tokens (long) and best_score (double) added; an own column of that name is replaced.
 
-    A null or empty text has 0 tokens and score 0. Texts are taken whole; repeated rows count alike.
+    A null or empty text has 0 tokens and score 0. Texts are taken whole; repeated rows count alike; an empty table gives no
+    rows; other columns stay.
     """
     df = df.drop("n_tokens", "best_score")
     vocabulary_of = df.sparkSession.sparkContext.broadcast(Vocabulary(model))  # the size of the model file

@@ -185,7 +185,8 @@ def scored(docs: DataFrame) -> DataFrame:
 
     Learns from the rows that are not held out; with none every bit costs 1. A null text is an empty one: its end is
     all there is to score. Words are known by 64-bit hashes; log probabilities of bytes travel in single precision (a
-    text's score is exact to about 7 digits). Repeated rows count, and are scored, one by one.
+    text's score is exact to about 7 digits). Repeated rows count, and are scored, one by one. An empty table gives no rows;
+    other columns are ignored.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", F.coalesce("held_out", F.lit(False)).alias("held_out"))

@@ -159,8 +159,8 @@ def linked(df: DataFrame, *, threshold: float = 0.9, vec_id: str = "vec_id", emb
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing (component: themselves).
     Vectors of different lengths never link. Equal directions are one class with a number of copies, so copies
-    are not expanded into pairs. Rows without an id, or with one that an earlier row has, keep their own class
-    (ids are taken as the vectors' names). An empty table gives no rows; other columns are ignored.
+    are not expanded into pairs. Ids are taken as the vectors' names: rows that share one get one answer, that of one of their
+    vectors; rows without an id link with nothing. An empty table gives no rows; other columns are ignored.
     """
     each = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("e"), F.size(embedding).alias("w")).where("e is not null and w > 0 and vec_id is not null")
     spark = df.sparkSession
