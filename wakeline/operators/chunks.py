@@ -8,6 +8,8 @@ vessel is large, the table stays as it is.
 
 from __future__ import annotations
 
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from ..sources.shared import checkpointed
 HOT_ROWS = 5_000_000
 #: Quantiles of a large vessel's times that it can be cut at: larger ones than this times HOT_ROWS have larger chunks.
 CUTS = 1024
+_cuts: WeakKeyDictionary = WeakKeyDictionary()
 CHUNK, HALO, OFFSET, REPORTS = "__chunk", "__halo", "__offset", "__reports"
 
 
@@ -54,9 +57,10 @@ def core(df: DataFrame) -> DataFrame:
 def cuts(points: DataFrame, hot_rows: int) -> DataFrame | None:
     """mmsi, cuts: for each large vessel the times at which its chunks after the first begin; None where no vessel is large.
     Over all vessels, 2 * rows / hot_rows of them at most."""
-    large = checkpointed(points.groupBy("mmsi").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > hot_rows))
+    large = points.groupBy("mmsi").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > hot_rows)
     if large.isEmpty():
         return None
+    large = checkpointed(large)
     own = points.join(F.broadcast(large.select("mmsi")), points["mmsi"].eqNullSafe(large["mmsi"]), "left_semi")
     found = own.groupBy("mmsi").agg(F.percentile_approx("t_s", F.lit([k / CUTS for k in range(1, CUTS)]), F.lit(10 * CUTS)).alias("at"), F.count(F.lit(1)).alias("rows"))
     step = F.greatest(F.lit(1), F.floor(CUTS / F.ceil(F.col("rows") / hot_rows)).cast("int"))
@@ -65,7 +69,11 @@ def cuts(points: DataFrame, hot_rows: int) -> DataFrame | None:
 
 def split(points: DataFrame, before: int, after: int, hot_rows: int | None = None) -> DataFrame:
     """points with chunks and halos of `before` and `after` reports, if there is a large vessel; otherwise points."""
-    at = cuts(points, hot_rows or HOT_ROWS)
+    hot_rows = hot_rows or HOT_ROWS
+    known = _cuts.setdefault(points, {})  # several windows over one table count its vessels once
+    if hot_rows not in known:
+        known[hot_rows] = cuts(points, hot_rows)
+    at = known[hot_rows]
     if at is None:
         return points
     bounds = at.select(F.col("mmsi").alias("__m"), "cuts")
