@@ -76,3 +76,33 @@ def test_errors_equal_predictions(spark, points):
 def test_no_sequences(spark, points):
     with pytest.raises(ValueError, match="no sequences"):
         sequence.fit(points.limit(0))
+
+
+@pytest.mark.parametrize("fan_in", [2, 16])
+def test_rounds_of_an_epoch_are_bounded_and_replicas_are_averaged(spark, points, monkeypatch, fan_in):
+    """More batches than rounds: the jobs of an epoch stay as many, and the cluster averages as the arrays do."""
+    for name, n in (("ROUNDS", 2), ("LOCAL", 3), ("FAN_IN", fan_in)):
+        monkeypatch.setattr(lstm, name, n)
+    data, _, meta = sequence.training_tables(points, batch_size=25)
+    near = arrays_of(data, spark)
+    assert len(near.a) == meta["n_train"] and len(data.batches) > 12 and data.replicas == 4
+    calls = []
+    for name in ("gradient", "replicated"):
+        monkeypatch.setattr(data, name, lambda *args, of=getattr(data, name): calls.append(1) or of(*args))
+    a, b = (lstm.Lstm(8, 6, 2, 5, seed=3) for _ in range(2))
+    la, lb = lstm.train(a, data, epochs=2, lr=1e-2), lstm.train(b, near, epochs=2, lr=1e-2)
+    assert len(calls) == 2 * 2
+    assert la["history"] == pytest.approx(lb["history"], rel=1e-9) and la["history"][1] < la["history"][0]
+    assert all(np.allclose(a.w[k], b.w[k], rtol=0, atol=1e-9) for k in a.w)
+
+
+def test_one_replica_takes_the_steps_of_single_batches(monkeypatch):
+    rng = np.random.default_rng(0)
+    data = lstm.Arrays(rng.random((60, 11, 8)), rng.random((10, 11, 8)), np.arange(60) % 4, np.arange(60))
+    monkeypatch.setattr(lstm, "ROUNDS", 1)
+    a, b = (lstm.Lstm(8, 6, 2, 5, seed=3) for _ in range(2))
+    lstm.train(a, data, epochs=1, lr=1e-2)  # a round, a replica, four batches
+    adam = lstm.Adam(b.w)
+    for k in data.batches:
+        adam.step(b, *data.gradient(b, k, adam.steps + 1), 1e-2)
+    assert all(np.allclose(a.w[k], b.w[k], rtol=0, atol=1e-12) for k in a.w)

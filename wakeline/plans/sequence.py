@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import descending_position, error_stats
 from ..operators import trajectory as T
-from ..operators.lstm import Lstm, OnCluster, errors_by, errors_by_persistence, train
+from ..operators.lstm import Lstm, OnCluster, dealing, errors_by, errors_by_persistence, train
 from ..operators.ranking import sample_rows, sample_vessels, top_fraction, train_val_split
 from ..sources import sinks
 from ..sources.shared import shared_path, stored
@@ -28,9 +28,10 @@ def scaler(validity: DataFrame, seq_len: int = 10) -> tuple[list[float], list[fl
 
 def score(points: DataFrame, mean: list[float], std: list[float], model: Lstm | None = None, seq_len: int = 10, batch: int = 2048) -> DataFrame:
     """A row per valid window with anomaly_score and err_*; model None: persistence."""
-    seqs = T.sequences(windows_of(points, seq_len), seq_len).withColumn("scaled", T.scaled(F.col("seq"), mean, std))
+    seqs = T.sequences(windows_of(points, seq_len), seq_len, last=None if model else 2)  # persistence looks at the last two
+    seqs = seqs.withColumn("scaled", T.scaled(F.col("seq"), mean, std)).drop("seq")
     found = errors_by(seqs, model, batch=batch) if model else errors_by_persistence(seqs)
-    return T.with_errors(found).drop("seq", "scaled", "errors")
+    return T.with_errors(found).drop("scaled", "errors")
 
 
 def top(scores: DataFrame, fraction: float = 0.01) -> DataFrame:
@@ -59,12 +60,14 @@ def training_tables(points: DataFrame, *, seq_len: int = 10, batch_size: int = 5
     if not n:
         raise ValueError("no sequences")
     n_batches, tasks = max(1, -(-(n - n_val) // batch_size)), -(-batch_size // rows_per_task)
+    rounds, replicas = dealing(n_batches)
     h = F.xxhash64(F.lit(seed + 1), "event_id")
     dealt = split.where("not is_val").select("event_id", "scaled", F.pmod(h, F.lit(n_batches)).alias("batch"), F.pmod(F.shiftrightunsigned(h, 32), F.lit(tasks)).alias("slot"))
-    train_rows, path = stored(dealt.repartition("batch", "slot").drop("slot"), "batch")
+    dealt = dealt.withColumn("round", F.col("batch") % rounds).withColumn("replica", F.floor(F.col("batch") / rounds) % replicas)
+    train_rows, path = stored(dealt.repartition("round", "replica", "slot").drop("slot"), "round")
     batches = sorted(r["batch"] for r in train_rows.select("batch").distinct().collect())  # a number for each step of an epoch
     meta = {"mean": mean, "std": std, "seq_len": seq_len, "batch_size": batch_size, "max_vessels": max_vessels, "val_frac": val_frac, "n_train": n - n_val, "n_val": n_val, "features": list(T.SEQ_FEATURES)}
-    return OnCluster(spark, path, batches, held if n_val else train_rows.select("event_id", "scaled"), tasks), held, meta
+    return OnCluster(spark, path, batches, held if n_val else train_rows.select("event_id", "scaled"), tasks, replicas), held, meta
 
 
 def fit(points: DataFrame, *, seq_len: int = 10, hidden: int = 64, layers: int = 2, epochs: int = 30, batch_size: int = 512, lr: float = 1e-3, max_vessels: int = 2000, val_frac: float = 0.15, patience: int = 5, seed: int = 42, max_sequences: int | None = None) -> tuple[Lstm, dict]:
@@ -78,7 +81,7 @@ def fit(points: DataFrame, *, seq_len: int = 10, hidden: int = 64, layers: int =
 
 
 #: Version of the layout of stored models.
-MODEL_VERSION = 1
+MODEL_VERSION = 2
 
 
 def model_tables(spark: SparkSession, model: Lstm, meta: dict) -> dict[str, DataFrame]:
