@@ -249,3 +249,17 @@ def test_commands(spark, tmp_path):
     top.withColumns({c: F.timestamp_seconds(c).cast("string") for c in ("t_prev", "t_curr")}).toPandas().to_csv(tmp_path / "top.csv", index=False)
     run("sequence-events", "--top", p("top.csv"), "--points", p("points.csv"), "--out-dir", p("sfigs"), "--n-top", 2, "--n-random", 2)
     assert spark.read.parquet(p("sfigs/sequence/manifest")).where("status = 'saved'").count() > 0
+
+
+def test_half_turns_are_minus_180(spark):
+    """Whatever the last bit of the difference: in the query and in its SQL."""
+    import duckdb
+
+    from wakeline.plans import registry
+
+    tenths = [(a / 10.0, (a + 1800) % 3600 / 10.0) for a in range(3600)] + [(10.0, 20.0), (350.0, 10.0), (0.0, 179.9999), (None, 1.0)]
+    df = spark.createDataFrame(tenths, "a double, b double").select("a", "b", S.turn("a", "b").alias("t"))
+    got = [r["t"] for r in df.collect()]
+    assert got == [-180.0] * 3600 + [10.0, 20.0, 179.9999, None]
+    rows = ", ".join(f"({'null' if a is None else repr(a) + 'e0'}::double, {b!r}e0)" for a, b in tenths)
+    assert [r[0] for r in duckdb.sql(f"select {registry.sql_turn('a', 'b')} from (values {rows}) x(a, b)").fetchall()] == got

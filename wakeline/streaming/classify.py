@@ -45,7 +45,7 @@ def transitions(points: DataFrame) -> DataFrame:
     cog0, cog1 = S.finite("cog0"), S.finite("cog1")
     out = raw.select(
         "event_id", "mmsi", "t_prev", "t_curr", (F.col("t_curr") - F.col("t_prev")).cast("double").alias("delta_t_s"), F.round(S.haversine("lat0", "lon0", "lat1", "lon1"), 3).alias("dist_m"),
-        F.round(F.col("sog1") - F.col("sog0"), 6).alias("dsog"), F.round(S.wrap_angle(cog0, cog1), 6).alias("dcog"), F.col("sog1").alias("sog_curr"),
+        F.round(F.col("sog1") - F.col("sog0"), 6).alias("dsog"), S.turn(cog0, cog1).alias("dcog"), F.col("sog1").alias("sog_curr"),
     )
     return with_derived(out)
 
