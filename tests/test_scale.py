@@ -215,3 +215,36 @@ def test_table_function_equals_the_windows(spark):
     assert len(got) == len(want) > 100 and set(got["mmsi"]) == {1, 2} and got["anomaly_score"].isna().any()
     for c in want.columns:
         assert np.allclose(got[c].astype(float), want[c].astype(float), rtol=1e-9, equal_nan=True), c
+
+
+def test_a_split_and_a_sample_send_no_task_all_rows(spark, monkeypatch):
+    """Neither a heap of the wanted rows nor a sort: the k-th hash comes from counts of bins; repeated keys as well."""
+    from wakeline.operators import ranking
+
+    monkeypatch.setattr(ranking, "HEAP_ROWS", 10)
+    monkeypatch.setattr(ranking, "ranked", lambda *_: pytest.fail("sorted"))
+    ids = spark.range(3000).repartition(5)
+    order = [r["id"] for r in ids.orderBy(ranking.hash_order(42, "id"), "id").collect()]
+    for fraction in (0.15, 0.0004, 0.999):
+        split = ranking.train_val_split(ids, fraction, 42, "id")
+        assert {r["id"] for r in split.where("is_val").collect()} == set(order[: int(3000 * fraction)]) and split.count() == 3000
+    for n in (1500, 2999, 3000, 5000):
+        got = ranking.sample_rows(ids, n, 42, "id")
+        assert sorted(r["id"] for r in got.collect()) == sorted(order[:n])
+    twice = ids.unionByName(ids)
+    got = [r["id"] for r in ranking.sample_rows(twice, 301, 42, "id").collect()]
+    assert sorted(got) == sorted([*order[:150], *order[:150], order[150]])
+
+
+def test_statistics_work_a_column_out_once(spark):
+    from wakeline.functions import stats
+
+    for f in (stats.error_stats, stats.score_summary, lambda df, c: stats.fleet_stats(df, [c])):
+        calls = spark.sparkContext.accumulator(0)
+
+        def value(x, calls=calls):
+            calls.add(1)
+            return float(x)
+
+        assert f(spark.range(500).select(F.udf(value, "double")("id").alias("v")), "v").first()["p95"] == pytest.approx(474.05)
+        assert calls.value == 500
