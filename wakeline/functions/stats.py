@@ -7,17 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
 from .quantiles import percentiles
 
+
 def fleet_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """feature, p50, p95, p99, p999, max: the reference statistics that rules and figures look thresholds up in."""
     names = ("p50", "p95", "p99", "p999", "max")
-    out = percentiles(df, columns, (0.5, 0.95, 0.99, 0.999, 1.0))
+    out = percentiles(stored(df.select(*columns))[0], columns, (0.5, 0.95, 0.99, 0.999, 1.0))
     return out.select("feature", *(F.col(f"p{k}").alias(n) for k, n in enumerate(names)))
 
 
 def score_summary(df: DataFrame, column: str) -> DataFrame:
-    """Seven quantiles, mean and sample deviation (0 for one row) of a score."""
+    """Seven quantiles, mean and sample deviation (0 for one row) of a score, which is worked out once, whatever the passes."""
+    df, _ = stored(df.select(column))
     q = percentiles(df, [column], (0.0, 0.01, 0.05, 0.5, 0.95, 0.99, 1.0)).drop("feature")
     q = q.toDF("min", "p01", "p05", "p50", "p95", "p99", "max")
     m = df.agg(F.avg(column).alias("mean"), F.coalesce(F.stddev_samp(column), F.lit(0.0)).alias("std"))
@@ -25,7 +28,8 @@ def score_summary(df: DataFrame, column: str) -> DataFrame:
 
 
 def error_stats(df: DataFrame, column: str) -> DataFrame:
-    """Eight quantiles, mean and population deviation of an error."""
+    """Eight quantiles, mean and population deviation of an error, which is worked out once, whatever the passes."""
+    df, _ = stored(df.select(column))
     q = percentiles(df, [column], (0.0, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0)).drop("feature")
     q = q.toDF("min", "p25", "p50", "p75", "p90", "p95", "p99", "max")
     m = df.agg(F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"))
