@@ -330,3 +330,16 @@ def test_mixing_quartile(spark):
     sizes = spark.createDataFrame([("a", k) for k in range(1, 1001)] + [("b", 5)] * 9 + [(None, 0)], "source string, size long")
     got = {r["source"]: (r["source_size"], r["rows"], r["quartile"]) for r in mixing.ranked_sources(sizes).collect()}
     assert got["a"][:2] == (500500, 1000) and 750 <= got["a"][2] <= 850 and got["b"] == (45, 9, 10) and got[None] == (0, 1, 0)
+
+
+def test_quality_learns_from_every_trusted_text(spark):
+    """More trusted texts than the 20,000 that once bounded the fit: the cut is that of all of them."""
+    from wakeline.llm import quality
+
+    n = 20_400
+    labels = spark.range(n).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    assert quality.trusted_ids(labels.unionByName(labels.limit(5))).count() == n
+    docs = spark.range(n + 600).selectExpr("id as doc_id", "repeat(concat('w', id % 700, ' x', id, ' '), 30) as text")
+    out = quality.quality_rules(docs, labels, buckets=1 << 12, spread=0.0).select("doc_id", "score", "kept", "base_failed")
+    mean = out.where(f"doc_id < {n}").selectExpr("avg(score)").first()[0]
+    assert out.where(f"not base_failed and abs(score - {mean!r}) > 1e-9 and kept <> (score >= {mean!r})").count() == 0

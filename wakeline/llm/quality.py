@@ -113,24 +113,23 @@ def _only_score_kernel(ratio_of):
     return run
 
 
-def trusted_ids(labels: DataFrame, limit: int) -> DataFrame:
-    """At most `limit` ids labelled good and not toxic (in every row that has the id), the first in hash order."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """All ids labelled good and not toxic (in every row that has the id)."""
     ids = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("trusted_id")).agg(F.min(F.coalesce("quality", F.lit(0))).alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
-    return ids.where("q = 1 and t = 0").select("trusted_id").orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(limit)
+    return ids.where("q = 1 and t = 0").select("trusted_id")
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, *, buckets: int = 1 << 16, max_trusted: int = 20_000, spread: float = 4.0, smoothing: float = 1.0) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, *, buckets: int = 1 << 16, spread: float = 4.0, smoothing: float = 1.0) -> DataFrame:
     """One row per document: base counts, base_failed, kept, score.
 
     score is the mean over a text's words and word pairs of log(p_target / p_raw), p being smoothed shares of
-    `buckets` hash buckets; p_raw covers every document, p_target the trusted ones (at most `max_trusted` labelled rows,
-    the bound of the fit). A text is kept when its base rules hold and its score is no less than the trusted texts' mean
+    `buckets` hash buckets; p_raw covers every document, p_target all the trusted ones. A text is kept when its base rules hold and its score is no less than the trusted texts' mean
     less `spread` standard deviations: a fixed cut for the whole table, equal texts get equal verdicts. With no trusted
     text all ratios are 0 and the base rules decide. Null and empty texts have no word, score 0, and fail the base
     rules. Repeated rows each get a row; columns other than doc_id and text are ignored.
     """
     spark = docs.sparkSession
-    ids = F.broadcast(trusted_ids(labels, max_trusted))  # at most max_trusted longs
+    ids = trusted_ids(labels)  # broadcast by Spark where they are few
     flagged = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("trusted_id"), "left")
     counted = flagged.select("text", F.col("trusted_id").isNotNull().alias("trusted")).mapInArrow(_count_kernel(buckets), "bucket long, raw long, target long")
     rows = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()  # at most `buckets` rows
