@@ -343,3 +343,41 @@ def test_quality_learns_from_every_trusted_text(spark):
     out = quality.quality_rules(docs, labels, buckets=1 << 12, spread=0.0).select("doc_id", "score", "kept", "base_failed")
     mean = out.where(f"doc_id < {n}").selectExpr("avg(score)").first()[0]
     assert out.where(f"not base_failed and abs(score - {mean!r}) > 1e-9 and kept <> (score >= {mean!r})").count() == 0
+
+
+def _shuffled(spark) -> int:
+    """Bytes that the session's stages have written to shuffles so far."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty(30_000)
+    gateway = spark.sparkContext._gateway
+    stages = context.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_quality_shuffles_trusted_texts_only_and_once(spark):
+    """Where the ids are too many to broadcast, the other texts stay where they are."""
+    from wakeline.llm import quality
+
+    text = "concat_ws(' ', transform(sequence(1, 200), k -> sha2(concat(id, ':', k), 256)))"  # hardly to be compressed: some 13 kB
+    docs = spark.range(1500).selectExpr("id as doc_id", f"{text} as text").localCheckpoint()
+    labels = spark.range(1500).selectExpr("id as doc_id", "int(id % 10 = 0) as quality", "0 as toxic")
+    size = docs.selectExpr("sum(length(text)) / 2").first()[0]  # hexadecimal digits hold half a byte each
+    before, limit = _shuffled(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert quality.quality_rules(docs, labels, buckets=1 << 8).count() == 1500
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert _shuffled(spark) - before < 0.5 * size
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 25])
+def test_quality_trusted_texts_are_exact(spark, monkeypatch, bits):
+    """However many ids share a bit: the rows of trusted ids, repeated ones too, and no other."""
+    from wakeline.llm import quality
+
+    monkeypatch.setattr(quality, "ID_BITS", bits)
+    docs = spark.range(-500, 500).selectExpr("id as doc_id", "string(id) as text").unionByName(spark.createDataFrame([(3, "again"), (4, "again"), (None, "none"), (6, None)], "doc_id long, text string"))
+    ids = spark.range(-600, 600, 3).toDF("trusted_id")
+    got = sorted(map(str, (r["text"] for r in quality.trusted_texts(docs, ids).collect())))
+    assert got == sorted([*(str(k) for k in range(-500, 500) if k % 3 == 0), "again", "None"])

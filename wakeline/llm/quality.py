@@ -9,10 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, LOWER, Words, pieces, segment_hash, text_buffer, windows
+from .common import LOWER, Words, pieces, segment_hash, text_buffer, windows, written
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
+BASE_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+#: Bits of the map of trusted ids (4 MB) that keeps most other texts out of the join with them.
+ID_BITS = 1 << 25
 
 
 def _grams(data: np.ndarray, at: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,20 +68,25 @@ def base_counts(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
 
 def _count_kernel(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        n = np.zeros(buckets, np.int64)
         for whole in batches:
             for batch in pieces(whole, "text"):
                 data, at = text_buffer(batch.column(0))
-                trusted = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), bool)
-                text, bucket = _grams(data, at, buckets)
-                raw += np.bincount(bucket, minlength=buckets)
-                target += np.bincount(bucket[trusted[text]], minlength=buckets)
-        k = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(raw[k]), pa.array(target[k])], ["bucket", "raw", "target"])
+                n += np.bincount(_grams(data, at, buckets)[1], minlength=buckets)
+        k = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n[k])], ["bucket", "n"])
 
     return run
 
 
+def _bucket_counts(texts: DataFrame, buckets: int) -> np.ndarray:
+    """How many words and word pairs of a column of texts fall into each bucket."""
+    rows = texts.mapInArrow(_count_kernel(buckets), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most `buckets` rows
+    n = np.zeros(buckets)
+    n[rows["bucket"]] = rows["n"]
+    return n
+
+
 def _score(data, at, ratio: np.ndarray) -> np.ndarray:
     text, bucket = _grams(data, at, len(ratio))
     n = len(at) - 1
@@ -86,29 +94,16 @@ def _score(data, at, ratio: np.ndarray) -> np.ndarray:
     return np.divide(total, count, out=np.zeros(n), where=count > 0)
 
 
-def _score_kernel(ratio_of, threshold: float):
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-
+def _score_kernel(ratio_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio = ratio_of.value
         for whole in batches:
             for batch in pieces(whole, "text"):
                 data, at = text_buffer(batch.column(1))
                 base = base_counts(data, at)
-                score = _score(data, at, ratio)
                 failed = (base["n_words"] < 50) | (100 * base["n_repeat_words"] > 50 * base["n_words"])
-                columns = [batch.column(0), *(pa.array(base[k]) for k in names), pa.array(failed), pa.array(~failed & (score >= threshold)), pa.array(score)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", *names, "base_failed", "kept", "score"])
-
-    return run
-
-
-def _only_score_kernel(ratio_of):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in pieces(whole, "text", CHUNK_BYTES):
-                data, at = text_buffer(batch.column(0))
-                yield pa.RecordBatch.from_arrays([pa.array(_score(data, at, ratio_of.value))], ["score"])
+                columns = [batch.column(0), *(pa.array(base[k]) for k in BASE_COUNTS), pa.array(failed), pa.array(_score(data, at, ratio))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", *BASE_COUNTS, "base_failed", "score"])
 
     return run
 
@@ -119,6 +114,18 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return ids.where("q = 1 and t = 0").select("trusted_id")
 
 
+def trusted_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The text of every row of docs whose id is trusted. A broadcast bitmap of hashed ids, whose size is fixed, first drops
+    most of the others, so that their texts are not shuffled; the join with the ids themselves decides."""
+    place = lambda c: (F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(ID_BITS)) + 1).alias("place")
+    bits = ids.select(place("trusted_id")).select(F.bitmap_bucket_number("place").alias("part"), F.bitmap_bit_position("place").alias("bit"))
+    bits = bits.repartition("part").groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    at = "cast(bitmap_bit_position(place) as int)"
+    known = f"bitmap_bucket_number(place) = part and getbit(cast(conv(hex(substring(bits, {at} div 8 + 1, 1)), 16, 10) as int), {at} % 8) = 1"
+    likely = docs.select("doc_id", "text", place("doc_id")).join(F.broadcast(bits), F.expr(known), "left_semi")
+    return likely.join(ids, F.col("doc_id") == F.col("trusted_id"), "left_semi").select("text")
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, *, buckets: int = 1 << 16, spread: float = 4.0, smoothing: float = 1.0) -> DataFrame:
     """One row per document: base counts, base_failed, kept, score.
 
@@ -126,19 +133,19 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, buckets: int = 1 << 16,
     `buckets` hash buckets; p_raw covers every document, p_target all the trusted ones. A text is kept when its base rules hold and its score is no less than the trusted texts' mean
     less `spread` standard deviations: a fixed cut for the whole table, equal texts get equal verdicts. With no trusted
     text all ratios are 0 and the base rules decide. Null and empty texts have no word, score 0, and fail the base
-    rules. Repeated rows each get a row; columns other than doc_id and text are ignored.
+    rules. Repeated rows each get a row; columns other than doc_id and text are ignored. Counts and scores are written once,
+    so that the cut comes from the written scores and no text is shuffled for it.
     """
     spark = docs.sparkSession
     ids = trusted_ids(labels)  # broadcast by Spark where they are few
-    flagged = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("trusted_id"), "left")
-    counted = flagged.select("text", F.col("trusted_id").isNotNull().alias("trusted")).mapInArrow(_count_kernel(buckets), "bucket long, raw long, target long")
-    rows = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()  # at most `buckets` rows
-    raw, target = np.zeros(buckets), np.zeros(buckets)
-    raw[rows["bucket"]], target[rows["bucket"]] = rows["raw"], rows["target"]
+    raw, target = _bucket_counts(docs.select("text"), buckets), _bucket_counts(trusted_texts(docs, ids), buckets)
     ratio = np.zeros(buckets)
     if target.sum():
         ratio = np.log((target + smoothing) / (target.sum() + smoothing * buckets)) - np.log((raw + smoothing) / (raw.sum() + smoothing * buckets))
     ratio_of = spark.sparkContext.broadcast(ratio)
-    fit = flagged.where("trusted_id is not null").select("text").mapInArrow(_only_score_kernel(ratio_of), "score double").agg(F.avg("score"), F.stddev_pop("score")).first()
+    names = ", ".join(f"{k} long" for k in BASE_COUNTS)
+    scored = written(docs.select("doc_id", "text").mapInArrow(_score_kernel(ratio_of), f"doc_id long, {names}, base_failed boolean, score double"))
+    fit = scored.join(ids, F.col("doc_id") == F.col("trusted_id"), "left_semi").agg(F.avg("score"), F.stddev_pop("score")).first()
     threshold = float("-inf") if fit[0] is None else fit[0] - spread * fit[1]
-    return docs.select("doc_id", "text").mapInArrow(_score_kernel(ratio_of, threshold), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double")
+    kept = ~F.col("base_failed") & (F.col("score") >= F.lit(threshold))
+    return scored.select("doc_id", *BASE_COUNTS, "base_failed", kept.alias("kept"), "score")
