@@ -263,3 +263,20 @@ def test_half_turns_are_minus_180(spark):
     assert got == [-180.0] * 3600 + [10.0, 20.0, 179.9999, None]
     rows = ", ".join(f"({'null' if a is None else repr(a) + 'e0'}::double, {b!r}e0)" for a, b in tenths)
     assert [r[0] for r in duckdb.sql(f"select {registry.sql_turn('a', 'b')} from (values {rows}) x(a, b)").fetchall()] == got
+
+
+def test_scaler_does_not_depend_on_the_order_of_rows(spark):
+    """Mean and deviation are the same to the last bit however the rows are dealt, and those of exact sums."""
+    rng = np.random.default_rng(5)
+    n = 40_001
+    data = {"wide": np.round(rng.pareto(1.5, n) * 1e4, 3), "far": 1.7e9 + np.round(rng.normal(size=n), 6), "small": rng.normal(size=n) * 1e-12, "gaps": np.where(rng.random(n) < 0.1, np.nan, rng.integers(-1800, 1800, n) / 10)}
+    df = spark.createDataFrame(pd.DataFrame({"mmsi": np.arange(n), "t_prev": 0, "t_curr": 1} | data)).replace(float("nan"), None)
+    scalers = [prepare.prepare_features(x, log_dist=False)[1] for x in (df.coalesce(1), df.repartition(3), df.repartition(11, "wide"), df.orderBy(F.desc("small")))]
+    assert all(s["mean"] == scalers[0]["mean"] and s["std"] == scalers[0]["std"] for s in scalers)
+    for c, v in data.items():
+        v = np.where(np.isnan(v), np.nanmedian(v), v)
+        mean = math.fsum(v) / n
+        std = math.sqrt(math.fsum((v - mean) ** 2) / (n - 1))
+        assert abs(scalers[0]["mean"][c] - mean) <= 1e-12 * std + 1e-15 * abs(mean) and scalers[0]["std"][c] == pytest.approx(std, rel=1e-12)
+    one = df.limit(1).withColumns({"wide": F.lit(2.5)})
+    assert prepare.moments(one.select("wide"), {"wide": 2.5}) == ({"wide": 2.5}, {"wide": None})

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+import sys
+from fractions import Fraction
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -11,6 +15,8 @@ from ..sources.shared import checkpointed
 
 META = ("mmsi", "t_prev", "t_curr")
 NOT_FEATURES = ("vessel_type",)
+#: Steps between a column's median and the value farthest from it, in which values are counted for its moments.
+STEPS = 1 << 40
 
 
 def reorder(df: DataFrame, front: list[str]) -> DataFrame:
@@ -50,11 +56,32 @@ def training_table(df: DataFrame, features: list[str], keys: list[str]) -> tuple
     return filled.select(*keys, *left), left, {"n_missing": missing, "dropped": sorted(dropped)}
 
 
+def moments(df: DataFrame, centers: dict[str, float]) -> tuple[dict[str, float], dict[str, float | None]]:
+    """Mean and sample deviation (None for one row) of columns without nulls, the same whatever the order of the rows.
+
+    Distances from a center within the column's range (a median is best) are whole numbers of steps, 2^40 of them to the farthest
+    value, and their sums and sums of squares are exact.
+    """
+    far = df.agg(*(F.max(F.abs(F.col(c) - F.lit(m))).alias(c) for c, m in centers.items())).first()
+    step = {c: max(far[c] / STEPS, sys.float_info.min) for c in centers}
+
+    def steps(c: str) -> Column:
+        return F.floor((F.col(c) - F.lit(centers[c])) / F.lit(step[c]) + 0.5).cast("decimal(13,0)")
+
+    sums = df.agg(F.count(F.lit(1)).alias("n"), *(F.sum(steps(c)).alias(f"s_{c}") for c in centers), *(F.sum(steps(c) * steps(c)).alias(f"q_{c}") for c in centers)).first()
+    n, mean, std = sums["n"], {}, {}
+    for c in centers:
+        s, q = int(sums[f"s_{c}"]), int(sums[f"q_{c}"])
+        mean[c] = centers[c] + float(Fraction(s, n)) * step[c]
+        std[c] = math.sqrt(Fraction(n * q - s * s, n * (n - 1))) * step[c] if n > 1 else None
+    return mean, std
+
+
 def prepare_features(df: DataFrame, *, keys: tuple[str, ...] = META, log_dist: bool = True, carry: tuple[str, ...] = ()) -> tuple[DataFrame, dict]:
     """Keys beside z-scored features, and the scaler. Every other column but vessel_type (and those carried) is a feature.
 
     In order: coerce, log1p of dist_m, drop constant columns, fill with the exact median (then 0), z-score with the
-    sample deviation (0 counts as 1). Raises ValueError when no feature is left.
+    sample deviation (0 counts as 1); both from exact sums. Raises ValueError when no feature is left.
     """
     names = [c for c in df.columns if c not in (*keys, *NOT_FEATURES, *carry)]
     num = df.select(*(F.col(k) if k in df.columns else F.lit(None).cast("string").alias(k) for k in (*keys, *carry)), *(S.finite(F.col(c).try_cast("double")).alias(c) for c in names))
@@ -67,7 +94,7 @@ def prepare_features(df: DataFrame, *, keys: tuple[str, ...] = META, log_dist: b
         raise ValueError("no usable feature column")
     medians = {r["feature"]: r["p0"] for r in percentiles(num, names, [0.5]).collect()}
     filled = num.select(*keys, *carry, *(F.coalesce(F.col(c), F.lit(medians[c]), F.lit(0.0)).alias(c) for c in names))
-    m = filled.agg(*(F.avg(c).alias(f"m_{c}") for c in names), *(F.stddev_samp(c).alias(f"s_{c}") for c in names)).first()
-    std = {c: m[f"s_{c}"] if m[f"s_{c}"] else 1.0 for c in names}
-    out = filled.select(*keys, *carry, *(((F.col(c) - m[f"m_{c}"]) / std[c]).alias(c) for c in names))
-    return out, {"features": names, "median": medians, "mean": {c: m[f"m_{c}"] for c in names}, "std": std, "dropped": sorted(constant)}
+    mean, std = moments(filled, {c: medians[c] or 0.0 for c in names})
+    std = {c: std[c] or 1.0 for c in names}
+    out = filled.select(*keys, *carry, *(((F.col(c) - mean[c]) / std[c]).alias(c) for c in names))
+    return out, {"features": names, "median": medians, "mean": mean, "std": std, "dropped": sorted(constant)}
